@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from loomseq.llm.bpe import op10_bpe
 from loomseq.llm.simhash import op6_simhash
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {"op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
