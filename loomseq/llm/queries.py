@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from loomseq.llm.bpe import op10_bpe
 from loomseq.llm.simhash import op6_simhash
+from loomseq.llm.substring import op3_substring
 
-QUERIES = {"op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op3_substring": op3_substring, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
