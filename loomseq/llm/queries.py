@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from loomseq.llm.bpe import op10_bpe
+from loomseq.llm.chat import op9_chat
 from loomseq.llm.simhash import op6_simhash
 from loomseq.llm.substring import op3_substring
 
-QUERIES = {"op3_substring": op3_substring, "op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+QUERIES = {"op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
