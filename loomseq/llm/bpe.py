@@ -5,7 +5,7 @@ It starts as one state with a loop for every byte.  Each merge (a, b -> c) is on
 copy of their target that lacks the arc of b, and wherever there is an arc of a there is now one of c, to the state that b led
 to.  All arcs of a token lead to one state, so a gadget adds one state at most: 50,000 merges give some 50,000 states.  Which
 arcs leave a state follows from the gadgets that made it (``arc``); the transition table keeps each answer once asked for, as
-lazily built automata do, as all of it would be 2.5 billion entries.
+lazily built automata do: all of it would be 2.5 billion entries.
 
 A pre-split word has one accepted path from the start, which the transitions of the table give.  Decoding emits the labels of
 the arcs.
@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,12 @@ from pyspark.sql import types as T
 
 #: The split before the merges, of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: In the table of transitions: asked for, and there is none.
+NO_ARC = -2
+#: Longer words are encoded one by one.
+LONG_WORD = 64
 #: Words whose tokens a worker remembers; it starts anew when they are more.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -37,6 +42,45 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """A hash table of distinct integers that many lookups go through at once; what isn't in it gives -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.count = len(keys)
+        self.top = np.int64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.keys, self.values = np.full(int(self.top) + 1, -1, np.int64), np.full(int(self.top) + 1, -1, np.int64)
+        at = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            place, first = np.unique(at[left], return_index=True)
+            free = self.keys[place] < 0
+            won = left[first[free]]
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + 1) & self.top
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        used = self.keys >= 0
+        return self.keys[used], self.values[used]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.int64(0x9E3779B97F4A7C1)) >> np.int64(20)) & self.top
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = self.values[at]
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        out[found != keys] = -1
+        while len(left):
+            at[left] = (at[left] + 1) & self.top
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Automaton:
     """labels: the bytes of each token id; merges: (left id, right id, result id), first to last."""
 
@@ -60,23 +104,26 @@ class Automaton:
             if self.live[c]:
                 self.states.append((a, k))
                 self.state[a] = len(self.states) - 1
-        self.table: dict[int, int] = {}
-        self.size = size
+        self.size, self.nodes = size, None
         # the labels as a trie: (node << 8 | byte) -> node; the token of each node; each token's longest shorter prefix that is a token
-        self.trie: dict[int, int] = {}
-        self.token = [-1]
-        self.length, self.shorter = [0] * size, [-1] * size
+        trie: dict[int, int] = {}
+        token = [-1]
+        self.length, self.shorter = np.zeros(size, np.int64), np.full(size, -1, np.int64)
         for t, label in sorted(labels.items(), key=lambda x: len(x[1])):
             node, last = 0, -1
             for x in label:
-                to = self.trie.get(node << 8 | x)
+                to = trie.get(node << 8 | x)
                 if to is None:
-                    to = self.trie[node << 8 | x] = len(self.token)
-                    self.token.append(-1)
+                    to = trie[node << 8 | x] = len(token)
+                    token.append(-1)
                 node = to
-                if self.token[node] >= 0:
-                    last = self.token[node]
-            self.token[node], self.length[t], self.shorter[t] = t, len(label), last
+                if token[node] >= 0:
+                    last = token[node]
+            token[node], self.length[t], self.shorter[t] = t, len(label), last
+        self.token = np.array(token)
+        self.trie = Table(np.fromiter(trie, np.int64, len(trie)), np.fromiter(trie.values(), np.int64, len(trie)))
+        # the transitions asked for so far, (state * size + token) -> state or -1; the latest are in recent
+        self.table, self.recent = Table(np.empty(0, np.int64), np.empty(0, np.int64)), {}
 
     def _leaves(self, a: int, k: int, t: int) -> bool:
         """Whether an arc of t leaves the state that a's arcs led to after k gadgets."""
@@ -92,55 +139,127 @@ class Automaton:
                 return True
 
     def arc(self, state: int, token: int) -> int:
-        """The state after the token, -1 if no arc of it leaves the state."""
-        found = self.table.get(state * self.size + token)
+        """The state after the token, NO_ARC if no arc of it leaves the state."""
+        key = state * self.size + token
+        found = self.recent.get(key)
         if found is None:
             ok = self.live[token] and (not state or self._leaves(*self.states[state], token))
-            found = self.table[state * self.size + token] = self.state[token] if ok else -1
+            found = self.recent[key] = self.state[token] if ok else NO_ARC
         return found
 
-    def encode(self, word: bytes) -> list[int]:
-        """The token ids of a pre-split word: the accepted path, looked for with the longest tokens first.
-
-        The accepted path to a position is unique, so a position from which no path leads on is tried once only.
+    def arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The transitions of many states and tokens, by the table."""
+        key = state * self.size + token
+        to = self.table.get(key)
+        missing = np.flatnonzero(to == -1)
+        if len(missing):
+            new, at = np.unique(key[missing], return_inverse=True)
+            to[missing] = np.fromiter((self.arc(*divmod(k, self.size)) for k in new.tolist()), np.int64, len(new))[at]
+            if len(self.recent) > 4096 + self.table.count // 8:
+                keys, values = self.table.items()
+                keys, at = np.unique(np.concatenate([keys, np.fromiter(self.recent, np.int64)]), return_index=True)
+                self.table, self.recent = Table(keys, np.concatenate([values, np.fromiter(self.recent.values(), np.int64)])[at]), {}
+        return to
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of pre-split words, one after the other, and where each word's end.
+
+        All words of up to LONG_WORD bytes advance together, a transition at a time.  Each takes the longest token at its place
+        that the table has a transition for, and where none leads on goes a step back.  The accepted path to a place is unique,
+        so a place from which no path leads on is tried once only.
         """
-        trie, token_at, table, size = self.trie.get, self.token, self.table.get, self.size
-        length, shorter = self.length, self.shorter
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids: list[np.ndarray | list[int]] = [[]] * len(words)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            ids[i] = self._long(words[i])
+        short = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+        n, most = len(short), int(size[short].max(initial=0))
+        buf = np.frombuffer(b"".join(words[i] for i in short.tolist()) + b"\0", np.uint8).astype(np.int64)
+        size = size[short]
+        base = np.cumsum(size) - size
+        at, state, token, depth = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -2), np.zeros(n, np.int64)
+        taken, before, dead = np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), bool)
+        who = np.arange(n)
+        while len(who):
+            # the longest token at a place that was just reached
+            left = who[token[who] == -2]
+            if len(left):
+                node, place, end = np.zeros(len(left), np.int64), base[left] + at[left], base[left] + size[left]
+                best = np.full(len(left), -1)
+                on = np.arange(len(left))
+                while len(on):
+                    to = self.trie.get(node[on] << 8 | buf[place[on]])
+                    on, to = on[to >= 0], to[to >= 0]
+                    node[on] = to
+                    place[on] += 1
+                    found = self.token[to]
+                    best[on] = np.where(found >= 0, found, best[on])
+                    on = on[place[on] < end[on]]
+                token[left] = best
+            # one transition each
+            some = token[who] >= 0
+            back, who = who[~some], who[some]
+            t = token[who]
+            to, reached = self.arcs(state[who], t), at[who] + self.length[t]
+            ok = (to >= 0) & ~dead[who, reached]
+            token[who[~ok]] = self.shorter[t[~ok]]
+            go = who[ok]
+            taken[go, depth[go]], before[go, depth[go]] = t[ok], state[go]
+            depth[go] += 1
+            state[go], at[go], token[go] = to[ok], reached[ok], -2
+            if len(back):
+                if not depth[back].all():
+                    raise ValueError(f"no path for {words[int(short[back[depth[back] == 0][0]])]!r}")
+                dead[back, at[back]] = True
+                depth[back] -= 1
+                t = taken[back, depth[back]]
+                state[back], at[back], token[back] = before[back, depth[back]], at[back] - self.length[t], self.shorter[t]
+            who = np.concatenate([who[at[who] < size[who]], back])
+        count = np.zeros(len(words), np.int64)
+        count[short] = depth
+        flat = taken[np.arange(most + 1) < depth[:, None]]
+        if n < len(words) and any(map(len, ids)):
+            cut = np.split(flat, np.cumsum(depth)[:-1]) if n else []
+            for i, x in zip(short.tolist(), cut, strict=True):
+                ids[i] = x
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.concatenate([np.asarray(x, np.int32) for x in ids])
+        return flat.astype(np.int32), np.cumsum(count)
+
+    def _long(self, word: bytes) -> list[int]:
+        """The accepted path of one word, looked for in the same way."""
+        if self.nodes is None:
+            self.nodes = dict(zip(*(x.tolist() for x in self.trie.items()), strict=True))
         n, at, state, out, states, dead = len(word), 0, 0, [], [], set()
-        token = -2  # not looked up yet
+        token = -2
         while at < n:
             if token == -2:
                 node, token = 0, -1
-                for x in word[at:] if at else word:
-                    node = trie(node << 8 | x)
+                for x in memoryview(word)[at:]:
+                    node = self.nodes.get(node << 8 | x)
                     if node is None:
                         break
-                    if token_at[node] >= 0:
-                        token = token_at[node]
-            while token >= 0:
-                to = table(state * size + token)
-                if to is None:
-                    to = self.arc(state, token)
-                if to >= 0 and at + length[token] not in dead:
-                    break
-                token = shorter[token]
+                    if self.token[node] >= 0:
+                        token = int(self.token[node])
+            while token >= 0 and ((to := self.arc(state, token)) < 0 or at + int(self.length[token]) in dead):
+                token = int(self.shorter[token])
             if token >= 0:
                 out.append(token)
                 states.append(state)
-                at, state, token = at + length[token], to, -2
+                at, state, token = at + int(self.length[token]), to, -2
             elif out:
                 dead.add(at)
                 token = out.pop()
-                at, state, token = at - length[token], states.pop(), shorter[token]
+                at, state, token = at - int(self.length[token]), states.pop(), int(self.shorter[token])
             else:
-                raise ValueError(f"no path for {word!r}")
+                raise ValueError(f"no path for {word[:80]!r}")
         return out
 
 
 class Tokenizer:
     """A byte-level BPE file (JSON) as an automaton; special tokens in a text are cut out first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encodes: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"]
@@ -149,50 +268,64 @@ class Tokenizer:
         chars, vocab = byte_chars(), model["vocab"]
         as_bytes = lambda s: bytes(chars[c] for c in s)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.automaton = Automaton({i: as_bytes(s) for s, i in vocab.items()}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        labels = {i: as_bytes(s) for s, i in vocab.items()}
+        self.automaton = Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]) if encodes else None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
             raise ValueError(f"{path} has added tokens that take what is beside them")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        size = max([*self.automaton.labels, *self.special.values()]) + 1
+        size = max([*labels, *self.special.values()]) + 1
         self.label = np.array([b""] * size, object)
-        for i, b in self.automaton.labels.items():
+        for i, b in labels.items():
             self.label[i] = b
         for s, i in self.special.items():
             self.label[i] = s.encode()
         self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of some texts, whose new words go through the automaton together."""
+        parts = [[p if k % 2 else self.words.findall(p) for k, p in enumerate(self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t])] for t in texts]
         known = self.known
-        for k, part in enumerate(self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]):
-            if k % 2:
-                out.append(np.array([self.special[part]], np.int32))
-                continue
-            words = self.words.findall(part)
-            new = set(words).difference(known)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            for word in new:
-                known[word] = self.automaton.encode(word.encode())
-            out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32))
-        return np.concatenate(out)
+        used = {w for text in parts for words in text[::2] for w in words}
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list(used.difference(known))
+        ids, end = self.automaton.encode([w.encode() for w in new])
+        flat, begin = ids.tolist(), 0
+        for w, stop in zip(new, end.tolist(), strict=True):
+            known[w] = tuple(flat[begin:stop])
+            begin = stop
+        special = {s: (i,) for s, i in self.special.items()}
+        tokens = lambda text: chain.from_iterable((special[p],) if k % 2 else map(known.__getitem__, p) for k, p in enumerate(text))
+        return [np.fromiter(chain.from_iterable(tokens(text)), np.int32) for text in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """The arcs' labels in turn; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(self.label[ids]).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Tokenizer] = {}
+_loaded: dict[tuple[str, bool], Tokenizer] = {}
+
 
+def tokenizer(path: str, encodes: bool = True) -> Tokenizer:
+    """The compiled automaton, or the labels alone, once in each worker."""
+    if (path, encodes) not in _loaded:
+        _loaded[path, encodes] = Tokenizer(path, encodes)
+    return _loaded[path, encodes]
 
-def tokenizer(path: str) -> Tokenizer:
-    """The compiled automaton, once in each worker."""
-    if path not in _loaded:
-        _loaded[path] = Tokenizer(path)
-    return _loaded[path]
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of a column; at least a row each."""
+    off = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    i = 0
+    while i < len(off):
+        j = max(i + 1, int(np.searchsorted(off, (off[i - 1] if i else 0) + limit, "right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -208,17 +341,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            ids, off = [], [0]
-            texts = b.column(len(kept))
-            for i in range(len(b)):
-                text = texts[i].as_py()
-                if text:
-                    ids.append(t.encode(text))
-                    off.append(off[-1] + len(ids[-1]))
-                else:
-                    off.append(off[-1])
-            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)], names=[*kept, out])
+            for part in slices(b, len(kept)):
+                ids = t.encode_all([x or "" for x in part.column(len(kept)).to_pylist()])
+                off = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
+                column = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], column], names=[*kept, out])
 
     return frame.mapInArrow(run, schema)
 
@@ -233,7 +360,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
     schema = frame.drop("__ids").schema.add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(path, encodes=False)
         for b in batches:
             column = b.column(len(kept))
             if column.values.null_count:
