@@ -5,7 +5,7 @@ two starts i and j of equal windows there is a shift d below v with both i + d a
 ``window - v + 1`` words are hashed only at those residues (4 of 13): equal windows share the anchor at that shift.
 
 1. Anchors go, packed, to the bucket of their hash; those that occur again anywhere come back to their documents.
-2. A window is extended from each repeated anchor in it: only such windows are hashed whole (two 64-bit hashes) and go to the
+2. A window is extended from each repeated anchor in it: only such windows are hashed whole (96 bits of two hashes) and go to the
    bucket of their hash, which returns every start but the first by (document, start).
 3. The words that the returned windows cover are removed.
 
@@ -31,7 +31,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 #: Anchors are no shorter than this where the window allows it.
 LEAST_ANCHOR = 8
 ENTRY = "k binary, h2 binary, d binary, p binary, known binary"
-DTYPES = {"k": "<u8", "h2": "<u8", "d": "<i8", "p": "<i4", "known": "u1"}
+DTYPES = {"k": "<u8", "h2": "<u4", "d": "<i8", "p": "<i4", "known": "u1"}
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -59,7 +59,8 @@ def _dealt(k: np.ndarray, h2: np.ndarray, d: np.ndarray, p: np.ndarray, n: int,
         known[twice] = 2  # repeats, and the first of them still tells others
         known[twice & ~new] = 1
         sent = np.ones(len(k), bool)
-    k, h2, d, p, known = k[sent], h2[sent], d[sent], p[sent], known[sent]
+    back = np.argsort(order[sent])  # in the order of documents, which compresses better
+    k, h2, d, p, known = (x[sent][back] for x in (k, h2, d, p, known))
     by = np.where(known == 1, tv.mix(d.astype(np.uint64)), k)
     return packed({"k": k, "h2": h2, "d": d, "p": p, "known": known}, (by % np.uint64(n)).astype(np.int64), n)
 
@@ -82,7 +83,10 @@ def _by_document(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, at): of every document with any, the starts of windows whose words also start earlier.  docs: (id, text)."""
+    """(id, at): of every document with any, the starts of windows whose words also start earlier.
+
+    docs: id, text and what else the caller joins to the result, so that both joins read the same exchange of the texts.
+    """
     n = partitions(docs.sparkSession)
     v, residues = cover(window)
     length = window - v + 1
@@ -107,7 +111,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 ps.append(p.astype(np.int32))
             if ks:
                 k = np.concatenate(ks)
-                yield _dealt(k, np.zeros(len(k), np.uint64), np.concatenate(ds), np.concatenate(ps), n, first_stays=False).drop_columns(["h2"])
+                yield _dealt(k, np.zeros(len(k), np.uint32), np.concatenate(ds), np.concatenate(ps), n, first_stays=False).drop_columns(["h2"])
 
     def again(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         sure = x["known"] == 1
@@ -144,7 +148,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 doc, p = np.concatenate(doc), np.concatenate(p)
                 at = first[doc] + p
                 ks.append(tv.RUNS.spans(prefix, at, at + window))
-                hs.append(tv.RUNS2.spans(prefix2, at, at + window))
+                hs.append(tv.RUNS2.spans(prefix2, at, at + window).astype(np.uint32))
                 ds.append(ids[docs.first + doc])
                 ps.append(p.astype(np.int32))
             if ks:
@@ -161,7 +165,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         yield _to_documents(x["d"][rows], x["p"][rows], n)
 
     per_document = {"k": "<i8", "p": "<i4"}
-    asked = docs.mapInArrow(anchors, "bucket int, k binary, d binary, p binary, known binary")
+    asked = docs.select("id", "text").mapInArrow(anchors, "bucket int, k binary, d binary, p binary, known binary")
     told = exchange(asked, n, again, {c: t for c, t in DTYPES.items() if c != "h2"}, "bucket int, k binary, p binary")
     marked = exchange(told, n, _by_document, per_document, "id long, at binary")
     extended = docs.join(marked, "id").select("id", "text", "at").mapInArrow(windows, f"bucket int, {ENTRY}")
@@ -181,7 +185,7 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
     made = ("n_words", "n_removed", "kept")
     names = [c for c in docs.columns if c.lower() not in made]
     frame = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"))
-    found = repeated_windows(frame.select("id", "text"), window)
+    found = repeated_windows(frame, window)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
