@@ -5,10 +5,11 @@ from __future__ import annotations
 from loomseq.llm.bpe import op10_bpe
 from loomseq.llm.chat import op9_chat
 from loomseq.llm.langid import op8_langid
+from loomseq.llm.quality import op5_quality
 from loomseq.llm.simhash import op6_simhash
 from loomseq.llm.substring import op3_substring
 from loomseq.llm.warc import op1_warc
 
-QUERIES = {"op8_langid": op8_langid, "op1_warc": op1_warc, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+QUERIES = {"op5_quality": op5_quality, "op8_langid": op8_langid, "op1_warc": op1_warc, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
