@@ -30,9 +30,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: In the table of transitions: asked for, and there is none.
 NO_ARC = -2
 #: Longer words are encoded one by one.
-LONG_WORD = 64
+LONG_WORD = 40
 #: Words whose tokens a worker remembers; it starts anew when they are more.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -318,7 +318,7 @@ def tokenizer(path: str, encodes: bool = True) -> Tokenizer:
     return _loaded[path, encodes]
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about so many bytes of a column; at least a row each."""
     off = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
     i = 0
@@ -328,6 +328,33 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator
         i = j
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, out: str) -> Iterator[pa.RecordBatch]:
+    """The last column, of texts, as token ids."""
+    t = tokenizer(path)
+    for b in batches:
+        kept = b.num_columns - 1
+        for part in slices(b, kept):
+            ids = t.encode_all([x or "" for x in part.column(kept).to_pylist()])
+            off = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
+            column = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:kept], column], names=[*b.schema.names[:kept], out])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, out: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The last column, of token ids, as texts (beside it if it is kept)."""
+    t = tokenizer(path, encodes=(path, True) in _loaded)
+    for b in batches:
+        kept = b.num_columns - (not keep_ids)
+        column = b.column(b.num_columns - 1)
+        if column.values.null_count:
+            raise ValueError("a null among token ids")
+        values, off, valid = np.asarray(column.values), np.asarray(column.offsets), np.asarray(column.is_valid())
+        if len(values) and int(values[off[0] : off[-1]].min(initial=0)) < 0:
+            raise IndexError("a negative token id")
+        texts = [t.decode(values[i:j]) if ok else None for i, j, ok in zip(off[:-1], off[1:], valid, strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(texts, pa.string())], names=[*b.schema.names[:kept], out])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """All rows with ``out`` (array of int): the token ids of the whole text; null and empty texts give an empty array.
 
@@ -337,17 +364,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
     schema = frame.drop("__text").schema.add(out, T.ArrayType(T.IntegerType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            for part in slices(b, len(kept)):
-                ids = t.encode_all([x or "" for x in part.column(len(kept)).to_pylist()])
-                off = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
-                column = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], column], names=[*kept, out])
-
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lambda batches: _encoded(batches, path, out), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -358,20 +375,15 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
     kept = [c for c in tokens.columns if c.lower() != out.lower()]
     frame = tokens.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("__ids"))
     schema = frame.drop("__ids").schema.add(out, "string")
+    return frame.mapInArrow(lambda batches: _decoded(batches, path, out, keep_ids=False), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, encodes=False)
-        for b in batches:
-            column = b.column(len(kept))
-            if column.values.null_count:
-                raise ValueError("a null among token ids")
-            values, off, valid = np.asarray(column.values), np.asarray(column.offsets), np.asarray(column.is_valid())
-            if len(values) and int(values[off[0] : off[-1]].min(initial=0)) < 0:
-                raise IndexError("a negative token id")
-            texts = [t.decode(values[i:j]) if ok else None for i, j, ok in zip(off[:-1], off[1:], valid, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, out])
 
-    return frame.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """All rows with ids and decoded: ``decode`` of what ``encode`` gives, both in one worker.  The text itself isn't kept."""
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded", text_col.lower())]
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    schema = frame.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return frame.mapInArrow(lambda batches: _decoded(_encoded(batches, path, "ids"), path, "decoded", keep_ids=True), schema)
 
 
 def default_path() -> str:
@@ -384,8 +396,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     """Contract query: every whole text of documents to token ids and back."""
     path = path or default_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, path).drop("text"), path)
-    return both.select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
