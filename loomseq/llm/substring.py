@@ -9,6 +9,9 @@ two starts i and j of equal windows there is a shift d below v with both i + d a
    bucket of their hash, which returns every start but the first by (document, start).
 3. The words that the returned windows cover are removed.
 
+Whole copies of a text need none of this: all their windows start earlier in the copy with the smallest id, which alone goes
+through it.
+
 What sends a hash collapses its repeats within a batch beforehand: known repeats go back to their document at once, so a passage
 in a third of all documents costs its bucket one entry a batch.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
-from loomseq.llm.cluster import exchange, packed, partitions
+from loomseq.llm.cluster import exchange, packed, partitions, written
 
 #: Perfect difference sets: each difference occurs once (fixed values).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -32,6 +35,8 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 LEAST_ANCHOR = 8
 ENTRY = "k binary, h2 binary, d binary, p binary, known binary"
 DTYPES = {"k": "<u8", "h2": "<u4", "d": "<i8", "p": "<i4", "known": "u1"}
+#: Instead of positions: every window of the document starts earlier.
+WHOLE = b"\xff\xff\xff\xff"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -82,10 +87,18 @@ def _by_document(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"id": d[cut[:-1]], "at": pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, off, pa.py_buffer(p[cut[0] : cut[-1]].astype("<i4").tobytes())])})
 
 
-def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(id): documents whose whole text a document with a smaller id has.  Aggregates before its shuffle."""
+    prints = docs.where("text is not null").select("id", F.unhex(F.md5("text")).alias("hash"))
+    several = written(prints.groupBy("hash").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("hash", "least"), "substring-copies")
+    return written(prints.join(several, "hash").where("id > least").select("id").distinct(), "substring-copies")
+
+
+def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     """(id, at): of every document with any, the starts of windows whose words also start earlier.
 
-    docs: id, text and what else the caller joins to the result, so that both joins read the same exchange of the texts.
+    docs: id, text, row (what else the caller joins to the result, so that all joins read the same exchange of the texts).
+    copies: ids of documents to leave out, whose windows all start earlier in others.
     """
     n = partitions(docs.sparkSession)
     v, residues = cover(window)
@@ -165,10 +178,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         yield _to_documents(x["d"][rows], x["p"][rows], n)
 
     per_document = {"k": "<i8", "p": "<i4"}
-    asked = docs.select("id", "text").mapInArrow(anchors, "bucket int, k binary, d binary, p binary, known binary")
+    asked = docs.join(copies, "id", "left_anti").select("id", "text").mapInArrow(anchors, "bucket int, k binary, d binary, p binary, known binary")
     told = exchange(asked, n, again, {c: t for c, t in DTYPES.items() if c != "h2"}, "bucket int, k binary, p binary")
     marked = exchange(told, n, _by_document, per_document, "id long, at binary")
-    extended = docs.join(marked, "id").select("id", "text", "at").mapInArrow(windows, f"bucket int, {ENTRY}")
+    extended = docs.join(marked, "id").select("id", "text", "at", "row").mapInArrow(windows, f"bucket int, {ENTRY}")
     told = exchange(extended, n, later, DTYPES, "bucket int, k binary, p binary")
     return exchange(told, n, _by_document, per_document, "id long, at binary")
 
@@ -179,13 +192,14 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
     Words are runs outside ``\\x20 \\x09-\\x0D``, compared unchanged.  A word goes if a window of ``window`` words of its document
     covers it whose words also start earlier: in a document with a smaller id or earlier in the same one, judged on the input.
     Null texts have no words; texts shorter than a window keep all.  Rows that repeat an id are one document: a window at the
-    same id and start isn't earlier, and what is removed of one is removed of all at these starts.  A null id comes after all
+    same id and start isn't earlier, and what is removed of one (all, for a copy) is removed of all at these starts.  A null id comes after all
     others.  Columns named like the new ones are replaced.
     """
     made = ("n_words", "n_removed", "kept")
     names = [c for c in docs.columns if c.lower() not in made]
     frame = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"))
-    found = repeated_windows(frame, window)
+    copies = later_copies(frame)
+    found = repeated_windows(frame, copies, window).union(copies.select("id", F.lit(WHOLE).alias("at"))).groupBy("id").agg(F.max("at").alias("at"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +212,9 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
                     words_out.append(n)
                     at = marks[docs.first + i].as_py()
                     keep = None
-                    if at:
+                    if at == WHOLE:
+                        keep = np.full(n, n < window)
+                    elif at:
                         a = np.frombuffer(at, "<i4").astype(np.int64)
                         change = np.zeros(n + window + 1, np.int32)
                         a = a[a <= n - window]
