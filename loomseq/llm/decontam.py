@@ -25,12 +25,12 @@ from loomseq.llm import textvec as tv
 #: Words are runs of ASCII letters and digits and of bytes of other scripts, in lower case.
 SEPARATOR = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 #: Coordinates of a key, and the steps between them.
-COORDINATES, GAPS = 4, (2, 3)
+COORDINATES, GAPS = 6, (2, 3)
 #: Items of fewer words are looked up by runs of words that so few edits leave whole.
 SHORT = 8
 #: Text of benchmark items that workers hold at a time; more are taken in blocks.
 BLOCK_BYTES = 8 << 20
-LEAST_REPETITIONS, MOST_REPETITIONS = 4, 32
+LEAST_REPETITIONS, MOST_REPETITIONS = 6, 32
 
 
 def words_of(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
