@@ -6,12 +6,13 @@ from loomseq.llm.bpe import op10_bpe
 from loomseq.llm.chat import op9_chat
 from loomseq.llm.decontam import op7_decontaminate
 from loomseq.llm.langid import op8_langid
+from loomseq.llm.lm import op4_lm
 from loomseq.llm.minhash import op2_minhash
 from loomseq.llm.quality import op5_quality
 from loomseq.llm.simhash import op6_simhash
 from loomseq.llm.substring import op3_substring
 from loomseq.llm.warc import op1_warc
 
-QUERIES = {"op7_decontaminate": op7_decontaminate, "op2_minhash": op2_minhash, "op5_quality": op5_quality, "op8_langid": op8_langid, "op1_warc": op1_warc, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
+QUERIES = {"op4_lm": op4_lm, "op7_decontaminate": op7_decontaminate, "op2_minhash": op2_minhash, "op5_quality": op5_quality, "op8_langid": op8_langid, "op1_warc": op1_warc, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
