@@ -1,13 +1,65 @@
-"""Corpus pipeline over documents: each stage calls one operator, its result is written and read again by the next."""
+"""Corpus pipeline over documents: each stage calls one operator, its result is written and read again as the next one's input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from loomseq.llm import bpe, decontam, quality, simhash, substring
+from loomseq.llm.cluster import written
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = docs.columns
+    return quality.score(docs, quality.learn(docs, labels)).where("predicted = 1").select(*names)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8, by 256-bit fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that earlier documents have; those that lose all their words go.
+
+    Texts that lose nothing stay as they are, of others the words that are left are joined by one space.
+    """
+    names = docs.columns
+    found = substring.dedup(docs, window=20)
+    cut = F.col("n_removed") > 0
+    made = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumns(made).select(*names)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that is within an edit distance of a fifth of a benchmark item's words from it."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the token ids of their text, as ids, and their number."""
+    return bpe.encode(docs, bpe.default_path()).withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("SimHash near-dedup", distinct_documents),
+    ("substring dedup", distinct_passages),
+    ("benchmark decontamination", clean_documents),
+    ("BPE encoding", token_ids),
+]
+
+#: SQL can't express the learned and the near-duplicate stages: tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    return docs

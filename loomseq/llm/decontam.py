@@ -257,22 +257,45 @@ def find(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float =
     repeated rows match each on its own, with null ids as others.  Items are held by the workers, in blocks of BLOCK_BYTES of
     text; documents only pass.
     """
-    spark = docs.sparkSession
+    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = None
+    for shared in _blocks(items, share, recall, item_col, item_text):
+        part = frame.mapInArrow(_finder(shared), "doc_id long, item_id long, distance int, start_word long, end_word long, item_words int")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def clean(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float = 0.999, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, unchanged, in which no item matches (see ``find``); no shuffle."""
+    names = docs.columns
+    for shared in _blocks(items, share, recall, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for b in batches:
+                keep = np.ones(len(b), bool)
+                for d in tv.chunks(b.column(len(names))):
+                    words, first = words_of(d)
+                    for match in index.matches(words, first) if len(words) else ():
+                        keep[d.first + match[0]] = False
+                yield b.select(range(len(names))).filter(pa.array(keep))
+
+        docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, docs.schema)
+    return docs
+
+
+def _blocks(items: DataFrame, share: float, recall: float, item_col: str, item_text: str) -> Iterator:
+    """Broadcast indexes of the items, block by block."""
     asked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
     for block in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
         ids, words = got.column("item_id").to_pylist(), []
-        for d in tv.chunks(got.column("text")):
+        for d in tv.chunks(got.column("text")) if got.num_rows else ():
             w, first = words_of(d)
             words += np.split(w, first[1:-1])
-        shared = spark.sparkContext.broadcast(Index(ids, words, share, recall))
-        part = frame.mapInArrow(_finder(shared), "doc_id long, item_id long, distance int, start_word long, end_word long, item_words int")
-        found = part if found is None else found.union(part)
-    return found
+        yield items.sparkSession.sparkContext.broadcast(Index(ids, words, share, recall))
 
 
 def _finder(shared):

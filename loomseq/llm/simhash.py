@@ -229,6 +229,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, radius: i
     return prints.join(merged, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The documents with the least id of their group (see ``near_duplicates``), one row each; all rows with a null id stay."""
+    found = near_duplicates(docs, id_col=id_col, **settings)
+    stay = found.where("id = component").groupBy("id").agg(F.count("*").alias("rows"))
+    stay = written(stay, "simhash-kept")
+    kept = docs.join(stay.select(F.col("id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left_semi")
+    if not stay.where("rows > 1").isEmpty():  # rows that repeat an id
+        kept = kept.dropDuplicates([id_col])
+    return kept.union(docs.where(F.col(id_col).isNull()))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: 4-word shingles, 64 bits, radius 4 over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
