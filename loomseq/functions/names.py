@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomseq.functions import sequences as sq
 from loomseq.functions import shapes as S
+from loomseq.functions.columns import each
 from loomseq.operators import bwt as bw
 from loomseq.operators import fm, mtf, rle
 from loomseq.operators import symbols as sy
@@ -82,7 +83,8 @@ def counts(patterns: list[bytes | str], data: Column, compat: bool = False) -> C
 def places(patterns: list[bytes | str], data: Column, compat: bool = False) -> Column:
     """Array of (pattern, positions): 1-based byte positions in the order of the suffixes."""
     found, sa, given = _each(patterns, data.cast("binary"), compat)
-    made = F.zip_with(given, found, lambda p, r: F.struct(p.alias("pattern"), F.slice(sa, r["low"] + 1, r["high"] - r["low"]).alias("positions")))
+    row = lambda r, a: F.slice(a, r["low"] + 1, r["high"] - r["low"])
+    made = F.zip_with(given, each(row, found, sa), lambda p, at: F.struct(p.alias("pattern"), at.alias("positions")))
     return F.coalesce(made, F.slice(F.array(F.struct((given[0] if patterns else F.lit("")).alias("pattern"), F.slice(sa, 1, 0).alias("positions"))), 1, 0))
 
 
@@ -102,8 +104,9 @@ def interval(pattern: Column, index: Column, compat: bool = False) -> Column:
     """(low, high): the rows of the index's suffix array, low + 1 to high, whose suffixes begin with the pattern (an array of symbols)."""
     transformed = fm.to_bwt(index)
     symbols = F.filter(mtf.alphabet(transformed), lambda s: s.isNotNull())
-    rank = lambda x: F.coalesce(F.array_position(symbols, x), F.lit(0)).cast("int")
-    return _interval(compat)(F.transform(transformed, rank), F.transform(pattern, lambda x: F.when(rank(x) > 0, rank(x)).otherwise(-1)))
+    rank = lambda x, known: F.coalesce(F.array_position(known, x), F.lit(0)).cast("int")
+    asked = each(lambda x, known: F.when(rank(x, known) > 0, rank(x, known)).otherwise(-1), pattern, symbols)
+    return _interval(compat)(each(rank, transformed, symbols), asked)
 
 
 def count_fm_index(pattern: Column, index: Column, compat: bool = False) -> Column:

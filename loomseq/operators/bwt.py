@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomseq.functions import sequences as sq
 from loomseq.functions import shapes as S
+from loomseq.functions.columns import each, gather
 from loomseq.operators import symbols as sy
 
 
@@ -74,15 +75,14 @@ def _restore_bytes(column: pa.Array) -> pa.Array:
 
 def ranks(seq: Column) -> Column:
     """The elements as their ranks in the sequence's own order (1-based), for element types that only Spark sorts; nulls stay."""
-    alphabet = F.sort_array(F.array_distinct(seq))
-    return F.transform(seq, lambda x: F.when(x.isNotNull(), F.array_position(alphabet, x).cast("int")))
+    return each(lambda x, alphabet: F.when(x.isNotNull(), F.array_position(alphabet, x).cast("int")), seq, F.sort_array(F.array_distinct(seq)))
 
 
 def suffix_array(seq: Column, strategy: str = "arrow") -> Column:
     """1-based starts of all suffixes in order, the empty one first; ``strategy``: arrow (prefix doubling), hof (sorts slices: for short rows)."""
     if strategy == "hof":
-        n = F.size(seq)
-        made = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.struct(F.slice(seq, i, n + 1).alias("s"), i.alias("i")))
+        starts = F.sequence(F.lit(1), F.size(seq) + 1)
+        made = each(lambda i, s: F.struct(F.slice(s, i, F.size(s) + 1).alias("s"), i.alias("i")), starts, seq)
         return F.when(seq.isNotNull(), F.transform(F.array_sort(made), lambda x: x["i"]))
     return _suffix_array(seq)
 
@@ -90,21 +90,22 @@ def suffix_array(seq: Column, strategy: str = "arrow") -> Column:
 def suffix_array_bytes(data: Column, strategy: str = "arrow") -> Column:
     """The same of binary data, by bytes."""
     if strategy == "hof":
-        made = F.transform(F.sequence(F.lit(1), F.length(data) + 1), lambda i: F.struct(F.substring(data, i, F.length(data)).alias("s"), i.alias("i")))
+        starts = F.sequence(F.lit(1), F.length(data) + 1)
+        made = each(lambda i, b: F.struct(F.substring(b, i, F.length(b)).alias("s"), i.alias("i")), starts, data)
         return F.when(data.isNotNull(), F.transform(F.array_sort(made), lambda x: x["i"]))
     return _suffix_array_bytes(data)
 
 
 def suffixes(seq: Column, strategy: str = "arrow") -> Column:
     """Structs (suffixindex, suffixstartpos, suffix) in order; suffix is null for the empty one.  Quadratic in size."""
-    n = F.size(seq)
-    return F.transform(suffix_array(seq, strategy), lambda p, k: F.struct((k + 1).alias("suffixindex"), p.alias("suffixstartpos"), F.when(p <= n, F.slice(seq, p, n + 1)).alias("suffix")))
+    sa = suffix_array(seq, strategy)
+    row = lambda k, a, s: F.struct(k.alias("suffixindex"), F.get(a, k - 1).alias("suffixstartpos"), F.when(F.get(a, k - 1) <= F.size(s), F.slice(s, F.get(a, k - 1), F.size(s) + 1)).alias("suffix"))
+    return each(row, F.sequence(F.lit(1), F.size(sa)), sa, seq)
 
 
 def bwt_of_suffix_array(sa: Column, seq: Column) -> Column:
     """The symbols before the suffixes, null for the whole one; an empty sequence has an empty transform."""
-    made = F.transform(sa, lambda i: F.when(i > 1, F.get(seq, i - 2)))
-    return F.when(F.size(seq) > 0, made).when(seq.isNotNull(), F.slice(seq, 1, 0))
+    return F.when(F.size(seq) > 0, gather(seq, F.transform(sa, lambda i: i - 1))).when(seq.isNotNull(), F.slice(seq, 1, 0))
 
 
 def bwt(seq: Column, strategy: str = "arrow") -> Column:
@@ -123,7 +124,7 @@ def bwt_text(text: Column) -> Column:
 
 def inverse(seq: Column, strict: bool = False) -> Column:
     """The sequence whose transform this is (see functions.sequences.inverse_bwt for what isn't one)."""
-    return F.transform(_order(strict)(seq), lambda i: F.get(seq, i - 1))
+    return gather(seq, _order(strict)(seq))
 
 
 def inverse_bytes(seq: Column) -> Column:
@@ -144,8 +145,8 @@ def inverse_text(seq: Column) -> Column:
 def matrix(seq: Column, strategy: str = "arrow") -> Column:
     """All rotations of the sequence with its sentinel, in the order of its suffixes.  Quadratic in size."""
     n, end = F.size(seq), F.transform(F.slice(seq, 1, 1), lambda x: F.nullif(x, x))
-    made = F.transform(suffix_array(seq, strategy), lambda i: F.concat(F.slice(seq, i, n + 1), end, F.slice(seq, 1, i - 1)))
-    return F.when(n > 0, made).otherwise(F.slice(made, 1, 0))
+    made = each(lambda i, s, e: F.concat(F.slice(s, i, F.size(s) + 1), e, F.slice(s, 1, i - 1)), suffix_array(seq, strategy), seq, end)
+    return F.when(n > 0, made).when(seq.isNotNull(), F.slice(made, 1, 0))
 
 
 def suffix_array_long(df: DataFrame, key: str, position: str = "k", symbol: str = "sym") -> DataFrame:

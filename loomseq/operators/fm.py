@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomseq.functions import sequences as sq
 from loomseq.functions import shapes as S
+from loomseq.functions.columns import each
 from loomseq.operators import bwt as bw
 from loomseq.operators.mtf import alphabet
 
@@ -18,8 +19,8 @@ PATTERN_BYTES = 16 << 20
 
 def cc(bwt: Column) -> Column:
     """Array of (c, sym) by symbol: how many symbols of the transform sort before it; null first, with 0."""
-    ordered = F.sort_array(bwt)
-    return F.transform(alphabet(bwt), lambda s: F.struct(F.when(s.isNull(), 0).otherwise(F.array_position(ordered, s).cast("int") - 1).alias("c"), s.alias("sym")))
+    row = lambda s, ordered: F.struct(F.when(s.isNull(), 0).otherwise(F.array_position(ordered, s).cast("int") - 1).alias("c"), s.alias("sym"))
+    return each(row, alphabet(bwt), F.sort_array(bwt))
 
 
 @F.arrow_udf(S.INT_ROWS)
@@ -39,8 +40,8 @@ def _occ(column: pa.Array) -> pa.Array:
 
 def occ(bwt: Column) -> Column:
     """Array of (sym, row of (k, occ, bwt)) by symbol: how often it is among the first k symbols, for every k.  As large as text times alphabet."""
-    counts = _occ(bwt)
-    return F.zip_with(alphabet(bwt), counts, lambda s, row: F.struct(s.alias("sym"), F.transform(row, lambda o, i: F.struct((i + 1).alias("k"), o.alias("occ"), F.get(bwt, i).alias("bwt"))).alias("row")))
+    cells = lambda row, b: F.transform(F.zip_with(row, b, lambda o, x: F.struct(o.alias("o"), x.alias("x"))), lambda z, i: F.struct((i + 1).alias("k"), z["o"].alias("occ"), z["x"].alias("bwt")))
+    return F.zip_with(alphabet(bwt), each(cells, _occ(bwt), bwt), lambda s, row: F.struct(s.alias("sym"), row.alias("row")))
 
 
 def build(seq: Column) -> Column:

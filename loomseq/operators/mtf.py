@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions import sequences as sq
+from loomseq.functions.columns import each, gather
 from loomseq.functions import shapes as S
 
 
@@ -48,13 +49,13 @@ def _decode(indices: pa.Array, sizes: pa.Array) -> pa.Array:
 def encode(seq: Column) -> Column:
     """(indices, symbols): each symbol's 0-based place in a list that begins as ``alphabet`` and gets it moved to the front; the list as it is in the end."""
     made = _encode(seq)
-    return F.when(seq.isNotNull(), F.struct(made["indices"].alias("indices"), F.transform(made["places"], lambda p: F.get(seq, p - 1)).alias("symbols")))
+    return F.when(seq.isNotNull(), F.struct(made["indices"].alias("indices"), gather(seq, made["places"]).alias("symbols")))
 
 
 def decode(pair: Column) -> Column:
     """The sequence; any order of the symbols gives the same.  An index outside the list is an error; no indices or symbols give nothing."""
     symbols = alphabet(pair["symbols"])
-    return F.transform(_decode(pair["indices"], F.size(symbols)), lambda r: F.element_at(symbols, r + 1))
+    return each(lambda r, s: F.element_at(s, r + 1), _decode(pair["indices"], F.size(symbols)), symbols)
 
 
 def encode_long(df: DataFrame, *keys: str, position: str = "k", symbol: str = "sym") -> DataFrame:

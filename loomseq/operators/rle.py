@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions import sequences as sq
+from loomseq.functions.columns import each
 from loomseq.functions import shapes as S
 
 
@@ -29,7 +30,7 @@ def encode(seq: Column, compat: bool = False) -> Column:
 
     ``compat`` repeats or loses nulls at the ends of a sequence (functions.sequences.runs), which can't be undone.
     """
-    return F.transform(RUNS[compat](seq), lambda r: F.struct(r["n"].alias("n"), F.get(seq, r["at"] - 1).alias("value")))
+    return each(lambda r, s: F.struct(r["n"].alias("n"), F.get(s, r["at"] - 1).alias("value")), RUNS[compat](seq), seq)
 
 
 def decode(runs: Column) -> Column:
@@ -47,14 +48,14 @@ def to_flat(runs: Column, binary: bool = False) -> Column:
 def from_flat(flat: Column) -> Column:
     """The runs of such an array: a count that isn't a number, or is null, is an error; an odd last element is left out."""
 
-    def run(i: Column) -> Column:
-        count, value = F.get(flat, 2 * i), F.get(flat, 2 * i + 1)
+    def run(i: Column, f: Column) -> Column:
+        count, value = F.get(f, 2 * i), F.get(f, 2 * i + 1)
         n = F.when(count.isNull(), F.raise_error(F.lit("a run without a count")).cast("int")).otherwise(count.cast("string").cast("int"))
         return F.struct(n.alias("n"), value.alias("value"))
 
     size = F.floor(F.size(flat) / 2).cast("int")
     at = F.slice(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), 1, F.greatest(size, F.lit(0)))
-    return F.when(flat.isNotNull(), F.transform(at, run))
+    return F.when(flat.isNotNull(), each(run, at, flat))
 
 
 def encode_long(df: DataFrame, *keys: str, position: str = "k", symbol: str = "sym") -> DataFrame:

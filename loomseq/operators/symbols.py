@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.functions.columns import each
+
 
 def of_bytes(data: Column) -> Column:
     """Binary to an array of one-byte binaries; empty for empty data, null for null."""
     size = F.length(data)
-    return F.when(size == 0, F.array().cast("array<binary>")).otherwise(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(data, i, F.lit(1))))
+    return F.when(size == 0, F.array().cast("array<binary>")).otherwise(each(lambda i, b: F.substring(b, i, F.lit(1)), F.sequence(F.lit(1), size), data))
 
 
 def of_text(text: Column) -> Column:

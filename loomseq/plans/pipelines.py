@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.functions.columns import settled
 from loomseq.operators import bwt, fm, mtf, rle
 from loomseq.operators import symbols as sy
 
@@ -21,7 +22,7 @@ def encode(df: DataFrame, column: str, steps: list[str], out: str = "code", symb
 
 def decode(df: DataFrame, column: str, steps: list[str], out: str = "text", kind: str = "string", symbols: str = "bytes") -> DataFrame:
     """The inverse; ``kind`` is what the code was made of: string, binary or array."""
-    return df.withColumn(out, decoded(F.col(column), kind, steps, symbols))
+    return settled(df).withColumn(out, decoded(F.col(column), kind, steps, symbols))
 
 
 def _checked(steps: list[str]) -> tuple[bool, str | None]:
