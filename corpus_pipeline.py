@@ -17,7 +17,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8, by 256-bit fingerprints."""
+    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8, verified."""
     return simhash.one_of_each(docs)
 
 
