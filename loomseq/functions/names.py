@@ -128,7 +128,7 @@ def sort_tb(a: Column, b: Column) -> Column:
 def magic_inverse_bwt(pairs: Column) -> Column:
     """The walk from the first null over (sym, idx) pairs (idx 0-based), already in order."""
     # the transform itself: pairs put back by idx
-    return bw.inverse(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p[1].alias("i"), p[0].alias("s")))), lambda p: p["s"]))
+    return bw.inverse(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p["idx"].alias("i"), p["sym"].alias("s")))), lambda p: p["s"]))
 
 
 for kind in ("bytestring", "text"):
