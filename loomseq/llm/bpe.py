@@ -25,8 +25,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomseq.llm.cluster import trimmed, unused
+
 #: The split before the merges, of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters and numbers that Unicode assigned after version 16, whose tables the split follows: to it they are other signs (fixed values).
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+SPLIT = regex.compile(PATTERN)
+HAS_LATER = regex.compile(f"[{LATER}]")
+SPLIT_LATER = regex.compile(
+    PATTERN.replace(r"[^\s\p{L}\p{N}]", "OTHER").replace(r"\p{L}", rf"[\p{{L}}--[{LATER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER}]]").replace("OTHER", rf"[[^\s\p{{L}}\p{{N}}]||[{LATER}]]"), regex.V1
+)
+
+
+def split(text: str) -> list[str]:
+    """The words that merges stay within."""
+    return (SPLIT_LATER if not text.isascii() and HAS_LATER.search(text) else SPLIT).findall(text)
+
+
 #: In the table of transitions: asked for, and there is none.
 NO_ARC = -2
 #: Longer words are encoded one by one.
@@ -274,7 +297,6 @@ class Tokenizer:
         if any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
             raise ValueError(f"{path} has added tokens that take what is beside them")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
         size = max([*labels, *self.special.values()]) + 1
         self.label = np.array([b""] * size, object)
         for i, b in labels.items():
@@ -288,7 +310,7 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The token ids of some texts, whose new words go through the automaton together."""
-        parts = [[p if k % 2 else self.words.findall(p) for k, p in enumerate(self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t])] for t in texts]
+        parts = [[p if k % 2 else split(p) for k, p in enumerate(self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t])] for t in texts]
         known = self.known
         used = {w for text in parts for words in text[::2] for w in words}
         if len(known) > REMEMBERED:
@@ -332,12 +354,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, out: str) -> Iterator
     """The last column, of texts, as token ids."""
     t = tokenizer(path)
     for b in batches:
+        t.known.clear()  # each batch remembers its own words
         kept = b.num_columns - 1
         for part in slices(b, kept):
             ids = t.encode_all([x or "" for x in part.column(kept).to_pylist()])
             off = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
             column = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*part.columns[:kept], column], names=[*b.schema.names[:kept], out])
+        t.known.clear()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, out: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -362,9 +386,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     is replaced.
     """
     kept = [c for c in docs.columns if c.lower() != out.lower()]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    schema = frame.drop("__text").schema.add(out, T.ArrayType(T.IntegerType()))
-    return frame.mapInArrow(lambda batches: _encoded(batches, path, out), schema)
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
+    return frame.mapInArrow(lambda batches: trimmed(_encoded(batches, path, out)), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -373,17 +397,17 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
     Ids that the vocabulary lacks raise an IndexError, null ids inside an array a ValueError.
     """
     kept = [c for c in tokens.columns if c.lower() != out.lower()]
-    frame = tokens.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("__ids"))
-    schema = frame.drop("__ids").schema.add(out, "string")
+    frame = tokens.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias(unused(tokens, "ids")))
+    schema = tokens.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "string")
     return frame.mapInArrow(lambda batches: _decoded(batches, path, out, keep_ids=False), schema)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """All rows with ids and decoded: ``decode`` of what ``encode`` gives, both in one worker.  The text itself isn't kept."""
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded", text_col.lower())]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    schema = frame.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return frame.mapInArrow(lambda batches: _decoded(_encoded(batches, path, "ids"), path, "decoded", keep_ids=True), schema)
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return frame.mapInArrow(lambda batches: trimmed(_decoded(_encoded(batches, path, "ids"), path, "decoded", keep_ids=True)), schema)
 
 
 def default_path() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,6 +62,23 @@ def unpack(batch: pa.RecordBatch, column: str, dtype) -> np.ndarray:
     return np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(dtype) if c.buffers()[2] and off[-1] > off[0] else np.empty(0, dtype)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then gives the memory that the task has freed back to the system, as the worker lives on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def exchange(df: DataFrame, n: int, reduce: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], dtypes: dict[str, str], schema: str) -> DataFrame:
     """Sends packed rows to their bucket's task; ``reduce`` gets all of a bucket as arrays.
 
@@ -78,4 +96,4 @@ def exchange(df: DataFrame, n: int, reduce: Callable[[dict[str, np.ndarray]], It
                 arrays[k] = np.concatenate(parts.pop(k))
             yield from reduce(arrays)
 
-    return df.repartitionById(n, F.col("bucket")).mapInArrow(run, schema)
+    return df.repartitionById(n, F.col("bucket")).mapInArrow(lambda batches: trimmed(run(batches)), schema)

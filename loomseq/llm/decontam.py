@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
+from loomseq.llm.cluster import unused
 
 #: Words are runs of ASCII letters and digits and of bytes of other scripts, in lower case.
 SEPARATOR = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -280,7 +281,7 @@ def clean(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float =
                         keep[d.first + match[0]] = False
                 yield b.select(range(len(names))).filter(pa.array(keep))
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, docs.schema)
+        docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(unused(docs, "text"))).mapInArrow(run, docs.schema)
     return docs
 
 

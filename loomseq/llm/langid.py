@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
-from loomseq.llm.cluster import written
+from loomseq.llm.cluster import unused, written
 
 UNDETERMINED = "und"
 #: Letters a-z as lower case, bytes of other scripts as they are, everything else as one boundary.
@@ -127,9 +127,9 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     """
     made = ("lang_pred", "score")
     kept = [c for c in docs.columns if c.lower() not in made]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    schema = frame.drop("__text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

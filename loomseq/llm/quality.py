@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
+from loomseq.llm.cluster import trimmed, unused
 
 NEWLINE = np.arange(256) == 0x0A
 #: Byte classes whose share of a line is a feature.
@@ -221,8 +222,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     made = ("score", "predicted")
     kept = [c for c in docs.columns if c.lower() not in made]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    schema = frame.drop("__text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             s = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*kept, *made])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
-from loomseq.llm.cluster import exchange, packed, partitions, written
+from loomseq.llm.cluster import exchange, packed, partitions, trimmed, unused, written
 from loomseq.llm.components import components
 
 #: For each byte, its bits in the eight bytes of a word: sums of up to 255 such words count bits side by side.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, words: int = 1, id_col: str
             off = (np.arange(len(raw) + 1) * 8 * words).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "fp": pa.BinaryArray.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(off), pa.py_buffer(raw.tobytes())]), "digest": pa.array(digests, pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary, digest binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: trimmed(run(batches)), "id long, fp binary, digest binary")
 
 
 def counts(fp: np.ndarray, parts: int) -> np.ndarray:
@@ -133,8 +133,13 @@ def meet(fp: np.ndarray, own: np.ndarray, radius: int, parent: np.ndarray) -> np
     """Joins in ``parent`` all near pairs of a row in own (a mask) and any row; a large tile is split by the counts of its quarters."""
 
     def compare(mine: np.ndarray, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        count = counts(fp, 1)[:, 0]
+        mine, others = mine[np.argsort(count[mine], kind="stable")], others[np.argsort(count[others], kind="stable")]
         for i in range(0, len(mine), 128):
+            low, high = count[mine[i]] - radius, count[mine[min(i + 128, len(mine)) - 1]] + radius
             for j in range(0, len(others), 1 << 14):
+                if count[others[j]] > high or count[others[min(j + (1 << 14), len(others)) - 1]] < low:
+                    continue  # no pair of these blocks is within the radius
                 x, y = near(fp[mine[i : i + 128]], fp[others[j : j + (1 << 14)]], radius)
                 if len(x):
                     parent = roots(parent, mine[i : i + 128][x], others[j : j + (1 << 14)][y])
@@ -157,8 +162,9 @@ def links(classes: DataFrame, radius: int, words: int = 1) -> DataFrame:
     """(a, b): edges between ids of ``classes`` (id, fp; one row a fingerprint) that join exactly what chains of fingerprints
     within the radius join; from each task at most one edge a fingerprint, never all pairs of a group.
 
-    A narrow radius deals fingerprints by the counts of both halves, each tile getting those tiles within reach; a wide one by
-    ranges of the whole count, as wide as the radius.  ``salts`` cuts tiles so that none outgrows a task and all tasks have some.
+    A narrow radius deals fingerprints by the counts of both halves, each tile getting those tiles within reach.  Under a wide one
+    counts set few apart: then fingerprints are dealt at random and blocks of them are skipped by their ranges of counts.
+    ``salts`` cuts tiles so that none outgrows a task and all tasks have some.
     """
     n, total = partitions(classes.sparkSession), classes.count()
     narrow = radius <= NARROW
@@ -166,7 +172,7 @@ def links(classes: DataFrame, radius: int, words: int = 1) -> DataFrame:
         around = [(i, j) for i in range(radius + 1) for j in range(-radius, radius + 1) if (i > 0 or j >= 0) and i + abs(j) <= radius]
         salts = max(1, -(-total // (25 * TILE)))
     else:
-        around, salts = [(0, 0), (1, 0)], max(-(-total // TILE), math.isqrt(2 * n))
+        around, salts = [(0, 0)], max(-(-total // TILE), math.isqrt(2 * n))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +180,7 @@ def links(classes: DataFrame, radius: int, words: int = 1) -> DataFrame:
             if not len(ids):
                 continue
             fp = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype("<u8").reshape(len(ids), words)
-            cell = counts(fp, 2).astype(np.int64) if narrow else np.stack([counts(fp, 1)[:, 0] // (radius + 1), np.zeros(len(ids), np.int64)], axis=1).astype(np.int64)
+            cell = counts(fp, 2).astype(np.int64) if narrow else np.zeros((len(ids), 2), np.int64)
             salt = (tv.mix(fp[:, 0] + np.uint64(7)) % np.uint64(salts)).astype(np.int64)
             keys, own, rows = [], [], []
 
@@ -185,9 +191,10 @@ def links(classes: DataFrame, radius: int, words: int = 1) -> DataFrame:
 
             every = np.arange(len(ids))
             for other in range(salts):
-                send(0, 0, salt, np.full(len(ids), other), True, every)
+                who = every if narrow else every[salt <= other]
+                send(0, 0, salt[who], np.full(len(who), other), True, who)
                 for i, j in around:
-                    who = every[salt > other] if (i, j) == (0, 0) else every  # a tile meets itself once
+                    who = every[salt > other] if (i, j) == (0, 0) else every  # tiles of one cell meet once
                     send(i, j, np.full(len(who), other), salt[who], False, who)
             keys, own, rows = map(np.concatenate, (keys, own, rows))
             yield packed({"k": keys, "own": own, "id": ids[rows]} | {f"w{w}": fp[rows, w] for w in range(words)}, (tv.mix(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int64), n)
@@ -260,7 +267,7 @@ def verified(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
             yield alike(held, threshold)
 
     dealt = rows.mapInArrow(deal, "bucket int, group long, low int, high int, side int, id long, set binary")
-    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("group", "low", "high", "side", "id").mapInArrow(compare, "a long, b long")
+    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("group", "low", "high", "side", "id").mapInArrow(lambda batches: trimmed(compare(batches)), "a long, b long")
 
 
 def alike(rows: list[tuple[int, int, np.ndarray]], threshold: float) -> pa.RecordBatch:
@@ -285,10 +292,12 @@ def alike(rows: list[tuple[int, int, np.ndarray]], threshold: float) -> pa.Recor
         incident = np.zeros((len(rows), 2048), np.float32)
         incident[owner[a:b], at[a:b] - i] = 1
         common += incident[mine] @ incident[others].T
-    union = size[mine][:, None] + size[others][None, :] - common
-    x, y = np.nonzero(common >= threshold * union - 1e-3)
-    exact = common[x, y].astype(np.float64) >= threshold * union[x, y]
-    parent = roots(np.arange(len(rows)), mine[x[exact]], others[y[exact]])
+    parent = np.arange(len(rows))
+    for i in range(0, len(mine), 64):
+        part = common[i : i + 64].astype(np.float64)
+        union = size[mine[i : i + 64]][:, None] + size[others][None, :] - part
+        x, y = np.nonzero(part >= threshold * union)
+        parent = roots(parent, mine[i + x], others[y])
     moved = np.flatnonzero(parent != np.arange(len(rows)))
     return pa.RecordBatch.from_pydict({"a": ids[moved], "b": ids[parent[moved]]})
 
@@ -310,7 +319,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 2, radius: i
     if threshold is not None:
         groups = written(found.select(F.col("node").alias("id"), F.col("component").alias("group")).distinct(), "simhash-groups")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        members = written(texts.join(groups, "id").groupBy("id", "group").agg(F.min("text").alias("text")), "simhash-members")
+        # merge joins at every size: whether a list of ids is small enough to send to all shouldn't change the plan
+        members = written(texts.join(groups.hint("merge"), "id").groupBy("id", "group").agg(F.min("text").alias("text")), "simhash-members")
         found = components(verified(members, shingle, threshold))
     merged = written(classes.join(found, classes.id == found.node, "left").select(*kind, F.coalesce("component", "id").alias("component")), "simhash-components")
     return prints.join(merged, kind, "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
@@ -321,7 +331,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFram
     found = near_duplicates(docs, id_col=id_col, **settings)
     stay = found.where("id = component").groupBy("id").agg(F.count("*").alias("rows"))
     stay = written(stay, "simhash-kept")
-    kept = docs.join(stay.select(F.col("id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left_semi")
+    kept_id = unused(docs, "kept")
+    kept = docs.join(stay.select(F.col("id").alias(kept_id)).hint("merge"), F.col(id_col) == F.col(kept_id), "left_semi")
     if not stay.where("rows > 1").isEmpty():  # rows that repeat an id
         kept = kept.dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))
