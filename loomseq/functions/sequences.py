@@ -233,11 +233,12 @@ def bytes_flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def codes_of(values: pa.Array) -> np.ndarray:
     """Codes of the values in their order, null as 0."""
     if pa.types.is_binary(values.type) and len(values):
-        size = np.asarray(pc.fill_null(pc.binary_length(values), 1))
-        if (size == 1).all():
+        off = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+        valid = np.asarray(values.is_valid()) if values.null_count else np.ones(len(values), bool)
+        if (np.diff(off)[valid] == 1).all():
             out = np.zeros(len(values), np.int32)
-            valid = np.asarray(values.is_valid())
-            out[valid] = np.frombuffer(b"".join(x for x in values.to_pylist() if x is not None), np.uint8).astype(np.int32) + 1
+            if valid.any():
+                out[valid] = np.frombuffer(values.buffers()[2], np.uint8)[off[:-1][valid]].astype(np.int32) + 1
             return out
     encoded = values.dictionary_encode()
     words = encoded.dictionary
