@@ -178,10 +178,10 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFra
         yield _to_documents(x["d"][rows], x["p"][rows], n)
 
     per_document = {"k": "<i8", "p": "<i4"}
-    asked = docs.join(copies.hint("merge"), "id", "left_anti").select("id", "text").mapInArrow(lambda batches: trimmed(anchors(batches)), "bucket int, k binary, d binary, p binary, known binary")
+    asked = docs.join(copies, "id", "left_anti").select("id", "text").mapInArrow(lambda batches: trimmed(anchors(batches)), "bucket int, k binary, d binary, p binary, known binary")
     told = exchange(asked, n, again, {c: t for c, t in DTYPES.items() if c != "h2"}, "bucket int, k binary, p binary")
     marked = exchange(told, n, _by_document, per_document, "id long, at binary")
-    extended = docs.join(marked.hint("merge"), "id").select("id", "text", "at", "row").mapInArrow(lambda batches: trimmed(windows(batches)), f"bucket int, {ENTRY}")
+    extended = docs.join(marked, "id").select("id", "text", "at", "row").mapInArrow(lambda batches: trimmed(windows(batches)), f"bucket int, {ENTRY}")
     told = exchange(extended, n, later, DTYPES, "bucket int, k binary, p binary")
     return exchange(told, n, _by_document, per_document, "id long, at binary")
 
@@ -226,7 +226,7 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
                     kept_out.append(b" ".join(parts if keep is None else [w for w, k in zip(parts, keep.tolist(), strict=True) if k]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words_out, pa.int64()), pa.array(removed_out, pa.int64()), pa.array(kept_out, pa.binary()).cast(pa.string()), b.column(1)], names=["row", *made, "text"])
 
-    joined = frame.join(found.hint("merge"), "id", "left").select("row", "text", "at")
+    joined = frame.join(found, "id", "left").select("row", "text", "at")
     schema = joined.drop("at").select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), "text").schema
     out = joined.mapInArrow(lambda batches: trimmed(remove(batches)), schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], *made)
