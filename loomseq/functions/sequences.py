@@ -21,7 +21,8 @@ def owners(first: np.ndarray) -> np.ndarray:
 def suffix_arrays(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start positions of all suffixes in order, the empty one first, and where each sequence's begin.
 
-    Prefix doubling: ranks by the first k symbols, then by pairs of ranks k apart; all sequences of the batch together.
+    Prefix doubling: ranks by the first k symbols, then by pairs of ranks k apart, of suffixes that still share theirs only; all
+    sequences of the batch together.
     """
     n = np.diff(first) + 1
     begin = np.concatenate(([0], np.cumsum(n)))
@@ -41,24 +42,44 @@ def suffix_arrays(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     else:
         top = np.uint64(int(codes.max(initial=0)) + 1)
         key, k = own.astype(np.uint64) * top + text.astype(np.uint64), 1
-    rank, order, unique = _ranks(key)
-    while not unique:
-        ahead = np.zeros(total, np.uint64)
-        inside = np.flatnonzero(left > k)
-        ahead[inside] = rank[inside + k] + np.uint64(1)
-        rank, order, unique = _ranks(rank * np.uint64(total + 1) + ahead)
+    order = np.argsort(key)
+    at = np.arange(total)
+    # a suffix's rank is the place of its group's first member, so that groups can be refined on their own
+    start = _group_starts(key[order], at)
+    rank = np.empty(total, np.int64)
+    rank[order] = start
+    left_over = order[_shared(start)]
+    while len(left_over):
+        ahead = np.zeros(len(left_over), np.int64)
+        inside = left[left_over] > k
+        ahead[inside] = rank[left_over[inside] + k] + 1
+        key = rank[left_over] * (total + 1) + ahead
+        by = np.argsort(key)
+        members, at = left_over[by], np.arange(len(by))
+        group = rank[members]
+        start = group + _group_starts(key[by], at) - _group_starts(group, at)
+        rank[members] = start
+        left_over = members[_shared(start)]
         k *= 2
+    order = np.empty(total, np.int64)
+    order[rank] = np.arange(total)
     return order - begin[own[order]] + 1, begin
 
 
-def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    order = np.argsort(key)
-    ordered = key[order]
-    new = np.ones(len(key), bool)
+def _group_starts(ordered: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of some ordered values the place of the first that equals it."""
+    new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(len(key), np.uint64)
-    rank[order] = np.cumsum(new).astype(np.uint64) - np.uint64(1) if len(key) else 0
-    return rank, order, bool(new.all())
+    return np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+
+
+def _shared(start: np.ndarray) -> np.ndarray:
+    """Mask of those whose group has others."""
+    out = np.zeros(len(start), bool)
+    same = start[1:] == start[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
 
 
 def bwt(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
