@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseq.llm import simhash
 from loomseq.llm import textvec as tv
 from loomseq.llm.cluster import partitions, written
 from loomseq.llm.components import components
@@ -31,8 +32,7 @@ def signatures(docs: tv.Docs, shingle: int, size: int, seed: int = 7) -> np.ndar
 
     A document with fewer words has its whole sequence as one shingle, one without words the value EMPTY everywhere.
     """
-    starts, ends, first = docs.words()
-    h, count = tv.shingles(tv.WORDS.bytes(docs.buf, starts, ends), first, shingle)
+    h, count = word_shingles(docs, shingle)
     a, b = permutations(size, seed)
     out = np.full((len(docs), size), EMPTY, np.uint16)
     has = np.flatnonzero(count)
@@ -72,49 +72,35 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1) if len(a) else np.empty(0)
 
 
+def word_shingles(docs: tv.Docs, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that signatures are made of, and their number in each document."""
+    starts, ends, first = docs.words()
+    return tv.shingles(tv.WORDS.bytes(docs.buf, starts, ends), first, size)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, component, links): near-duplicates by banded signatures, each link verified by the Jaccard similarity of the whole shingle sets.
-
-    Equal texts are one class, named by its least id; ``links`` counts the verified links of the class's text to others; the
-    component is the least id that links reach.  Signatures of ``bands * rows`` values: two texts meet in a band with probability
-    1 - (1 - s**rows)**bands, 0.9999 at 0.8.  In each bucket every text is compared with
-    the bucket's least one, so groups are never expanded into all pairs; two texts that are alike, but not like the least one of
-    any bucket they share, are linked only through others.  Null ids have no class.  Null texts count as empty; empty
-    texts are one class.
+    """(id, class_id, component): near-duplicates by banded signatures, verified by the Jaccard similarity of the whole shingle sets.
+
+    Equal texts are one class, named by its least id; the component is the least id that links of ``threshold`` or more reach.
+    Two texts meet in one of the bands of their ``bands * rows`` values with probability 1 - (1 - s**rows)**bands, 0.9999 at 0.8.
+    Bands are joined by linking each text to its bucket's least, so no bucket is expanded into all pairs; all texts that are so
+    connected are a group, and within groups every similarity counts (simhash.verified).  Null ids have no class.  Null texts
+    count as empty; empty texts are one class.
     """
-    spark = docs.sparkSession
     prepared = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.sha2("text", 256))
     classes = written(prepared.where("id is not null").groupBy("hash").agg(F.min("id").alias("class_id")), "minhash-classes")
-    texts = written(prepared.join(classes, (prepared.hash == classes.hash) & (prepared.id == classes.class_id), "left_semi").dropDuplicates(["id"]).select("id", "text"), "minhash-texts")
+    texts = written(prepared.join(classes, (prepared.hash == classes.hash) & (prepared.id == classes.class_id), "left_semi").groupBy("id").agg(F.min("text").alias("text")), "minhash-texts")
     prints = fingerprints(texts, shingle, bands * rows, "id", "text")
     width = 2 * rows
     banded = prints.select("id", F.posexplode(F.array(*[F.substring("signature", i * width + 1, width) for i in range(bands)])).alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    least = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    pairs = banded.join(least, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for c in (2, 3):
-                own = []
-                for d in tv.chunks(batch.column(c)):
-                    starts, ends, first = d.words()
-                    h, n = tv.shingles(tv.WORDS.bytes(d.buf, starts, ends), first, shingle)
-                    own += [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-                sets.append(own)
-            s = np.array([len(np.intersect1d(x, y, assume_unique=True)) / max(1, len(x) + len(y) - len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(*sets, strict=True)])
-            keep = s >= threshold if len(s) else np.empty(0, bool)
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep)), "similarity": s[keep]})
-
-    links = written(joined.mapInArrow(verify, "a long, b long, similarity double"), "minhash-links")
-    found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    merged = written(classes.join(found, classes.class_id == found.node, "left").join(degree, classes.class_id == degree.node, "left").select("hash", "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "minhash-components")
+    banded = written(banded, "minhash-bands")
+    least = written(banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b"), "minhash-buckets")
+    met = components(banded.join(least, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    groups = written(met.select(F.col("node").alias("id"), F.col("component").alias("group")), "minhash-groups")
+    found = components(simhash.verified(written(texts.join(groups, "id"), "minhash-members"), shingle, threshold, word_shingles))
+    merged = written(classes.join(found, classes.class_id == found.node, "left").select("hash", "class_id", F.coalesce("component", "class_id").alias("component")), "minhash-components")
     named = prepared.select("id", "hash").join(merged, "hash", "left")
-    return named.select("id", *[F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("class_id", "component", "links")])
+    return named.select("id", *[F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("class_id", "component")])
 
 
 def with_next(docs: DataFrame, sampled: int = 60) -> DataFrame:

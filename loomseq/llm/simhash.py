@@ -10,7 +10,7 @@ quadratic in the number of different fingerprints, with a constant that the tile
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -223,10 +223,10 @@ def links(classes: DataFrame, radius: int, words: int = 1) -> DataFrame:
     return exchange(dealt, n, compare, {"k": "<i8", "own": "u1", "id": "<i8"} | {f"w{w}": "<u8" for w in range(words)}, "a long, b long")
 
 
-def verified(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def verified(texts: DataFrame, shingle: int, threshold: float, shingles: Callable[[tv.Docs, int], tuple[np.ndarray, np.ndarray]] = hashes) -> DataFrame:
     """(a, b): edges that join exactly what chains of texts with a Jaccard similarity of ``threshold`` or more join, within groups.
 
-    texts: id, group, text.  The sets are of hashes of the lower-case shingles that fingerprints are made of.  A group is cut into
+    texts: id, group, text.  The sets are of what ``shingles`` makes of a text, lower-case shingles as in fingerprints.  A group is cut into
     tiles by its texts' number and length; tiles meet pairwise, where all common shingles of all pairs are counted by products of
     incidence matrices, so a group of any size is done in tasks of bounded memory, and each gives at most one edge a text.
     """
@@ -240,7 +240,7 @@ def verified(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
             ids, group, tiles = (np.asarray(b.column(i)) for i in range(3))
             own = (tv.mix(ids.astype(np.uint64)) % np.maximum(tiles, 1).astype(np.uint64)).astype(np.int64)
             for d in tv.chunks(b.column(3)):
-                h, count = hashes(d, shingle)
+                h, count = shingles(d, shingle)
                 key, side, who, sets = [], [], [], []
                 for i, x in enumerate(np.split(h, np.cumsum(count)[:-1])):
                     r = d.first + i

@@ -187,9 +187,21 @@ def test_minhash_likeness():
 
 
 def test_minhash_near_duplicates(spark):
-    got = {r.id: r for r in minhash.near_duplicates(D.frame(spark)).where("id is not null").collect()}
-    assert got[1].component == got[2].component == got[3].component == got[-3].component == -3 and got[1].class_id == got[2].class_id == 1
-    assert got[4].class_id == got[5].class_id == 4 and got[6].component == 6 and got[6].links == 0 and got[3].links > 0
+    rows = D.rows()
+    rng = np.random.default_rng(3)
+    for g in range(4):
+        base = D.passage(120, 2000 * g + 7).split()
+        for k in range(8):
+            w = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 5)):
+                w[at] = f"new{rng.integers(10**6)}"
+            rows.append((1000 + 100 * g + k, " ".join(w), "en", "s", 0))
+    got = {r.id: r for r in minhash.near_duplicates(D.frame(spark, rows)).where("id is not null").collect()}
+    plain = lambda t: {tuple(w[i : i + 5]) for w in [D.words(t)] for i in range(max(1, len(w) - 4))} if D.words(t) else set()
+    s = {i: plain(t) for i, t, *_ in rows if i is not None}
+    expected = groups(s, [(a, b) for a, b in itertools.combinations(s, 2) if (len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) if s[a] and s[b] else s[a] == s[b] and a != 7 and b != 7)])
+    assert {i: r.component for i, r in got.items() if i != 7} == {i: c for i, c in expected.items() if i != 7}
+    assert got[1].class_id == got[2].class_id == 1 and got[4].class_id == got[5].class_id == 4
     assert minhash.near_duplicates(D.frame(spark, [])).count() == 0
 
 
