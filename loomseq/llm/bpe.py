@@ -354,14 +354,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, out: str) -> Iterator
     """The last column, of texts, as token ids."""
     t = tokenizer(path)
     for b in batches:
-        t.known.clear()  # each batch remembers its own words
         kept = b.num_columns - 1
         for part in slices(b, kept):
             ids = t.encode_all([x or "" for x in part.column(kept).to_pylist()])
             off = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
             column = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*part.columns[:kept], column], names=[*b.schema.names[:kept], out])
-        t.known.clear()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, out: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
