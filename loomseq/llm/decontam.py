@@ -30,7 +30,7 @@ COORDINATES, GAPS = 6, (2, 3)
 #: Items of fewer words are looked up by runs of words that so few edits leave whole.
 SHORT = 8
 #: Text of benchmark items that workers hold at a time; more are taken in blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 LEAST_REPETITIONS, MOST_REPETITIONS = 6, 32
 
 
@@ -41,15 +41,13 @@ def words_of(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """A set of 64-bit keys, with a bitmap before the search."""
+    """A bitmap of 64-bit keys: tells which keys may be among them."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.map = np.zeros(1 << max(12, (16 * len(self.keys)).bit_length()), bool)
-        self.map[self.keys & np.uint64(len(self.map) - 1)] = True
+        self.map = np.zeros(1 << max(12, (8 * len(keys)).bit_length()), bool)
+        self.map[keys & np.uint64(len(self.map) - 1)] = True
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        """Mask of the keys that may be in the set."""
         return self.map[keys & np.uint64(len(self.map) - 1)]
 
 
@@ -75,7 +73,7 @@ class Walk:
                 at, who, key = at[keep], who[keep], key[keep]
             else:
                 out.append(key)
-        return who, out if filters is None else [key]
+        return who, (out if filters is None else [key])
 
 
 def walks(number: int, seed: int = 11) -> list[Walk]:
@@ -97,21 +95,23 @@ class Index:
         self.edits = np.array([allowed(n, share) for n in self.size.tolist()], np.int64)
         long = [i for i, n in enumerate(self.size) if n >= SHORT]
         self.flat = np.concatenate([words[i] for i in long]) if long else np.empty(0, np.uint64)
-        begin = np.cumsum([0, *[len(words[i]) for i in long]])
         #: item and offset of each window
         self.item = np.repeat(np.array(long, np.int64), [len(words[i]) - SHORT // 2 + 1 for i in long])
         self.offset = np.concatenate([np.arange(len(words[i]) - SHORT // 2 + 1) for i in long]) if long else np.empty(0, np.int64)
-        self.starts = np.repeat(begin[:-1], [len(words[i]) - SHORT // 2 + 1 for i in long]) + self.offset
         self.first = Filter(self.flat)
         self.tables: list[tuple[Walk, list[Filter], np.ndarray, np.ndarray]] = []
-        # a walk must not leave its item for the next one's words: each item's words end in its own stop
-        for walk in walks(MOST_REPETITIONS):
-            padded, at = self._padded(long)
+        # repetitions, each with its own stops behind items, until items with planted edits are found as often as they should be
+        padded, at = self._padded(long)
+        missed = trials = self._edited(long)
+        self.expected = 1.0
+        for walk in walks(MOST_REPETITIONS if long else 0):
             _, keys = walk.keys(padded, at)
             order = np.argsort(keys[-1], kind="stable")
             self.tables.append((walk, [Filter(k) for k in keys], keys[-1][order], order))
-        self.repetitions, self.expected = self._enough(long, recall)
-        self.tables = self.tables[: self.repetitions]
+            missed = [(i, text) for i, text in missed if i not in self._found(text, *self.tables[-1])]
+            self.expected = 1 - len(missed) / max(1, len(trials))
+            if len(self.tables) >= LEAST_REPETITIONS and self.expected >= recall:
+                break
         # short items: runs of words, of which one is left whole by the allowed edits (all words if none is allowed)
         self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         parts: dict[int, list[tuple[np.uint64, int, int]]] = {}
@@ -141,31 +141,25 @@ class Index:
             key = tv.mix(key ^ w)
         return key
 
-    def _enough(self, long: list[int], recall: float, trials: int = 4) -> tuple[int, float]:
-        """Repetitions that find the target share of items with as many random edits as are allowed, and the share they find."""
+    def _edited(self, long: list[int], trials: int = 4) -> list[tuple[int, np.ndarray]]:
+        """Items (400 at most) with as many random edits as they may have, on which recall is measured."""
         rng = np.random.default_rng(5)
-        hits, total = np.zeros(MOST_REPETITIONS), 0
-        some = [long[j] for j in rng.permutation(len(long))[:400]]
-        for i in some:
+        out = []
+        for i in [long[j] for j in rng.permutation(len(long))[:400]]:
             for _ in range(trials):
                 w = list(self.words[i])
                 for _ in range(int(self.edits[i])):
                     kind, at = rng.integers(3), int(rng.integers(len(w)))
                     new = rng.integers(0, 2**63, dtype=np.uint64)
                     w = w[:at] + ([new] if kind == 0 else [] if kind == 1 else [new, w[at]]) + w[at + 1 :]
-                total += 1
-                text = np.array(w, np.uint64)
-                for r, (walk, filters, keys, order) in enumerate(self.tables):
-                    who, (key,) = walk.keys(text, np.arange(len(text)), filters)
-                    low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                    if any(i in self.item[order[a:b]] for a, b in zip(low, high, strict=True)):
-                        hits[r] += 1
-                        break
-        found = np.cumsum(hits) / max(1, total)
-        if not total or found[-1] < recall:
-            return MOST_REPETITIONS if total else 0, float(found[-1]) if total else 1.0
-        r = max(LEAST_REPETITIONS - 1, int(np.argmax(found >= recall)))
-        return r + 1, float(found[r])
+                out.append((i, np.array(w, np.uint64)))
+        return out
+
+    def _found(self, text: np.ndarray, walk: Walk, filters: list[Filter], keys: np.ndarray, order: np.ndarray) -> set[int]:
+        """The items that one repetition finds in a text."""
+        _, (key,) = walk.keys(text, np.arange(len(text)), filters)
+        low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+        return {i for a, b in zip(low, high, strict=True) for i in self.item[order[a:b]].tolist()}
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, place): items that may be in the words, with the place where the item would begin."""
