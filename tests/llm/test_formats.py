@@ -344,3 +344,16 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    expected = db.execute(f"select {', '.join(columns)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(expected)
