@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomseq.functions.columns import settled
 from loomseq.operators import bwt, fm, mtf, rle
 from loomseq.operators import symbols as sy
-from loomseq.sources.tables import table
+from loomseq.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,7 +64,7 @@ for _name, _key, _text in (("part", "p_partkey", "p_name"), ("customer", "c_cust
 
 @query(_bwt_sql("conversations", "id", "text").replace("select id,", "select conv_id * 100000 + turn as id,", 1) + " select id, k, sym from b")
 def bwt_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.posexplode(bwt.bwt_text(F.col("text"))).alias("p", "s"))
+    rows = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.posexplode(bwt.bwt_text(F.col("text"))).alias("p", "s"))
     return rows.select("id", (F.col("p") + 1).cast("long").alias("k"), sym("s").alias("sym"))
 
 
@@ -88,7 +88,7 @@ def suffix_array_long_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trip(name: str, encode: Callable[[Column], Column], decode: Callable[[Column], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        coded = table(spark, sf_dir, "documents").select("doc_id", encode(bwt.bwt_text(F.col("text"))).alias("code"))
+        coded = spread(table(spark, sf_dir, "documents")).select("doc_id", encode(bwt.bwt_text(F.col("text"))).alias("code"))
         return settled(coded).select("doc_id", bwt.inverse_text(decode(F.col("code"))).alias("text"))
 
     QUERIES[name], ORACLES[name] = run, "select doc_id, text from documents"
@@ -103,7 +103,7 @@ _round_trip("rle_flat_round_trip_docs", lambda c: rle.to_flat(rle.encode(c), bin
 @query("select conv_id, turn, text from conversations")
 def fm_round_trip_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restores every text from its whole index (C, Occ and suffix array)."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     built = settled(turns.select("conv_id", "turn", fm.build(sy.of_text(F.col("text"))).alias("i")))
     return built.select("conv_id", "turn", bwt.inverse_text(fm.to_bwt(F.col("i"))).alias("text"))
 
@@ -181,7 +181,7 @@ def mtf_inverse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with t as (select distinct doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as sym from documents) select doc_id, row_number() over (partition by doc_id order by sym) as i, sym from t")
 def alphabet_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(mtf.alphabet(sy.of_text(F.col("text")))).alias("p", "s"))
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(mtf.alphabet(sy.of_text(F.col("text")))).alias("p", "s"))
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), sym("s").alias("sym"))
 
 
@@ -227,7 +227,7 @@ def _counted(found: DataFrame) -> DataFrame:
 
 @query(COUNTS)
 def fm_count_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(fm.count(fm.index_bytes(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", list(COUNTED)))
+    return _counted(fm.count(fm.index_bytes(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "doc_id", list(COUNTED)))
 
 
 @query(COUNTS)
@@ -235,14 +235,14 @@ def text_count_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without an index."""
     data = F.col("text").cast("binary")
     each = F.array(*[F.struct(F.lit(p.encode()).alias("pattern"), fm.text_count(data, p.encode()).alias("n")) for p in COUNTED])
-    rows = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.posexplode(each).alias("pattern_idx", "r"))
+    rows = spread(table(spark, sf_dir, "documents")).where("text <> ''").select("doc_id", F.posexplode(each).alias("pattern_idx", "r"))
     return _counted(rows.select("doc_id", "pattern_idx", "r.pattern", "r.n"))
 
 
 @query("select doc_id, nullif(cast(case when contains(text, 'Z') then (length(text) - length(replace(text, 'Zthe', ''))) / 4 else (length(text) - length(replace(text, 'the', ''))) / 3 end as bigint), 0) as n from documents where contains(text, 't') and contains(text, 'h') and contains(text, 'e')")
 def fm_count_compat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern with a letter that many texts lack, in the mode that then looks for what is behind it."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").contains("t") & F.col("text").contains("h") & F.col("text").contains("e"))
+    docs = spread(table(spark, sf_dir, "documents")).where(F.col("text").contains("t") & F.col("text").contains("h") & F.col("text").contains("e"))
     return fm.count(fm.index_bytes(docs, "doc_id", "text"), "doc_id", ["Zthe"], compat=True).select("doc_id", F.col("n").cast("long").alias("n"))
 
 
@@ -252,7 +252,7 @@ _hexed = ", ".join(f"({i}, '{p.encode().hex().upper()}')" for i, p in enumerate(
 
 @query(f"with p(pattern_idx, q) as (values {_hexed}), t as (select doc_id, hex(encode(text)) as h from documents), f as (select doc_id, h, pattern_idx, unnest(list_filter(range(1, strlen(h) // 2 + 1), lambda i: substr(h, 2 * i - 1, strlen(q)) = q)) as pos from t, p where contains(h, q)) select doc_id, cast(pattern_idx as bigint) as pattern_idx, row_number() over (partition by doc_id, pattern_idx order by substr(h, 2 * pos - 1)) as k, pos from f")
 def fm_locate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fm.locate(fm.index_bytes(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", list(LOCATED))
+    found = fm.locate(fm.index_bytes(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "doc_id", list(LOCATED))
     rows = found.select("doc_id", F.col("pattern_idx").cast("long").alias("pattern_idx"), F.posexplode("positions").alias("p", "pos"))
     return rows.select("doc_id", "pattern_idx", (F.col("p") + 1).cast("long").alias("k"), F.col("pos").cast("long").alias("pos"))
 
@@ -282,6 +282,6 @@ def bwt_round_trip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compression_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each language: documents, bytes, runs of the transforms and the sum of their move-to-front indices."""
-    rows = table(spark, sf_dir, "documents").select("lang", F.octet_length("text").cast("long").alias("bytes"), bwt.bwt_text(F.col("text")).alias("b"))
+    rows = spread(table(spark, sf_dir, "documents")).select("lang", F.octet_length("text").cast("long").alias("bytes"), bwt.bwt_text(F.col("text")).alias("b"))
     measured = rows.select("lang", "bytes", F.size(rle.encode(F.col("b"))).cast("long").alias("runs"), F.aggregate(mtf.encode(F.col("b"))["indices"], F.lit(0).cast("long"), lambda a, x: a + x).alias("indices"))
     return measured.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.sum("runs").alias("runs"), F.sum("indices").alias("indices"))

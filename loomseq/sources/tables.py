@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt to all cores: for work on rows that costs far more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def save_index(df: DataFrame, key: str, data: str, path: str) -> None:
     """Builds the compact index of a text or binary column and writes it: built once, searched by any later session."""
     fm.index_bytes(df, key, data).write.mode("overwrite").parquet(path)
