@@ -153,6 +153,31 @@ def test_verified_near_duplicates(spark, monkeypatch):
     assert simhash.one_of_each(D.frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_lines_and_short_texts(spark):
+    line = " ".join(f"line{i}" for i in range(14))
+    rows = []
+    for g in range(6):
+        body = D.passage(90, 1000 * g)
+        rows += [(10 * g + k, "\n".join([body, *[line] * r]), "en", "s", 0) for k, r in enumerate((1, 10, 20))]
+    for g in range(80):
+        short = " ".join(f"s{g}x{i}" for i in range(8))
+        rows += [(1000 + 2 * g, short, "en", "s", 0), (1001 + 2 * g, short + " more", "en", "s", 0)]
+    s = {i: sets(t) for i, t, *_ in rows}
+    expected = groups(s, [(a, b) for a, b in itertools.combinations(s, 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
+    assert len(set(expected.values())) == 86
+    assert {r.id: r.component for r in simhash.near_duplicates(D.frame(spark, rows)).collect()} == expected
+
+
+def test_possible_sets():
+    sets_ = simhash.Sets(0.8)
+    for a in range(1, 60):
+        for b in range(a, 60):
+            reachable = [c for c in range(a + 1) if c >= 0.8 * (a + b - c)]
+            differ = np.array([0, 1])
+            got = sets_.possible(np.array([a, a]), np.array([b, b]), differ, 34).tolist()
+            assert got == [bool(reachable), bool(reachable) and not (a == b and reachable == [a])]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200), (200, 201)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
