@@ -5,13 +5,17 @@ random function of (j, symbol) gives.  Sequences few edits apart have walks that
 their embeddings differ in few places: edit distance becomes Hamming distance.  Bit-sampling LSH takes a few coordinates of the
 embedding as a key.  Here the symbols are words, every place of a document starts an item-sized window, every place of an item
 likewise, and the keys' coordinates lie in the first steps of the walk, so no walk is followed further than they need.  A window
-leaves the walk as soon as its coordinates so far agree with no item's.  Each repetition has its own walk and coordinates; their
-number is what reaches the target recall on items with planted edits.  Candidates are verified by the exact edit distance
+leaves the walk as soon as its coordinates so far agree with no item's.  Each repetition has its own walk and coordinates.
+Recall is measured by classes of length on items with planted edits, random and evenly spread ones.  Repetitions are added until
+all classes reach the target; a class that would need too many is found exactly instead, by the runs of words of which the
+allowed edits leave one whole.  Candidates are verified by the exact edit distance
 between the item and the best passage around the place.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +36,10 @@ SHORT = 8
 #: Text of benchmark items that workers hold at a time; more are taken in blocks.
 BLOCK_BYTES = 1 << 19
 LEAST_REPETITIONS, MOST_REPETITIONS = 6, 32
+#: Edited items of each length class and kind of edits on which recall is measured, at least.
+TRIALS = 1000
+#: Edits at random, evenly spread ones, and evenly spread ones that all replace a word.
+KINDS = ("random", "spread", "replaced")
 
 
 def words_of(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +94,11 @@ def allowed(n: int, share: float) -> int:
     return int(share * n + 1e-9)
 
 
+def length_class(n: int) -> int:
+    """Two classes an octave: 8 to 11 words, 12 to 15, 16 to 22, 23 to 31 and so on."""
+    return int(2 * math.log2(n))
+
+
 class Index:
     """The keys of all windows of the items, for each repetition."""
 
@@ -98,31 +111,45 @@ class Index:
         #: item and offset of each window
         self.item = np.repeat(np.array(long, np.int64), [len(words[i]) - SHORT // 2 + 1 for i in long])
         self.offset = np.concatenate([np.arange(len(words[i]) - SHORT // 2 + 1) for i in long]) if long else np.empty(0, np.int64)
-        self.first = Filter(self.flat)
+        self.first = Filter(np.concatenate([self.flat[:0], *words]))
         self.tables: list[tuple[Walk, list[Filter], np.ndarray, np.ndarray]] = []
-        # repetitions, each with its own stops behind items, until items with planted edits are found as often as they should be
+        # repetitions, each with its own stops behind items, until items with planted edits are found as often as they should be;
+        # a class that the least number leaves so far off that it would take more than twice as many goes to runs of words
         padded, at = self._padded(long)
         missed = trials = self._edited(long)
-        self.expected = 1.0
+        #: items found by runs of words
+        self.exact: set[int] = set()
+        #: (length class, kind of edits) -> share of the edited items that walks find, of the classes found by walks
+        self.recall: dict[tuple[int, str], float] = {}
         for walk in walks(MOST_REPETITIONS if long else 0):
             _, keys = walk.keys(padded, at)
             order = np.argsort(keys[-1], kind="stable")
             self.tables.append((walk, [Filter(k) for k in keys], keys[-1][order], order))
-            missed = [(i, text) for i, text in missed if i not in self._found(text, *self.tables[-1])]
-            self.expected = 1 - len(missed) / max(1, len(trials))
-            if len(self.tables) >= LEAST_REPETITIONS and self.expected >= recall:
-                break
-        # short items: runs of words, of which one is left whole by the allowed edits (all words if none is allowed)
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            missed = [x for x in missed if x[0] not in self._found(x[1], *self.tables[-1])]
+            tried, lost = (Counter((length_class(self.size[i]), kind) for i, _, kind in x if i not in self.exact) for x in (trials, missed))
+            self.recall = {k: 1 - lost[k] / n for k, n in tried.items()}
+            if len(self.tables) >= LEAST_REPETITIONS:
+                least = recall if len(self.tables) == MOST_REPETITIONS else 1 - math.sqrt(1 - recall) if len(self.tables) == LEAST_REPETITIONS else 0
+                far = {k for (k, _), found in self.recall.items() if found < least}
+                self.exact |= {i for i in long if length_class(self.size[i]) in far}
+                self.recall = {k: found for k, found in self.recall.items() if k[0] not in far}
+                if all(found >= recall for found in self.recall.values()):
+                    break
+        if not self.recall:
+            self.tables = []
+        self.expected = min(self.recall.values(), default=1.0)
+        # short items and exact ones: runs of words, of which one is left whole by the allowed edits (all words if none is allowed)
+        self.runs: dict[int, tuple[Filter, np.ndarray, np.ndarray, np.ndarray]] = {}
         parts: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for i, n in enumerate(self.size.tolist()):
-            if 0 < n < SHORT:
+            if 0 < n < SHORT or i in self.exact:
                 q = n // (int(self.edits[i]) + 1)
                 for o in range(0, n - q + 1, q):
                     parts.setdefault(q, []).append((self._run(words[i][o : o + q])[0], i, o))
         for q, rows in parts.items():
             rows.sort()
-            self.runs[q] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+            keys = np.array([r[0] for r in rows], np.uint64)
+            self.runs[q] = (Filter(keys), keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
     def _padded(self, long: list[int]) -> tuple[np.ndarray, np.ndarray]:
         steps = COORDINATES * max(GAPS) + 1
@@ -141,18 +168,25 @@ class Index:
             key = tv.mix(key ^ w)
         return key
 
-    def _edited(self, long: list[int], trials: int = 4) -> list[tuple[int, np.ndarray]]:
-        """Items (400 at most) with as many random edits as they may have, on which recall is measured."""
+    def _edited(self, long: list[int]) -> list[tuple[int, np.ndarray, str]]:
+        """(item, words, kind): items with as many edits as they may have, on which recall is measured; TRIALS of each length
+        class and kind of edits."""
         rng = np.random.default_rng(5)
+        classes: dict[int, list[int]] = {}
+        for j in rng.permutation(len(long)).tolist():
+            classes.setdefault(length_class(self.size[long[j]]), []).append(long[j])
         out = []
-        for i in [long[j] for j in rng.permutation(len(long))[:400]]:
-            for _ in range(trials):
-                w = list(self.words[i])
-                for _ in range(int(self.edits[i])):
-                    kind, at = rng.integers(3), int(rng.integers(len(w)))
-                    new = rng.integers(0, 2**63, dtype=np.uint64)
-                    w = w[:at] + ([new] if kind == 0 else [] if kind == 1 else [new, w[at]]) + w[at + 1 :]
-                out.append((i, np.array(w, np.uint64)))
+        for members in classes.values():
+            for t in range(TRIALS):
+                i = members[t % len(members)]
+                n, edits = int(self.size[i]), int(self.edits[i])
+                for kind in KINDS:
+                    w = list(self.words[i])
+                    for e in reversed(range(edits)):
+                        edit, at = 0 if kind == "replaced" else int(rng.integers(3)), (2 * e + 1) * n // (2 * edits) if kind != "random" else int(rng.integers(len(w)))
+                        new = rng.integers(0, 2**63, dtype=np.uint64)
+                        w[at : at + 1] = [new] if edit == 0 else [] if edit == 1 else [new, w[at]]
+                    out.append((i, np.array(w, np.uint64), kind))
         return out
 
     def _found(self, text: np.ndarray, walk: Walk, filters: list[Filter], keys: np.ndarray, order: np.ndarray) -> set[int]:
@@ -172,17 +206,18 @@ class Index:
             at = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             items.append(self.item[at])
             places.append(np.repeat(starts[who], n) - self.offset[at])
-        for q, (keys, item, offset) in self.runs.items():
-            if len(words) < q:
-                continue
-            key = np.zeros(len(words) - q + 1, np.uint64)
+        for q, (some, keys, item, offset) in self.runs.items():
+            begin = starts[: np.searchsorted(starts, len(words) - q, "right")]
+            key = np.zeros(len(begin), np.uint64)
             for j in range(q):
-                key = tv.mix(key ^ words[j : j + len(key)])
+                key = tv.mix(key ^ words[begin + j])
+            stay = some.has(key)
+            begin, key = begin[stay], key[stay]
             low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = high - low
             at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             items.append(item[at])
-            places.append(np.repeat(np.arange(len(key)), n) - offset[at])
+            places.append(np.repeat(begin, n) - offset[at])
         return np.concatenate(items), np.concatenate(places)
 
     def matches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:

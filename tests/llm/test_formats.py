@@ -315,6 +315,23 @@ def test_planted_edits_are_found():
     assert hits >= 47
 
 
+def test_recall_by_length_with_spread_edits():
+    rng = np.random.default_rng(12)
+    # a few short items among many long ones
+    words = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in [*[8, 10, 12, 15, 18] * 4, *rng.integers(40, 60, 150)]]
+    index = decontam.Index(list(range(len(words))), words)
+    assert index.expected >= 0.999 and len(index.exact) == 16
+    hits = 0
+    for i in range(20):
+        for _ in range(10):
+            w, n, edits = list(words[i]), len(words[i]), int(index.edits[i])
+            for e in range(edits):
+                w[(2 * e + 1) * n // (2 * edits)] = rng.integers(0, 2**63, dtype=np.uint64)
+            text = np.concatenate([rng.integers(0, 2**63, 30, dtype=np.uint64), np.array(w, np.uint64), rng.integers(0, 2**63, 30, dtype=np.uint64)])
+            hits += any(m[1] == i for m in index.matches(text, np.array([0, len(text)])))
+    assert hits >= 198
+
+
 def test_pipeline(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
