@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import bpe, decontam, quality, simhash, substring
-from loomseq.llm.cluster import written
+from loomseq.llm.cluster import unused, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,12 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the token ids of their text, as ids, and their number."""
-    return bpe.encode(docs, bpe.default_path()).withColumn("n_tokens", F.size("ids"))
+    """Documents with the token ids of their text, as ids, and their number; fails if ids don't decode to the text."""
+    copy, decoded = unused(docs, "copy"), unused(docs, "decoded")
+    both = bpe.round_trip(docs.withColumn(copy, F.col("text")), bpe.default_path(), copy, decoded)
+    same = F.col(decoded) == F.coalesce("text", F.lit(""))
+    checked = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")))
+    return both.withColumn("ids", checked).withColumn("n_tokens", F.size("ids")).drop(decoded)
 
 
 STAGES = [
@@ -50,7 +54,7 @@ STAGES = [
     ("SimHash near-dedup", distinct_documents),
     ("substring dedup", distinct_passages),
     ("benchmark decontamination", clean_documents),
-    ("BPE encoding", token_ids),
+    ("BPE encoding and decoding", token_ids),
 ]
 
 #: SQL can't express the learned and the near-duplicate stages: tests hold each stage against a brute-force version.

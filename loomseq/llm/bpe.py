@@ -400,12 +400,12 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
     return frame.mapInArrow(lambda batches: _decoded(batches, path, out, keep_ids=False), schema)
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All rows with ids and decoded: ``decode`` of what ``encode`` gives, both in one worker.  The text itself isn't kept."""
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded", text_col.lower())]
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "decoded") -> DataFrame:
+    """All rows with ids and ``out``: ``decode`` of what ``encode`` gives, both in one worker.  The text itself isn't kept."""
+    kept = [c for c in docs.columns if c.lower() not in ("ids", out.lower(), text_col.lower())]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return frame.mapInArrow(lambda batches: trimmed(_decoded(_encoded(batches, path, "ids"), path, "decoded", keep_ids=True)), schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", T.ArrayType(T.IntegerType())).add(out, "string")
+    return frame.mapInArrow(lambda batches: trimmed(_decoded(_encoded(batches, path, "ids"), path, out, keep_ids=True)), schema)
 
 
 def default_path() -> str:

@@ -359,6 +359,17 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_pipeline_decodes_its_ids(spark, monkeypatch):
+    rows = [(1, "some text", "en", "s", 9), (2, "", "en", "s", 0), (3, None, "en", "s", None), (4, "日本 émigré\n", "en", "s", 0)]
+    df = D.clashing(D.frame(spark, rows))
+    got = corpus_pipeline.token_ids(spark, df, SF)
+    assert set(got.columns) == {*df.columns, "ids", "n_tokens"} and sorted((r.doc_id, r.text, len(r.ids) == r.n_tokens) for r in got.where("text is not null").collect()) == [(i, t, True) for i, t, *_ in rows if t is not None]
+    assert got.count() == 4
+    monkeypatch.setattr(bpe, "round_trip", lambda docs, path, text_col, out: bpe.encode(docs, path).withColumn(out, F.lit("other")))
+    with pytest.raises(Exception, match="decode to their text"):
+        corpus_pipeline.token_ids(spark, df, SF).collect()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
 
