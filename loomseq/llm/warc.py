@@ -29,8 +29,6 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 READ_BYTES = 1 << 18
-#: A record's head is no longer than this; a candidate that has none within it is no record.
-HEAD_BYTES = 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -138,15 +136,13 @@ class Member:
         return out
 
     def head(self) -> dict[str, str] | None:
-        """The next record's fields; None at the end of the member; ValueError where no record begins."""
+        """The next record's fields, of any length once they begin with WARC/; None at the end of the member; ValueError where no record begins."""
         while True:
             while self.ready[:2] == b"\r\n":
                 del self.ready[:2]
             end = self.ready.find(b"\r\n\r\n")
             if end >= 0 or len(self.ready) >= 8 and not self.ready.startswith(b"WARC/"):
                 break
-            if len(self.ready) > HEAD_BYTES:
-                raise ValueError("no head")
             if not self.more():
                 if self.ready.strip():
                     raise ValueError("no head")

@@ -51,6 +51,17 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert raw.count(b"WARC-Record-ID") == len(PAGES)
 
 
+def test_warc_heads_of_any_length(tmp_path):
+    rng = random.Random(3)
+    long = "http://a/" + "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400_000))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(warc.record(i, url, b"x", 1, b32(b"x"), None, "2020-01-01T00:00:00Z")) for i, url in enumerate(("u", long, "v"))))
+    with pa.OSFile(str(path)) as f:
+        got = list(warc.records(f, f.size(), 0, f.size()))
+    assert [x[1]["warc-record-id"] for x in got] == [f"<urn:page:{i}>" for i in range(3)]
+    assert len(got[1][1]["warc-target-uri"]) > 3 << 20
+
+
 def test_warc_splits_and_foreign_bytes(spark, tmp_path):
     one = lambda i, body: warc.record(i, "u", body, len(body), b32(body), None, "2020-01-01T00:00:00Z")
     rng = random.Random(1)
