@@ -119,7 +119,7 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFra
                 keep = in_cover[p % v]
                 doc, p = doc[keep], p[keep]
                 at = first[doc] + p
-                ks.append(tv.RUNS.spans(tv.RUNS.prefix(words), at, at + length))
+                ks.append(tv.RUNS.of(words, at, length))
                 ds.append(ids[docs.first + doc])
                 ps.append(p.astype(np.int32))
             if ks:
@@ -145,7 +145,6 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFra
             for docs in tv.chunks(b.column(1)):
                 starts, ends, first = docs.words()
                 words, words2 = tv.WORDS.bytes(docs.buf, starts, ends), tv.WORDS2.bytes(docs.buf, starts, ends)
-                prefix, prefix2 = tv.RUNS.prefix(words), tv.RUNS2.prefix(words2)
                 doc, p = [], []
                 for i in range(len(docs)):
                     a = np.frombuffer(marks[docs.first + i].as_py(), "<i4").astype(np.int64)
@@ -160,8 +159,8 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFra
                     p.append(at)
                 doc, p = np.concatenate(doc), np.concatenate(p)
                 at = first[doc] + p
-                ks.append(tv.RUNS.spans(prefix, at, at + window))
-                hs.append(tv.RUNS2.spans(prefix2, at, at + window).astype(np.uint32))
+                ks.append(tv.RUNS.of(words, at, window))
+                hs.append(tv.RUNS2.of(words2, at, window).astype(np.uint32))
                 ds.append(ids[docs.first + doc])
                 ps.append(p.astype(np.int32))
             if ks:

@@ -1,7 +1,8 @@
 """Vectorised text primitives: every document of a batch is one slice of a byte buffer.
 
-Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``.  Hashes are polynomial hashes modulo
-2**64 over random byte values, finished by a mixer, so that a word's hash doesn't depend on its place.
+Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``.  A word's hash chains a 64-bit mixer over its 8-byte pieces, its length
+first; a run of words is hashed by pairs of hashes of its halves, quarters and so on, mixed again at each level.  Neither is a
+polynomial, so no word or run repeats another's hash by its structure; as with any fixed hash, two that were sought for could.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SPACES = (0x20, *range(0x09, 0x0E))
@@ -31,40 +33,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Poly:
-    """A polynomial hash with its tables of powers, which grow to the longest chunk seen."""
+#: Longer byte strings are hashed one by one.
+LONG_BYTES = 256
+#: The bytes of a piece of up to 8 that count.
+PIECE = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+class Strings:
+    """Hashes of byte strings: equal for equal strings, whatever is around them."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.base = int(rng.integers(0, 2**60, dtype=np.uint64)) * 8 + 5
-        self.inverse = pow(self.base, -1, 2**64)
-        self.powers = self.inverses = np.empty(0, U64)
-
-    def reserve(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("powers", self.base), ("inverses", self.inverse)):
-                a = np.full(n, b, U64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums, one longer than values."""
-        self.reserve(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.powers[: len(values)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self.reserve(len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * self.inverses[starts])
+        self.seed = int(np.random.default_rng(seed).integers(0, 2**63))
 
     def bytes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.spans(self.prefix(self.values[buf]), starts, ends)
+        size = ends - starts
+        h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(self.seed))
+        at_all = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+        long = np.flatnonzero(size > LONG_BYTES)
+        who = None
+        if len(long):
+            who = np.flatnonzero(size <= LONG_BYTES)
+        at, left = (starts, size) if who is None else (starts[who], size[who])
+        while len(at):
+            piece = at_all[at].view("<u8").ravel() & PIECE[np.minimum(left, 8)]
+            if who is None:
+                h = mix(h ^ piece)
+            else:
+                h[who] = mix(h[who] ^ piece)
+            on = np.flatnonzero(left > 8)
+            who = on if who is None else who[on]
+            at, left = at[on] + 8, left[on] - 8
+        for i in long.tolist():
+            h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), self.seed)
+        return h
+
+
+class Runs:
+    """Hashes of runs of words, of the words' hashes."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.odd, self.add = (rng.integers(0, 2**63, dtype=U64) * U64(2) + U64(1) for _ in range(2))
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a ^ (b * self.odd + self.add))
+
+    def of(self, words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        """The hashes of words[i : i + length] for each i in at: of power-of-two runs, which double, the binary digits of length."""
+        if not len(at):
+            return np.empty(0, U64)
+        out, done, level, size = None, 0, words, 1
+        while True:
+            if length & size:
+                part = level[at + done]
+                out = part if out is None else self.pair(out, part)
+                done += size
+            if 2 * size > length:
+                return out
+            level = self.pair(level[: len(level) - size], level[size:])
+            size *= 2
 
 
-WORDS, WORDS2, RUNS, RUNS2 = Poly(101), Poly(102), Poly(103), Poly(104)
+WORDS, WORDS2, RUNS, RUNS2 = Strings(101), Strings(102), Runs(103), Runs(104)
 
 
 class Docs:
@@ -120,14 +150,17 @@ def segments(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def shingles(words: np.ndarray, first: np.ndarray, size: int, poly: Poly = RUNS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, first: np.ndarray, size: int, runs: Runs = RUNS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words and their number in each document; a document with fewer words has its whole sequence as one."""
     n = np.diff(first)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(n.dtype))
     starts = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
     length = np.repeat(np.minimum(n, size), count)
-    prefix = poly.prefix(words)
-    return poly.spans(prefix, starts, starts + length), count
+    out = np.empty(len(starts), U64)
+    for k in np.flatnonzero(np.bincount(length, minlength=1)).tolist():
+        rows = slice(None) if k == size and (length == size).all() else np.flatnonzero(length == k)
+        out[rows] = runs.of(words, starts[rows], k)
+    return out, count
 
 
 def per_segment(ufunc: np.ufunc, values: np.ndarray, counts: np.ndarray, empty) -> np.ndarray:

@@ -36,6 +36,45 @@ def test_shingles():
     assert n.tolist() == [2, 1, 0, 2, 1] and h[1] == h[3] and h[2] == h[5] and len(set(h.tolist())) == 4
 
 
+def thue_morse(order):
+    """Two strings of 2**order letters that every polynomial hash modulo 2**64 takes for one, if they are long enough."""
+    bits = [i.bit_count() % 2 for i in range(1 << order)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_have_no_structure(spark):
+    one, other = thue_morse(10)
+    for strings in (tv.WORDS, tv.WORDS2):
+        for a, b in ((one, other), (one * 2, other * 2), (one[:200], other[:200]), ("a", "a\0"), ("12345678", "12345678\0")):
+            buf = np.frombuffer((a + " " + b).encode(), np.uint8)
+            x, y = strings.bytes(buf, np.array([0, len(a) + 1]), np.array([len(a), len(a) + 1 + len(b)]))
+            assert x != y
+    # runs of two words in the same order
+    words = np.array([17, 99], np.uint64)
+    x, y = (words[["ab".index(c) for c in s]] for s in (one, other))
+    for runs in (tv.RUNS, tv.RUNS2):
+        for n in (16, 20, 1024):
+            assert runs.of(x, np.array([0]), n) != runs.of(y, np.array([0]), n)
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {rest}", "en", "s", 0), (2, f"{other} {rest}", "en", "s", 0), (3, f"{one} {rest}", "en", "s", 0)]
+    got = {r.doc_id: r.n_removed for r in substring.dedup(D.frame(spark, rows), window=20).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    (d,) = tv.chunks(pa.array([r[1] for r in rows]))
+    s = minhash.signatures(d, 5, 64)
+    assert (s[0] == s[2]).all() and not (s[0] == s[1]).all()
+    key, first = lm.tokens(d)
+    assert key[first[0]] == key[first[2]] != key[first[1]]
+
+
+def test_runs_of_any_length():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    for n in (1, 2, 3, 5, 8, 13, 20):
+        h = tv.RUNS.of(words, np.arange(400 - n + 1), n).tolist()
+        runs = [tuple(words[i : i + n].tolist()) for i in range(400 - n + 1)]
+        assert len(set(h)) == len(set(runs)) == len(set(zip(runs, h, strict=True)))
+
+
 def windows(rows, size):
     """Brute force of the removal: id order (null last), rows of one id as one document."""
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
