@@ -5,8 +5,9 @@ meet in one place.  What is frequent comes to the driver and the workers: words
 their counts, and of these the words of at least ``MODEL_SHARE`` as the model's own symbols, so both are bounded whatever the
 corpus.  Other words go by their class in the model and get their count from their bucket.
 
-The recurrent model trains on every training document once, in two rounds over disjoint parts: in each, every task trains a copy
-on the documents of its partition, and the copies' mean, weighted by tokens, is the model.
+The recurrent model trains on every training document once, in rounds over disjoint parts: in each, copies of the model train on
+the documents that a hash deals them, in the order of another, and the copies' mean, weighted by tokens, is the model.  How many
+copies there are follows from the number of tokens alone (``TOKENS_A_COPY``), so the model doesn't depend on partitions or tasks.
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ from pyspark.sql import functions as F
 
 from loomseq.llm import rnn
 from loomseq.llm import textvec as tv
-from loomseq.llm.cluster import exchange, packed, partitions, unpack, written
+from loomseq.llm.cluster import exchange, packed, partitions, trimmed, unpack, written
 
 HELD_SHARE, MODEL_SHARE = 1e-6, 1e-4
 CLASS_BITS = 5
 OTHERS = 1 << CLASS_BITS
 #: The end of a document as a word (no hash of a word has class bits alone).
 END = np.uint64(0)
-#: One document in FIRST_ROUND trains in the first round.
-FIRST_ROUND = 8
+#: Training tokens of one copy over all rounds; copies at most, beyond which each gets more tokens.
+TOKENS_A_COPY, MOST_COPIES = 1 << 20, 4096
+#: Each round's share of the documents: short ones first, so that copies part from a common start.
+ROUNDS = (0.04, 0.16, 0.3, 0.5)
+#: Tokens that a copy takes at a time, and cuts into streams.
+BLOCK_TOKENS = 150_000
 LN10 = np.log(10)
 
 
@@ -141,46 +146,87 @@ def corpus(counts: DataFrame) -> tuple[Corpus, np.ndarray]:
     return Corpus(key, c, int(total), int(types), sum_of("mass") + 1, shape, words[by_key], by_key), np.concatenate([count, sum_of("tokens")])
 
 
-def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 16) -> dict[str, np.ndarray]:
-    """The model's parameters from all of docs (id, text)."""
+def copies_of(total: int) -> int:
+    """The number of copies that train side by side on so many tokens."""
+    return int(min(MOST_COPIES, max(1, round(total / TOKENS_A_COPY))))
+
+
+def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 24) -> dict[str, np.ndarray]:
+    """The model's parameters from all of docs (id, text); the same however docs are partitioned.
+
+    Rows that are equal in id and text go to the same copy.
+    """
     spark = docs.sparkSession
     params = rnn.start(corp.shape, frequency, size)
     names, shapes = list(params), {k: v.shape for k, v in params.items()}
-    early = F.pmod(F.xxhash64(F.lit("round"), "id", F.length("text")), F.lit(FIRST_ROUND)) == 0
-    pieces, n = 1 << 16, partitions(spark)
+    pieces, n, copies = 1 << 16, partitions(spark), copies_of(corp.total)
     shared_corpus = spark.sparkContext.broadcast(corp)
-    for part in (docs.where(early), docs.where(~early)):
+    place = F.pmod(F.xxhash64(F.lit("round"), "id", F.length("text")), F.lit(100))
+    edges = np.round(np.cumsum((0, *ROUNDS)) * 100).astype(int).tolist()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corp = shared_corpus.value
+        for b in batches:
+            order = b.column(0).to_numpy()
+            for d in tv.chunks(b.column(1)):
+                key, first = tokens(d)
+                raw = pa.py_buffer(corp.symbols(key).astype("<u2").tobytes())
+                own = order[d.first : d.first + len(d)]
+                symbols = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(d), [None, pa.py_buffer((first * 2).astype(np.int64)), raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array((own % copies).astype(np.int32)), "order": own // copies, "symbols": symbols})
+
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
         shared = spark.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             corp = shared_corpus.value
-            trainer = rnn.Trainer(shared.value, corp.shape)
-            for b in batches:
-                symbols = [corp.symbols(tokens(d)[0]) for d in tv.chunks(b.column(0))]
-                if symbols:
-                    trainer.learn(np.concatenate(symbols))
-            if trainer.seen:
+            now, trainer, held, count = None, None, [], 0
+
+            def learn() -> None:
+                nonlocal held, count
+                if held:
+                    trainer.learn(np.concatenate(held).astype(np.int32))
+                held, count = [], 0
+
+            def done() -> pa.RecordBatch:
                 # in pieces, each with its weight in front, so that no task adds up all of the model
-                flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype("<f8") * trainer.seen
+                flat = np.concatenate([trainer.p[k].ravel() for k in names]).astype("<f4")
                 cut = [flat[i : i + pieces] for i in range(0, len(flat), pieces)]
                 ids = np.arange(len(cut))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array((ids % n).astype(np.int32)), "piece": pa.array(ids.astype(np.int32)), "seen": pa.array([trainer.seen] * len(cut), pa.int64()), "v": pa.array([x.tobytes() for x in cut], pa.binary())})
+                return pa.RecordBatch.from_pydict({"bucket": pa.array((ids % n).astype(np.int32)), "piece": pa.array(ids.astype(np.int32)), "seen": pa.array([trainer.seen] * len(cut), pa.int64()), "v": pa.array([x.tobytes() for x in cut], pa.binary())})
+
+            for b in batches:
+                for copy, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    if copy != now:
+                        if trainer is not None:
+                            learn()
+                            yield done()
+                        now, trainer = copy, rnn.Trainer(shared.value, corp.shape)
+                    held.append(np.frombuffer(raw.as_buffer(), "<u2"))
+                    count += len(held[-1])
+                    if count >= BLOCK_TOKENS:
+                        learn()
+            if trainer is not None:
+                learn()
+                yield done()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for b in batches:
                 for piece, seen, v in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    x = np.frombuffer(v, "<f8")
+                    x = np.frombuffer(v, "<f4").astype(np.float64) * seen
                     if piece in sums:
                         sums[piece][0] += seen
                         sums[piece][1] += x
                     else:
-                        sums[piece] = [seen, x.copy()]
+                        sums[piece] = [seen, x]
             for piece, (seen, x) in sums.items():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "v": pa.array([(x / seen).tobytes()], pa.binary())})
 
-        copies = part.select("text").mapInArrow(run, "bucket int, piece int, seen long, v binary")
-        got = copies.repartitionById(n, F.col("bucket")).mapInArrow(add, "piece int, v binary").orderBy("piece").toArrow()
+        part = docs.where((place >= low) & (place < high)).select(F.pmod(F.xxhash64(F.lit("order"), "id", "text"), F.lit(1 << 62)).alias("order"), "text")
+        dealt = part.mapInArrow(deal, "bucket int, order long, symbols binary").repartitionById(copies, F.col("bucket")).sortWithinPartitions("bucket", "order", "symbols")
+        trained = dealt.mapInArrow(lambda batches, run=run: trimmed(run(batches)), "bucket int, piece int, seen long, v binary")
+        got = trained.repartitionById(n, F.col("bucket")).mapInArrow(add, "piece int, v binary").orderBy("piece").toArrow()
         if got.num_rows:
             flat, at = np.frombuffer(b"".join(got.column("v").to_pylist()), "<f8"), 0
             params = {}
@@ -239,17 +285,24 @@ def score(docs: DataFrame, counts: DataFrame, corp: Corpus, params: dict[str, np
         for b in batches:
             key = unpack(b, "asked", "<u8")
             size = np.array([len(x) // 8 for x in b.column(1).to_pylist()], np.int64)
-            row = np.repeat(np.asarray(b.column(0)), size)
-            yield packed({"k": key, "v": row}, bucket_of(key, n), n).append_column("kind", pa.array(np.zeros(len(np.unique(bucket_of(key, n))), np.int32)))
+            row = np.repeat(np.arange(len(b)), size)
+            # a word that a row repeats is asked for once
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
+            at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.empty(0, np.int64)
+            times = np.diff(np.append(at, len(key)))
+            key, row = key[at], np.asarray(b.column(0))[row[at]]
+            batch = packed({"k": key, "v": row, "m": times.astype(np.int64)}, bucket_of(key, n), n)
+            yield batch.append_column("kind", pa.array(np.zeros(len(batch), np.int32)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, rows, keys, counts = [], [], [], []
+        asked, rows, times, keys, counts = [], [], [], [], []
         for b in batches:
-            kind = np.asarray(b.column(3))
-            for part, ks, vs, is_kind in ((b.filter(pa.array(kind == 0)), asked, rows, 0), (b.filter(pa.array(kind == 1)), keys, counts, 1)):
-                ks.append(unpack(part, "k", "<u8").copy())
-                vs.append(unpack(part, "v", "<i8").copy())
-        asked, rows, keys, counts = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (asked, rows, keys, counts))
+            kind = np.asarray(b.column(4))
+            for part, lists in ((b.filter(pa.array(kind == 0)), {"k": asked, "v": rows, "m": times}), (b.filter(pa.array(kind == 1)), {"k": keys, "v": counts})):
+                for name, found in lists.items():
+                    found.append(unpack(part, name, "<u8" if name == "k" else "<i8").copy())
+        asked, rows, times, keys, counts = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (asked, rows, times, keys, counts))
         if not len(asked):
             return
         order = np.argsort(keys)
@@ -259,7 +312,7 @@ def score(docs: DataFrame, counts: DataFrame, corp: Corpus, params: dict[str, np
             at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             c = np.where(keys[at] == asked, counts[at], 0)
         row, at = np.unique(rows, return_inverse=True)
-        known, log_c = np.bincount(at, c > 0), np.bincount(at, np.log10(c + 1.0))
+        known, log_c = np.bincount(at, times * (c > 0)), np.bincount(at, times * np.log10(c + 1.0))
         to = (tv.mix(row.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
         yield packed({"k": row.astype("<i8"), "known": known.astype("<i8"), "log": log_c.astype("<f8")}, to, n)
 
@@ -268,8 +321,8 @@ def score(docs: DataFrame, counts: DataFrame, corp: Corpus, params: dict[str, np
         yield pa.RecordBatch.from_pydict({"row": row, "more_known": np.bincount(at, x["known"]).astype(np.int64), "more": np.bincount(at, x["log"])})
 
     scored = written(docs.select("id", "text").mapInArrow(run, "row long, id long, n_tokens long, known long, base double, model double, asked binary"), "lm-scored")
-    queries = scored.select("row", "asked").mapInArrow(ask, "bucket int, k binary, v binary, kind int")
-    tables = counts.select("bucket", "k", F.col("c").alias("v"), F.lit(1).alias("kind"))
+    queries = scored.select("row", "asked").mapInArrow(ask, "bucket int, k binary, v binary, m binary, kind int")
+    tables = counts.select("bucket", "k", F.col("c").alias("v"), F.lit(b"").alias("m"), F.lit(1).alias("kind"))
     answers = queries.union(tables).repartitionById(n, F.col("bucket")).mapInArrow(answer, "bucket int, k binary, known binary, log binary")
     more = exchange(answers, n, by_row, {"k": "<i8", "known": "<i8", "log": "<f8"}, "row long, more_known long, more double")
     both = scored.drop("asked").join(more, "row", "left")
@@ -278,11 +331,16 @@ def score(docs: DataFrame, counts: DataFrame, corp: Corpus, params: dict[str, np
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 7 == 2
+    """Whether the remainder is 2; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: learns from six sevenths of documents, scores all."""
+    """Contract query: learns from six sevenths of documents, scores all.
+
+    Null texts count as empty: one token, the end.  Rows with a null id train and aren't held out.  Repeated rows train and are
+    scored each on its own.  Without training rows every count is 0 and the model is as it starts.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     training = docs.where(~held_out("id"))
     counts = count(training.select("text"))

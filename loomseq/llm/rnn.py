@@ -13,7 +13,7 @@ import numpy as np
 
 F32 = np.float32
 #: Steps of backpropagation; streams that train side by side; documents that are scored side by side.
-WINDOW, STREAMS, TOGETHER = 24, 256, 512
+WINDOW, STREAMS, TOGETHER = 24, 128, 512
 
 
 @dataclass
@@ -112,7 +112,7 @@ def output(p: dict[str, np.ndarray], shape: Shape, h: np.ndarray, target: np.nda
 class Trainer:
     """Adagrad over windows of parallel streams; the state is carried from window to window and starts anew with a document."""
 
-    def __init__(self, params: dict[str, np.ndarray], shape: Shape, rate: float = 0.08):
+    def __init__(self, params: dict[str, np.ndarray], shape: Shape, rate: float = 0.15):
         self.p = {k: v.copy() for k, v in params.items()}
         self.shape, self.rate = shape, rate
         self.square = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}

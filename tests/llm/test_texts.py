@@ -274,14 +274,16 @@ def test_lm_counts_and_base(spark, tmp_path):
     import math
     import zlib
 
-    given = [r for r in D.rows() if r[0] is not None]
-    got = lm.op4_lm(spark, D.table(spark, tmp_path, given)).collect()
+    given = D.rows()
+    docs = D.clashing(D.frame(spark, given))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = lm.op4_lm(spark, str(tmp_path)).collect()
     tokens = lambda t: [*D.words((t or "").translate(D.LOWER)), None]
-    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = collections.Counter(w for i, t, *_ in given if not out(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    expected = sorted((i, out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for i, t, *_ in given)
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
+    expected = sorted((str(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for i, t, *_ in given)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
     assert all(r.score < 0 for r in got)
 
 
@@ -309,6 +311,62 @@ def test_lm_learns_and_carries_state(spark):
     assert lm.score(df, lm.count(none.select("text")), corp, lm.train(none, corp, frequency)).where("n_known = 0").count() == len(docs)
 
 
+def test_lm_score_equals_a_plain_model(spark):
+    """Scores by the definition, word by word, from the trained parameters."""
+    from loomseq.llm import rnn
+
+    rows = [(i, t, "en", "s", 0) for i, (_, t, *_) in enumerate(D.rows()) if i != 11]
+    df = D.frame(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    training = df.where("id < 15")
+    counts = lm.count(training.select("text"))
+    corp, frequency = lm.corpus(counts)
+    p = lm.train(training, corp, frequency, size=8)
+    shape = corp.shape
+    c = {}
+    (d,) = tv.chunks(pa.array([t for i, t, *_ in rows if i < 15]))
+    for k in lm.tokens(d)[0].tolist():
+        c[k] = c.get(k, 0) + 1
+    mass = {}
+    for k, n in c.items():
+        if corp.symbols(np.array([k], np.uint64))[0] >= shape.words:
+            mass[k % lm.OTHERS] = mass.get(k % lm.OTHERS, 0) + n + 1
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    expected = {}
+    for i, t, *_ in rows:
+        (d,) = tv.chunks(pa.array([t]))
+        keys = lm.tokens(d)[0]
+        h, before, total = np.zeros((1, 8)), shape.end, 0.0
+        for k, s in zip(keys.tolist(), corp.symbols(keys).tolist(), strict=True):
+            h = rnn.cell((p["e"] @ p["x"] + p["b"])[[before]], h, p["u"])[0]
+            g = int(shape.class_of(np.array([s]))[0])
+            total += np.log10(softmax(h[0] @ p["c"] + p["cb"])[g])
+            if s < shape.words:
+                a, b = shape.first[g], shape.first[g + 1]
+                total += np.log10(softmax(p["w"][a:b] @ h[0] + p["wb"][a:b])[s - a])
+            else:
+                total += np.log10((c.get(k, 0) + 1) / (mass.get(k % lm.OTHERS, 0) + 1))
+            before = s
+        expected[i] = total
+    got = {r.id: r.score for r in lm.score(df, counts, corp, p).collect()}
+    assert got.keys() == expected.keys() and all(got[i] == pytest.approx(expected[i], rel=1e-3) for i in got)
+
+
+def test_lm_is_the_same_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOKENS_A_COPY", 50_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    training, held = docs.where(~lm.held_out("id")), docs.where(lm.held_out("id"))
+    found = []
+    for parts in (4, 32, 200):
+        dealt = training.repartition(parts)
+        counts = lm.count(dealt.select("text"))
+        corp, frequency = lm.corpus(counts)
+        assert lm.copies_of(corp.total) > 4
+        a, b, n = lm.score(held, counts, corp, lm.train(dealt, corp, frequency)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        found.append(a / n)
+        assert a > 0.98 * b
+    assert max(found) - min(found) < 1e-3
+
+
 def test_lm_gradients(monkeypatch):
     from loomseq.llm import rnn
 
