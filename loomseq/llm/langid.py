@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-One table holds the filters of all languages: entry i has bit l set if language l's filter has bit i set.  So the exclusive
-choice of which languages know an n-gram is one conjunction of the entries at its hash positions, for all languages at once.
+One table holds the filters of all languages: entry i, of as many words as the languages need bits, has bit l set if language
+l's filter has bit i set.  So the choice of which languages know an n-gram is one conjunction of the entries at its hash positions, for all languages at once.
 A document's score for a language is the share of its n-grams that the language knows, less what the filter's false positives
 add; the highest decides.
 """
@@ -54,7 +54,7 @@ class Filters:
     size: int
 
     def known(self, code: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of languages, as bits, whose filters hold it."""
+        """For each n-gram the set of languages, as bits of its row of words, whose filters hold it."""
         h = tv.mix(code)
         top = np.uint64(len(self.table) - 1)
         step = (h >> np.uint64(32)) | np.uint64(1)
@@ -66,21 +66,26 @@ class Filters:
 
     def false_rates(self) -> np.ndarray:
         """For each language how often its filter holds an n-gram that isn't in it: its share of set bits to the power of probes."""
-        return np.array([np.mean((self.table >> self.table.dtype.type(i)) & self.table.dtype.type(1)) for i in range(len(self.languages))]) ** self.probes
+        return np.array([np.mean(self.bit(self.table, i)) for i in range(len(self.languages))]) ** self.probes
+
+    def bit(self, sets: np.ndarray, language: int) -> np.ndarray:
+        """Whether each set has the language."""
+        kind = self.table.dtype.type
+        word, place = divmod(language, 8 * self.table.dtype.itemsize)
+        return (sets[:, word] >> kind(place)) & kind(1)
 
 
 def build(languages: list[str], of: np.ndarray, code: np.ndarray, size: int, probes: int = 4, bits_each: int = 12) -> Filters:
     """Filters of the n-grams ``code``, each of language ``of``; about ``bits_each`` bits for each n-gram of the largest language."""
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages: a table entry has 64 bits")
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if np.dtype(t).itemsize * 8 >= len(languages)), np.uint64)
+    bits = np.dtype(kind).itemsize * 8
     most = int(np.bincount(of, minlength=1).max()) if len(of) else 1
-    table = np.zeros(1 << max(10, (most * bits_each - 1).bit_length()), kind)
+    table = np.zeros((1 << max(10, (most * bits_each - 1).bit_length()), max(1, -(-len(languages) // bits))), kind)
     h = tv.mix(code)
     step = (h >> np.uint64(32)) | np.uint64(1)
-    bit = (np.uint64(1) << of.astype(np.uint64)).astype(kind)
+    bit = (np.uint64(1) << (of % bits).astype(np.uint64)).astype(kind)
     for _ in range(probes):
-        np.bitwise_or.at(table, h & np.uint64(len(table) - 1), bit)
+        np.bitwise_or.at(table, ((h & np.uint64(len(table) - 1)).astype(np.int64), of // bits), bit)
         h = h + step
     return Filters(languages, table, probes, size)
 
@@ -88,7 +93,9 @@ def build(languages: list[str], of: np.ndarray, code: np.ndarray, size: int, pro
 def learn(docs: DataFrame, size: int = 4, least_share: float = 1e-5, text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from all rows with a text and a language: an n-gram belongs to a language in whose texts at least ``least_share`` of all n-grams are it.
 
-    So a language has 1 / least_share n-grams at most, which bounds what the driver gets.  No rows give no languages.
+    So a language has 1 / least_share n-grams at most, which bounds what the driver gets, and one with fewer n-grams in all its
+    texts has all of them.  There may be any number of languages.  Rows without a text or language teach nothing, repeated rows
+    count each; no rows give no languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +114,9 @@ def learn(docs: DataFrame, size: int = 4, least_share: float = 1e-5, text_col: s
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = written(rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "langid-grams")
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
-    languages = sorted(totals)
-    enough = F.lit(False)
-    for name, n in totals.items():
-        enough = enough | ((F.col("lang") == name) & (F.col("n") >= max(2, least_share * n)))
-    kept = counted.where(enough).select("lang", "code").toArrow()
+    totals = written(counted.groupBy("lang").agg(F.sum("n").alias("total")), "langid-totals")
+    languages = sorted(r["lang"] for r in totals.collect())
+    kept = counted.join(totals, "lang").where(F.col("n") >= F.lit(least_share) * F.col("total")).select("lang", "code").toArrow()
     index = {x: i for i, x in enumerate(languages)}
     of = np.array([index[x] for x in kept.column("lang").to_pylist()], np.int64)
     return build(languages, of, kept.column("code").to_numpy().astype(np.uint64), size)
@@ -134,13 +138,12 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names, false = np.array([*model.languages, UNDETERMINED], object), model.false_rates()
-        one = model.table.dtype.type(1)
         for b in batches:
             best, score = [np.empty(0, np.int64)], [np.empty(0)]
             for d in tv.chunks(b.column(len(kept))):
                 code, n = grams(d, model.size)
                 sets = model.known(code)
-                hits = np.stack([tv.per_segment(np.add, ((sets >> model.table.dtype.type(i)) & one).astype(np.int64), n, 0) for i in range(len(false))], axis=1) if len(false) else np.zeros((len(d), 0))
+                hits = np.stack([tv.per_segment(np.add, model.bit(sets, i).astype(np.int64), n, 0) for i in range(len(false))], axis=1) if len(false) else np.zeros((len(d), 0))
                 right = np.maximum(hits - n[:, None] * false, 0) / np.maximum(1 - false, 1e-9)
                 total = right.sum(axis=1)
                 top = right.argmax(axis=1) if len(false) else np.zeros(len(d), np.int64)
@@ -157,8 +160,11 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: learns from three quarters of documents, predicts all."""
+    """Contract query: learns from three quarters of documents, predicts all.
+
+    A null id isn't held out; null and empty texts are ``und`` with score 0; repeated rows are predicted each.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     filters = learn(docs.where(~held))
     return predict(docs.drop("lang"), filters).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -209,8 +209,57 @@ def test_language(spark, tmp_path):
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (4, 5, 7)) and odd[8].lang_pred in ("en", "fr")
     none = langid.learn(D.frame(spark, []))
     assert none.languages == [] and {r.lang_pred for r in langid.predict(D.clashing(D.frame(spark)), none).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.build([str(i) for i in range(65)], np.zeros(1, np.int64), np.zeros(1, np.uint64), 4)
+    assert all(r.held_out is False for r in langid.op8_langid(spark, str(tmp_path)).where("doc_id is null").collect())
+
+
+def test_many_and_small_languages(spark):
+    rng = random.Random(4)
+    # 150 languages of a few words each, one text to learn from
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(150)}
+    train = [(i, " ".join(w), lang, "s", 0) for i, (lang, w) in enumerate(words.items())]
+    filters = langid.learn(D.frame(spark, train))
+    assert len(filters.languages) == 150 and filters.table.shape[1] == 3
+    ask = [(i, " ".join(rng.sample(w, 8)), None, "s", 0) for i, w in enumerate(words.values())]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(D.frame(spark, ask), filters).collect()}
+    assert [got[i] for i in range(150)] == list(words)
+
+
+def plain_mix(x):
+    top = 2**64 - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & top
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & top
+    return x ^ x >> 31
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Every n-gram looked up bit by bit, every share by the definition."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1500").limit(40).cache()
+    filters = langid.learn(docs)
+    rates = []
+    for i in range(len(filters.languages)):
+        rates.append((sum(int(x) >> i & 1 for x in filters.table[:, 0]) / len(filters.table)) ** filters.probes)
+    got = {r.doc_id: r for r in langid.predict(docs, filters).collect()}
+    for r in docs.collect():
+        folded = []
+        for b in r.text.encode():
+            c = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0
+            if c or not folded or folded[-1]:
+                folded.append(c)
+        hits, n = [0] * len(rates), max(0, len(folded) - filters.size + 1)
+        for k in range(n):
+            h = plain_mix(int.from_bytes(bytes(folded[k : k + filters.size])))
+            step, entry = h >> 32 | 1, -1
+            for _ in range(filters.probes):
+                entry &= int(filters.table[h & len(filters.table) - 1, 0])
+                h = h + step & 2**64 - 1
+            for i in range(len(rates)):
+                hits[i] += entry >> i & 1
+        right = [max(0.0, x - n * f) / (1 - f) for x, f in zip(hits, rates, strict=True)]
+        best = right.index(max(right))
+        assert got[r.doc_id].lang_pred == filters.languages[best]
+        assert got[r.doc_id].score == pytest.approx(right[best] / sum(right) if sum(right) else 0.0)
 
 
 def test_filters_hold_what_they_got():
@@ -218,9 +267,9 @@ def test_filters_hold_what_they_got():
     code = np.unique(rng.integers(0, 2**40, 5000, dtype=np.uint64))
     of = rng.integers(0, 3, len(code))
     f = langid.build(["a", "b", "c"], of, code, 4)
-    assert ((f.known(code) >> of.astype(f.table.dtype)) & 1).all()
+    assert all(f.bit(f.known(code[of == i]), i).all() for i in range(3))
     strange = rng.integers(2**41, 2**42, 200_000, dtype=np.uint64)
-    seen = np.array([((f.known(strange) >> f.table.dtype.type(i)) & 1).mean() for i in range(3)])
+    seen = np.array([f.bit(f.known(strange), i).mean() for i in range(3)])
     assert np.abs(seen - f.false_rates()).max() < 0.003
 
 
@@ -241,6 +290,40 @@ def test_marginals_equal_enumeration():
         assert np.allclose(p[a:b], (weight[:, None] * paths).sum(axis=0) / weight.sum())
 
 
+def test_document_quality_equals_enumeration(spark):
+    """The score of a document by all labellings of its lines, weighted by their probability."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.learn(docs, labels)
+    texts = ["one line of text", "A first line.\nBUY NOW!!! $$$\n\nthird, shorter", "", None, "a\nb\nc\nd\ne\nf", "|||\n|||\n|||"]
+    got = {r.doc_id: r.score for r in quality.score(D.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        lines = [x for x in (t or "").split("\n") if x]
+        (d,) = tv.chunks(pa.array([t or ""]))
+        x, size, first = quality.line_features(d)
+        assert size.tolist() == [len(s.encode()) for s in lines]
+        if not lines:
+            x, size, first = np.zeros((1, x.shape[1])), np.array([1]), np.array([0, 1])
+        logit = model.logits(x, first)
+        paths = np.array(list(itertools.product((0, 1), repeat=len(size))))
+        weight = np.exp([(y * logit).sum() + sum(model.transition[u, v] for u, v in itertools.pairwise(y)) for y in paths])
+        mean = ((weight[:, None] * paths).sum(axis=0) / weight.sum() * size).sum() / size.sum()
+        mean = min(max(mean, 1e-9), 1 - 1e-9)
+        odds = np.log(mean / (1 - mean)) - model.cut + np.log(0.7 / 0.3)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-6)
+
+
+def test_quality_learns_from_bounded_lines(spark):
+    long = "\n".join(f"line {i} of a very long text, with words" for i in range(40_000))
+    rows = [(i, long if i == 3 else "Good words here.\nAnd more of them.", "en", "s", 0) for i in range(6)] + [(6, "!!! $$$ BUY", "en", "s", 0)] * 3
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(7)], "doc_id long, quality int")
+    assert quality.stretches(5, 10) == [(0, 5)] and all(b - a == 32 for a, b in quality.stretches(40_000, 128)) and len(quality.stretches(40_000, 128)) == 4
+    df = D.frame(spark, rows)
+    assert quality._features(df.select("text", F.lit(1).alias("label")), "label", 128).agg(F.max("lines")).first()[0] == 128
+    got = {r.doc_id: r.predicted for r in quality.score(df, quality.learn(df, labels)).collect()}
+    assert got == {**dict.fromkeys(range(6), 1), 6: 0}
+
+
 def test_quality(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.op5_quality(spark, sf).collect()}
@@ -249,6 +332,7 @@ def test_quality(spark, tmp_path):
     assert np.mean([got[d].predicted == true[d] for d in held]) > 0.95
     assert all((r.predicted == 1) == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
     labels = spark.createDataFrame([(1, 1), (3, 1), (19, 0), (None, 0), (6, None), (1, 0)], "doc_id long, quality int")
+    assert all(r.held_out is False for r in quality.op5_quality(spark, D.table(spark, tmp_path, labels=labels)).where("doc_id is null").collect())
     model = quality.learn(D.frame(spark), labels)
     rows = quality.score(D.clashing(D.frame(spark)), model).collect()
     assert len(rows) == len(D.rows()) and len({r.score for r in rows if r.doc_id in (4, 5)}) == 1
