@@ -400,12 +400,15 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
     return frame.mapInArrow(lambda batches: _decoded(batches, path, out, keep_ids=False), schema)
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "decoded") -> DataFrame:
-    """All rows with ids and ``out``: ``decode`` of what ``encode`` gives, both in one worker.  The text itself isn't kept."""
-    kept = [c for c in docs.columns if c.lower() not in ("ids", out.lower(), text_col.lower())]
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "decoded", ids_col: str = "ids") -> DataFrame:
+    """All rows with ``ids_col`` and ``out``: ``decode`` of what ``encode`` gives, both in one worker.  The text itself isn't kept.
+
+    Columns named like the new ones are replaced, all others stay.
+    """
+    kept = [c for c in docs.columns if c.lower() not in (ids_col.lower(), out.lower(), text_col.lower())]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", T.ArrayType(T.IntegerType())).add(out, "string")
-    return frame.mapInArrow(lambda batches: trimmed(_decoded(_encoded(batches, path, "ids"), path, out, keep_ids=True)), schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids_col, T.ArrayType(T.IntegerType())).add(out, "string")
+    return frame.mapInArrow(lambda batches: trimmed(_decoded(_encoded(batches, path, ids_col), path, out, keep_ids=True)), schema)
 
 
 def default_path() -> str:
@@ -415,7 +418,10 @@ def default_path() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """Contract query: every whole text of documents to token ids and back."""
+    """Contract query: every whole text of documents to token ids and back.
+
+    Null and empty texts have no tokens and decode to an empty text; null ids and repeated rows are as others.
+    """
     path = path or default_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return round_trip(docs, path).select(

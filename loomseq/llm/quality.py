@@ -228,15 +228,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 4000, lines: int = 1
     return fit(x, size, np.concatenate(([0], np.cumsum(n))).astype(np.int64), label)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """All rows with score (0 to 1) and predicted (1 from THRESHOLD on); null and empty texts score as one empty line.
 
-    Columns named like the new ones are replaced.
+    ``out`` names the two; columns named like them are replaced, all others stay.
     """
-    made = ("score", "predicted")
-    kept = [c for c in docs.columns if c.lower() not in made]
+    made = tuple(out)
+    kept = [c for c in docs.columns if c.lower() not in {m.lower() for m in made}]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(unused(docs, "text")))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({made[0]: F.lit(0.0), made[1]: F.lit(0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

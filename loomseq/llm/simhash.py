@@ -368,20 +368,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 2, radius: i
     return prints.join(merged, kind, "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The documents with the least id of their group (see ``near_duplicates``), one row each; all rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, **settings)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents with the least id of their group (see ``near_duplicates``), one row each, all columns as they were; all rows
+    with a null id stay.
+
+    Of rows that repeat an id that with the least text stays (null first), of those the first by all columns as JSON.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
     stay = found.where("id = component").groupBy("id").agg(F.count("*").alias("rows"))
     stay = written(stay, "simhash-kept")
     kept_id = unused(docs, "kept")
     kept = docs.join(stay.select(F.col("id").alias(kept_id)).hint("merge"), F.col(id_col) == F.col(kept_id), "left_semi")
-    if not stay.where("rows > 1").isEmpty():  # rows that repeat an id
-        kept = kept.dropDuplicates([id_col])
+    if not stay.where("rows > 1").isEmpty():  # rows that repeat an id: collapsed before the shuffle
+        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = kept.select(F.col(f"`{id_col}`").alias("id"), every.alias("row"), F.struct(F.col(f"`{text_col}`").alias("text"), F.to_json(every).alias("all")).alias("key")).groupBy("id").agg(F.min_by("row", "key").alias("row"))
+        kept = first.select(*[F.col(f"row.`{c}`") for c in docs.columns])
     return kept.union(docs.where(F.col(id_col).isNull()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: 4-word shingles, 64 bits, radius 4 over all documents."""
+    """Contract query: 4-word shingles, 64 bits, radius 4 over all documents.
+
+    Null and empty texts have the fingerprint zero and link like others; repeated ids give repeated rows; a null id has a
+    fingerprint, links nothing and has a null component_id.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs, shingle=4, words=1, radius=4, threshold=None)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -185,17 +185,17 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFra
     return exchange(told, n, _by_document, per_document, "id long, at binary")
 
 
-def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", out: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
     """All rows with n_words, n_removed and kept (the kept words joined by one space) beside the input's columns.
 
     Words are runs outside ``\\x20 \\x09-\\x0D``, compared unchanged.  A word goes if a window of ``window`` words of its document
     covers it whose words also start earlier: in a document with a smaller id or earlier in the same one, judged on the input.
     Null texts have no words; texts shorter than a window keep all.  Rows that repeat an id are one document: a window at the
     same id and start isn't earlier, and what is removed of one (all, for a copy) is removed of all at these starts.  A null id comes after all
-    others.  Columns named like the new ones are replaced.
+    others.  ``out`` names the three; columns named like them are replaced, all others stay.
     """
     made = ("n_words", "n_removed", "kept")
-    names = [c for c in docs.columns if c.lower() not in made]
+    names = [c for c in docs.columns if c.lower() not in {m.lower() for m in out}]
     frame = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"))
     copies = later_copies(frame)
     found = repeated_windows(frame, copies, window).union(copies.select("id", F.lit(WHOLE).alias("at"))).groupBy("id").agg(F.max("at").alias("at"))
@@ -227,11 +227,14 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
 
     joined = frame.join(found, "id", "left").select("row", "text", "at")
     schema = joined.drop("at").select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), "text").schema
-    out = joined.mapInArrow(lambda batches: trimmed(remove(batches)), schema)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], *made)
+    found = joined.mapInArrow(lambda batches: trimmed(remove(batches)), schema)
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], *[F.col(m).alias(o) for m, o in zip(made, out, strict=True)])
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: windows of 20 words over all documents."""
+    """Contract query: windows of 20 words over all documents.
+
+    Null and empty texts have no words; a null id comes after all others; rows that repeat an id are one document (see ``dedup``).
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -29,7 +29,7 @@ def rows() -> list[tuple]:
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators make or use inside.
-CLASHES = ("id", "row", "at", "kept", "score", "predicted", "ids", "decoded", "fp", "component", "__text", "bucket", "Score")
+CLASHES = ("id", "row", "at", "kept", "score", "predicted", "ids", "decoded", "fp", "component", "__text", "bucket", "n_words", "n_removed", "n_tokens", "n", "rows", "digest", "copy", "text_", "hash", "Score")
 
 
 def frame(spark, given=None):

@@ -97,7 +97,9 @@ def windows(rows, size):
 @pytest.mark.parametrize("size", [20, 5, 50, 1])
 def test_substring_dedup(spark, size):
     got = substring.dedup(D.clashing(D.frame(spark)), window=size)
-    assert set(D.CLASHES) - {"kept", "Score"} <= set(got.columns)
+    assert set(D.CLASHES) - {"Score"} <= set(got.columns)
+    renamed = substring.dedup(D.clashing(D.frame(spark)), window=size, out=("a", "b", "c"))
+    assert {c: renamed.select(c).distinct().collect()[0][0] for c in D.CLASHES if c != "Score"} == {c: "c" for c in D.CLASHES if c != "Score"}
     found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r)
     assert sorted(found, key=key) == sorted(windows(D.rows(), size), key=key)
@@ -190,6 +192,8 @@ def test_verified_near_duplicates(spark, monkeypatch):
     kept = simhash.one_of_each(D.clashing(D.frame(spark, [*rows, rows[0]])))
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(expected.values())) and kept.where("doc_id is null").count() == 1
     assert simhash.one_of_each(D.frame(spark, [])).count() == 0
+    tied = [(1, "b text", "en", "y", 0), (1, "a text", "en", "z", 0), (1, "a text", "en", "x", 0), (2, None, "en", "s", None)]
+    assert sorted((r.doc_id, r.text, r.source) for r in simhash.one_of_each(D.frame(spark, tied)).collect()) == [(1, "a text", "x"), (2, None, "s")]
 
 
 def test_near_duplicates_of_repeated_lines_and_short_texts(spark):
