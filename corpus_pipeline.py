@@ -26,8 +26,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: 5-word shingles, similarity 0.8, verified.
 
-    The least id of a group stays, of rows that repeat it the one with the least text (see ``simhash.one_of_each``).  Null and
-    empty texts are equal, so one of them stays; rows with a null id all stay.
+    The least id of a group stays, of rows that repeat it the one with the least text (see ``simhash.one_of_each``).  Texts
+    without a word (null and empty ones too) are alike, so one of them stays; rows with a null id all stay.
     """
     return simhash.one_of_each(docs)
 
