@@ -15,6 +15,17 @@ from loomseq.llm.warc import op1_warc
 
 QUERIES = {"op4_lm": op4_lm, "op7_decontaminate": op7_decontaminate, "op2_minhash": op2_minhash, "op5_quality": op5_quality, "op8_langid": op8_langid, "op1_warc": op1_warc, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_chat": op9_chat, "op10_bpe": op10_bpe}
 
+#: base32 by 5 bits: each 5 hexadecimal digits of the SHA-1 are 4 characters.
+WARC_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as least from pages),
+d as (
+  select page_id, payload_bytes, least, array_to_string(list_transform(list_transform(range(8), lambda g: cast('0x' || substr(h, 5 * g + 1, 5) as integer)),
+    lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+      || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') as payload_digest,
+    least is not null and least is distinct from page_id as again from p)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then least end as refers_to from d
+"""
+
 SUBSTRING_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 p as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from w),
@@ -46,4 +57,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from v group by conv_id
 """
 
-ORACLES = {"op3_substring": SUBSTRING_SQL, "op9_chat": CHAT_SQL}
+ORACLES = {"op1_warc": WARC_SQL, "op3_substring": SUBSTRING_SQL, "op9_chat": CHAT_SQL}

@@ -1,9 +1,12 @@
 """WARC archives: a writer with revisit records and a reader that splits files at any byte.
 
-Every record is a gzip member of its own.  A reading task gets a byte range, looks for the gzip magic in it, accepts a place only
-if decoding there gives the head of a WARC record, and owns the records whose members start inside its range; it reads past the
-end of the range to finish the last one.  Files are opened by their URI on the executors, so they can be in any store that
-pyarrow's file systems open.
+Every record is a gzip member of its own.  A reading task gets a byte range, looks for the gzip magic in it, validates a place by
+decoding there, and owns the records whose members start inside its range; it reads past the end of the range to finish the last
+one.  A payload may itself hold members of an archive, as they are: DEFLATE stores bytes in blocks of STORED at most, so such
+members follow each other for no more than that.  A place is a member's start if valid members follow each other from it for
+longer, or to the file's end; and the range before has checked the same of the place where its own members end.  So records don't
+depend on where files are split, and damage is always found.  Files are opened by their URI on the executors, so they can be in
+any store that pyarrow's file systems open.
 
 A writing task gives its files names of their own and returns them; only files in the returned manifest count, so a task that is
 lost and run again leaves no record twice.
@@ -29,6 +32,8 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 READ_BYTES = 1 << 18
+#: The longest stored block of DEFLATE (fixed value).
+STORED = 65_535
 
 
 def digest(payload: bytes) -> str:
@@ -135,6 +140,14 @@ class Member:
         del self.ready[:n]
         return out
 
+    def skip(self, n: int) -> None:
+        while len(self.ready) < n:
+            n -= len(self.ready)
+            self.ready.clear()
+            if not self.more():
+                raise zlib.error("the member ends inside a record")
+        del self.ready[:n]
+
     def head(self) -> dict[str, str] | None:
         """The next record's fields, of any length once they begin with WARC/; None at the end of the member; ValueError where no record begins."""
         while True:
@@ -162,9 +175,30 @@ class Member:
         return self.at - len(self.z.unused_data)
 
 
-def records(file: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset of the member, fields, block) of the records whose members start in [start, stop)."""
-    at = start
+def length_of(fields: dict[str, str]) -> int:
+    return int(fields["content-length"])
+
+
+def chain(file: pa.NativeFile, size: int, at: int) -> int | None:
+    """None if valid members follow each other from here for more than STORED bytes or to the file's end, else where they end."""
+    start = at
+    while at < size and at - start <= STORED:
+        try:
+            member = Member(file, at, size)
+            fields = member.head()
+            if fields is None and at == start:
+                return at
+            while fields is not None:
+                member.skip(length_of(fields))
+                fields = member.head()
+            at = member.end()
+        except (ValueError, zlib.error):
+            return at
+    return None
+
+
+def first_member(file: pa.NativeFile, size: int, at: int, stop: int) -> int | None:
+    """The first member's start in [at, stop) that decoding confirms."""
     while at < stop:
         # a magic that starts before stop may end after it
         raw = file.read_at(min(READ_BYTES, stop - at) + len(MAGIC) - 1, at)
@@ -174,27 +208,70 @@ def records(file: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[t
             continue
         at += found
         if at >= stop:
+            return None
+        broken = chain(file, size, at)
+        if broken is None:
+            return at
+        # all members of a chain that breaks off lie inside a payload
+        at = max(at + 1, broken)
+    return None
+
+
+class Damage(Exception):
+    """A place where no member follows the one before it."""
+
+    def __init__(self, offset: int, why: str):
+        super().__init__(why)
+        self.offset = offset
+
+
+def records(file: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes] | Damage]:
+    """(offset of the member, fields, block) of the records whose members start in [start, stop), and the damage found there.
+
+    The records of a member that is damaged anywhere are left out.  Members up to STORED bytes before a damage belong to the range
+    that finds it, as none that starts there could confirm them.
+    """
+    at, sure = start, start == 0
+    while at < size:
+        if not sure:
+            at = first_member(file, size, at, stop)
+            if at is None:
+                return
+        end = stop
+        while at < size:
+            if at >= end:
+                broken = chain(file, size, at) if at < stop or end == stop else at
+                if broken is None:
+                    return
+                end = broken
+            try:
+                if at >= end and at >= stop:
+                    raise ValueError("no member")
+                member, found = Member(file, at, size), []
+                fields = member.head()
+                while fields is not None:
+                    found.append((at, fields, member.take(length_of(fields))))
+                    fields = member.head()
+                after = member.end()
+            except (ValueError, zlib.error) as e:
+                yield Damage(at, str(e))
+                break
+            yield from found
+            at = after
+        if at >= stop or at >= size:
             return
-        try:
-            member = Member(file, at, size)
-            fields = member.head()
-            if fields is None:
-                raise ValueError("no head")
-        except (ValueError, zlib.error):
-            at += 1  # magic by chance
-            continue
-        while fields is not None:
-            yield at, fields, member.take(int(fields["content-length"]))
-            fields = member.head()
-        at = member.end()
+        at, sure = at + 1, False
 
 
 RECORD = "path string, offset long, record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
-def read(files: DataFrame, split_bytes: int = 1 << 26, payloads: bool = True) -> DataFrame:
+def read(files: DataFrame, split_bytes: int = 1 << 26, payloads: bool = True, damage: str = "raise") -> DataFrame:
     """The records of the files (path, size), one row each (RECORD), read by splits of so many bytes.
 
+    A file that isn't members end to end (cut off, overwritten, not an archive) raises a ValueError with its path and offset; with
+    ``damage="report"`` the place is a row of type ``damaged`` and reading goes on at the next member that decoding confirms.
+
     ``payload_digest`` and ``payload_bytes`` are of the full payload: taken from it where the record has it (a digest in the head
     that differs raises a ValueError), from the heads of a revisit.  ``payload`` is null in revisits and unless ``payloads``.
     Fields that a record lacks are null; no files give no rows.
@@ -211,7 +288,13 @@ def read(files: DataFrame, split_bytes: int = 1 << 26, payloads: bool = True) ->
             for path, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 store, name = pafs.FileSystem.from_uri(path)
                 with store.open_input_file(name) as f:
-                    for offset, fields, block in records(f, size, start, min(size, start + split_bytes)):
+                    for got in records(f, size, start, min(size, start + split_bytes)):
+                        if isinstance(got, Damage):
+                            if damage == "raise":
+                                raise ValueError(f"{path} is damaged at {got.offset}: {got}")
+                            rows.append((path, got.offset, None, "damaged", *[None] * 6))
+                            continue
+                        offset, fields, block = got
                         given = (fields.get("warc-payload-digest") or "").rpartition(":")[2] or None
                         body, length = block, len(block)
                         if fields.get("content-type", "").startswith("application/http"):
@@ -237,7 +320,11 @@ def read(files: DataFrame, split_bytes: int = 1 << 26, payloads: bool = True) ->
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: all pages to archives in the shared folder and back."""
+    """Contract query: all pages to archives in the shared folder and back.
+
+    A null html is an empty payload; a null page_id never is the smallest and comes back null; rows that repeat an id are records
+    each (see ``write``).
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     files = write(pages, scratch(spark, "warc"), least_bytes=0)
     page = lambda c: F.nullif(F.replace(F.col(c), F.lit(ID_PREFIX), F.lit("")), F.lit("")).cast("long")

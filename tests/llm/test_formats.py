@@ -16,6 +16,8 @@ import corpus_pipeline
 from loomseq.llm import bpe, chat, decontam, langid, quality, queries, warc
 from loomseq.llm import textvec as tv
 
+from test_texts import windows
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -83,6 +85,70 @@ def test_warc_splits_and_foreign_bytes(spark, tmp_path):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")).count() == 0
 
 
+def offsets(f, size, step):
+    """What is read by ranges of so many bytes."""
+    parts = [list(warc.records(f, size, a, min(size, a + step))) for a in range(0, size, step)]
+    return [("damage", x.offset) if isinstance(x, warc.Damage) else x[1]["warc-record-id"] for x in itertools.chain(*parts)]
+
+
+def test_warc_members_inside_payloads(tmp_path):
+    """Archives as payloads, stored as they are: longer and shorter than a stored block, and than the ranges."""
+    rng = random.Random(5)
+    one = lambda i, body: warc.record(i, "u", body, len(body), b32(body), None, "2020-01-01T00:00:00Z")
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    inner = [b"".join(gzip.compress(one(1000 + i, noise(rng.randrange(40, 400))), mtime=0) for i in range(n)) for n in (1, 30, 700)]
+    members = []
+    for i, body in enumerate([noise(500), inner[0] + noise(90), noise(70_000) + inner[1], b"plain", inner[2], inner[1] + inner[1], b"last", noise(100_000)]):
+        members.append(gzip.compress(one(i, body), compresslevel=0, mtime=0))
+    data = b"".join(members)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    with pa.OSFile(str(path)) as f:
+        for step in (997, 5000, 30_000, 65_536, 200_000, len(data)):
+            assert offsets(f, len(data), step) == [f"<urn:page:{i}>" for i in range(8)], step
+
+
+def test_warc_damage(spark, tmp_path):
+    rng = random.Random(6)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    members = [gzip.compress(warc.record(i, "u", b, len(b), b32(b), None, "2020-01-01T00:00:00Z")) for i, b in enumerate(noise(rng.randrange(200, 9000)) for _ in range(60))]
+    at = [sum(map(len, members[:i])) for i in range(61)]
+    bad = bytearray(members[20])
+    bad[len(bad) // 2] ^= 255
+    cases = {
+        "cut": (b"".join(members)[: at[59] + 50], at[59], list(range(59))),
+        "junk": (b"".join(members[:30]) + b"junk" * 5 + b"".join(members[30:]), at[30], list(range(60))),
+        "flipped": (b"".join([*members[:20], bytes(bad), *members[21:]]), at[20], [i for i in range(60) if i != 20]),
+        "start": (b"no archive" + b"".join(members), 0, list(range(60))),
+        "none": (noise(3000), 0, []),
+    }
+    for name, (data, place, left) in cases.items():
+        path = tmp_path / f"{name}.warc.gz"
+        path.write_bytes(data)
+        with pa.OSFile(str(path)) as f:
+            for step in (701, 40_000, len(data)):
+                got = offsets(f, len(data), step)
+                assert [x for x in got if x[0] == "damage"] == [("damage", place)], (name, step)
+                assert sorted(x for x in got if x[0] != "damage") == sorted(f"<urn:page:{i}>" for i in left), (name, step)
+        files = spark.createDataFrame([(f"file://{path}", len(data))], "path string, size long")
+        with pytest.raises(Exception, match=f"{name}.warc.gz is damaged at {place}"):
+            warc.read(files, split_bytes=40_000).collect()
+        rows = warc.read(files, split_bytes=40_000, damage="report").collect()
+        assert [r.offset for r in rows if r.record_type == "damaged"] == [place] and len(rows) == len(left) + 1
+
+
+def test_warc_query(spark, tmp_path):
+    import duckdb
+
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").select("*", *[F.lit("c").alias(c) for c in ("payload", "size", "sha1", "least", "path", "refers_to")])
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op1_warc"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    expected = db.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES['op1_warc']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected)) and len(expected) == len(PAGES)
+
+
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "yo <|im_end|> \\ <\\ < "), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, "assistant", "first"), (2, 1, "assistant", "again"),
     (3, 0, "sys\ntem<|im_start|>", "odd role"), (3, None, None, "no role"), (3, 0, "user", "tie"), (3, 0, "user", "tie"), (None, 0, "user", "x" * 100_000), (4, 0, "system", "s"), (4, 1, "user", "<|im_start|>user\n"), (4, 2, "assistant", "done\\"),
@@ -458,13 +524,48 @@ def test_pipeline_decodes_its_ids(spark, monkeypatch):
     rows = [(1, "some text", "en", "s", 9), (2, "", "en", "s", 0), (3, None, "en", "s", None), (4, "日本 émigré\n", "en", "s", 0)]
     df = D.clashing(D.frame(spark, rows))
     got = corpus_pipeline.token_ids(spark, df, SF)
-    assert set(got.columns) == {*df.columns, "ids", "n_tokens"} and sorted((r.doc_id, r.text, len(r.ids) == r.n_tokens) for r in got.where("text is not null").collect()) == [(i, t, True) for i, t, *_ in rows if t is not None]
+    assert got.columns[-2:] == ["ids_", "n_tokens_"] and set(got.columns) == {*df.columns, "ids_", "n_tokens_"}
+    assert sorted((r.doc_id, r.text, len(r.ids_) == r.n_tokens_, r.ids) for r in got.where("text is not null").collect()) == [(i, t, True, "c") for i, t, *_ in rows if t is not None]
     assert got.count() == 4
-    monkeypatch.setattr(bpe, "round_trip", lambda docs, path, text_col, out: bpe.encode(docs, path).withColumn(out, F.lit("other")))
+    monkeypatch.setattr(bpe, "round_trip", lambda docs, path, text_col, out, ids: bpe.encode(docs, path, out=ids).withColumn(out, F.lit("other")))
     with pytest.raises(Exception, match="decode to their text"):
         corpus_pipeline.token_ids(spark, df, SF).collect()
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_what_they_were_given(spark, tmp_path, stage):
+    """Nulls, empty and long texts, repeated rows and ids, and columns of the operators' own names."""
+    given = [*D.rows(), D.rows()[0], (1, "another text of the same id", "en", "z", 3), (None, None, None, None, None), (None, "a text without an id", "en", "src", 9)]
+    df = D.clashing(D.frame(spark, given))
+    spark.createDataFrame([(1, 1), (3, 1), (12, 1), (19, 0), (18, 0), (None, 0), (6, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, D.passage(60, 77)), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, df, str(tmp_path))
+    assert out.columns[: len(df.columns)] == df.columns and (stage == 4 or out.columns == df.columns)
+    rows = out.collect()
+    clashes = [c for c in D.CLASHES if c != "Score"]
+    assert rows and all(r[c] == "c" for r in rows for c in clashes)
+    left = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows]
+    if stage != 2:
+        assert all(left.count(x) <= given.count(x) for x in left)
+    if stage == 1:
+        ids = [r[0] for r in left if r[0] is not None]
+        assert len(ids) == len(set(ids)) and 2 not in ids and 3 not in ids and len([r for r in left if r[0] is None]) == 3
+        assert (16, D.passage(21, 50), "fr", "src", 125) not in left and len([r for r in left if r[1] in ("", None, " \t\n ") and r[0] is not None]) == 1
+    if stage == 2:
+        found = {}
+        for i, words, removed, kept in windows(given, 20):
+            if not removed or removed < words:
+                found.setdefault(i, []).append(kept if removed else None)
+        assert sorted((str(r[0]) for r in left)) == sorted(str(i) for i, x in found.items() for _ in x)
+        assert all(r[1] in [t for i, t, *_ in given if i == r[0]] or r[1] in found[r[0]] and r[4] == len(r[1]) for r in left)
+    if stage == 3:
+        assert sorted(map(str, left)) == sorted(str(r) for r in given if r[0] not in (9, 10, 12))
+    if stage == 4:
+        assert sorted(map(str, left)) == sorted(map(str, given))
+    assert run(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
 
@@ -474,7 +575,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
