@@ -2,47 +2,60 @@
 
 The CGK embedding of a sequence is a random walk along it: step j emits the symbol at the pointer and moves on by a bit that a
 random function of (j, symbol) gives.  Sequences few edits apart have walks that soon fall into step again after an edit, so
-their embeddings differ in few places: edit distance becomes Hamming distance.  Bit-sampling LSH takes a few coordinates of the
-embedding as a key.  Here the symbols are words, every place of a document starts an item-sized window, every place of an item
-likewise, and the keys' coordinates lie in the first steps of the walk, so no walk is followed further than they need.  A window
-leaves the walk as soon as its coordinates so far agree with no item's.  Each repetition has its own walk and coordinates.
-Recall is measured by classes of length on items with planted edits, random and evenly spread ones.  Repetitions are added until
-all classes reach the target; a class that would need too many is found exactly instead, by the runs of words of which the
-allowed edits leave one whole.  Candidates are verified by the exact edit distance
-between the item and the best passage around the place.
+their embeddings agree in many places: edit distance becomes Hamming distance.  Bit-sampling LSH takes a few coordinates of the
+embedding as a key.  Here the symbols are words, and windows have the size of an item: a walk takes two steps a word, and a
+repetition's coordinates lie anywhere along it, near each other, as walks in step at one are mostly in step at the next.  The
+distance between walks grows with the square of the edits, so items of more than WINDOW words go by windows of equal parts, one
+of which has no larger share of edits than the whole.
+
+Windows start at every place of a document where one could match at all: a passage within the allowed edits keeps a number of the
+item's neighbouring word pairs, which is counted first and loses nothing.  Walks that meet at a place and step go on as one.
+How many repetitions a window size needs to find the target share of edited passages is measured, for edits at random and evenly
+spread ones; a target that MOST_REPETITIONS don't reach is an error.  Candidates are verified by the exact edit distance between
+the item and the best passage around the place.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
-from loomseq.llm.cluster import unused
+from loomseq.llm.cluster import trimmed, unused
 
-#: Words are runs of ASCII letters and digits and of bytes of other scripts, in lower case.
+#: What separates words once a text is plain: all ASCII but letters and digits.
 SEPARATOR = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+#: Scripts written without spaces, of which each letter is a word.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: Words of the longest window, whose walk has as many steps as there are random bits.
+WINDOW = 32
 #: Coordinates of a key, and the steps between them.
-COORDINATES, GAPS = 6, (2, 3)
-#: Items of fewer words are looked up by runs of words that so few edits leave whole.
-SHORT = 8
-#: Text of benchmark items that workers hold at a time; more are taken in blocks.
-BLOCK_BYTES = 1 << 19
-LEAST_REPETITIONS, MOST_REPETITIONS = 6, 32
-#: Edited items of each length class and kind of edits on which recall is measured, at least.
+COORDINATES, GAPS = 4, (1, 2)
+MOST_REPETITIONS = 512
+#: Text of benchmark items of one block of the index; blocks that a worker holds at once.
+BLOCK_BYTES, HELD_BLOCKS = 1 << 19, 4
+#: Text that is searched at a time.
+SEARCH_BYTES = 1 << 24
+#: Edited windows of each size and kind of edits on which recall is measured.
 TRIALS = 1000
 #: Edits at random, evenly spread ones, and evenly spread ones that all replace a word.
 KINDS = ("random", "spread", "replaced")
 
 
+def plain(text: Column) -> Column:
+    """The text with words between spaces: lower case and letters, marks and digits by Unicode; ASCII texts stay, their bytes tell."""
+    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(spaced, f"([{UNSPACED}])", " $1 "))
+
+
 def words_of(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of plain texts, and where each document's begin."""
     low = tv.Docs(tv.LOWER[docs.buf], docs.off, 0)
     starts, ends, first = low.words(SEPARATOR)
     return tv.WORDS.bytes(low.buf, starts, ends), first
@@ -61,168 +74,199 @@ class Filter:
 
 @dataclass
 class Walk:
-    """One repetition: the random bits' seed, and the sampled coordinates."""
+    """One repetition: the random bits' seed, where along the walk its coordinates begin, and the steps from there to each."""
 
     seed: np.uint64
-    coordinates: list[int]
-
-    def keys(self, words: np.ndarray, starts: np.ndarray, filters: list[Filter] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The windows (as indices of starts) that stay and their keys; all keys so far, coordinate by coordinate, without filters."""
-        bits = tv.mix(words ^ self.seed)
-        at, who, last = starts.copy(), np.arange(len(starts)), len(words) - 1
-        key, out, step = np.zeros(len(starts), np.uint64), [], 0
-        for i, c in enumerate(self.coordinates):
-            while step < c:
-                at = np.minimum(at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64), last)
-                step += 1
-            key = tv.mix(key ^ words[at])
-            if filters is not None:
-                keep = filters[i].has(key)
-                at, who, key = at[keep], who[keep], key[keep]
-            else:
-                out.append(key)
-        return who, (out if filters is None else [key])
-
-
-def walks(number: int, seed: int = 11) -> list[Walk]:
+    along: float
+    steps: list[int]
+
+    def begin(self, n: int) -> int:
+        """The step of the first coordinate for windows of n words."""
+        return int(self.along * max(1, 2 * n - self.steps[-1]))
+
+    def bits(self, words: np.ndarray) -> np.ndarray:
+        return tv.mix(words ^ self.seed)
+
+    def key(self, key: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return tv.mix(key ^ words)
+
+
+@lru_cache(1)
+def walks(seed: int = 11) -> list[Walk]:
     rng = np.random.default_rng(seed)
-    return [Walk(rng.integers(0, 2**63, dtype=np.uint64), [0, *np.cumsum(rng.choice(GAPS, COORDINATES - 1)).tolist()]) for _ in range(number)]
+    return [Walk(rng.integers(0, 2**63, dtype=np.uint64), float(rng.random()), [0, *np.cumsum(rng.choice(GAPS, COORDINATES - 1)).tolist()]) for _ in range(MOST_REPETITIONS)]
+
+
+def step(at: np.ndarray, bits: np.ndarray, j: int) -> np.ndarray:
+    """The pointers after step j."""
+    return at + ((bits >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
 
 
 def allowed(n: int, share: float) -> int:
-    """Edits that an item of n words may have."""
+    """Edits that n words may have."""
     return int(share * n + 1e-9)
 
 
-def length_class(n: int) -> int:
-    """Two classes an octave: 8 to 11 words, 12 to 15, 16 to 22, 23 to 31 and so on."""
-    return int(2 * math.log2(n))
+def edited(rng: np.random.Generator, words: np.ndarray, edits: int, kind: str) -> list[np.uint64]:
+    """The words with so many edits: replaced (all, or a third of them), dropped or new ones."""
+    w, n = list(words), len(words)
+    for e in reversed(range(edits)):
+        edit, at = 0 if kind == "replaced" else int(rng.integers(3)), (2 * e + 1) * n // (2 * edits) if kind != "random" else int(rng.integers(len(w)))
+        new = rng.integers(0, 2**63, dtype=np.uint64)
+        w[at : at + 1] = [new] if edit == 0 else [] if edit == 1 else [new, w[at]]
+    return w
+
+
+@lru_cache(1024)
+def repetitions(n: int, edits: int, recall: float) -> tuple[int, dict[str, float]]:
+    """How many walks find windows of n words with so many edits as often as asked for, and how often they do by kind of edits.
+
+    A passage is found where its walk, from its start or the word after it, gives the key of the item's walk.
+    """
+    rng = np.random.default_rng([5, n, edits])
+    width, total = n + edits + 2 * WINDOW + 2, TRIALS * len(KINDS)
+    item, text = (rng.integers(0, 2**63, (total, width), dtype=np.uint64) for _ in range(2))
+    for t in range(total):
+        w = edited(rng, item[t, :n], edits, KINDS[t % len(KINDS)])
+        text[t, : len(w)] = w
+    left = np.arange(total)
+    for r, walk in enumerate(walks(), 1):
+        c, who = walk.begin(n), np.arange(len(left))
+        want = walk.begin(n) + np.array(walk.steps)
+
+        def emitted(x: np.ndarray, start: int, c: int = c, walk: Walk = walk, want: np.ndarray = want, who: np.ndarray = who) -> np.ndarray:
+            bits, at, out = walk.bits(x), np.full(len(x), start), []
+            for j in range(int(want[-1]) + 1):
+                if j in want:
+                    out.append(x[who, at])
+                at = step(at, bits[who, at], j)
+            return np.stack(out, axis=1)
+
+        own = emitted(item[left], 0)
+        found = np.zeros(len(left), bool)
+        for start in (0, 1):
+            found |= (emitted(text[left], start) == own).all(axis=1)
+        left = left[~found]
+        share = {kind: 1 - int((left % len(KINDS) == i).sum()) / TRIALS for i, kind in enumerate(KINDS)}
+        if min(share.values()) >= recall:
+            return r, share
+    raise ValueError(f"{MOST_REPETITIONS} walks find {min(share.values()):.3f} of windows of {n} words with {edits} edits, not {recall}")
 
 
 class Index:
-    """The keys of all windows of the items, for each repetition."""
+    """The keys of all items' windows, for each repetition."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray], share: float = 0.2, recall: float = 0.999):
         self.ids, self.words, self.share = ids, words, share
         self.size = np.array([len(w) for w in words], np.int64)
         self.edits = np.array([allowed(n, share) for n in self.size.tolist()], np.int64)
-        long = [i for i, n in enumerate(self.size) if n >= SHORT]
-        self.flat = np.concatenate([words[i] for i in long]) if long else np.empty(0, np.uint64)
-        #: item and offset of each window
-        self.item = np.repeat(np.array(long, np.int64), [len(words[i]) - SHORT // 2 + 1 for i in long])
-        self.offset = np.concatenate([np.arange(len(words[i]) - SHORT // 2 + 1) for i in long]) if long else np.empty(0, np.int64)
-        self.first = Filter(np.concatenate([self.flat[:0], *words]))
-        self.tables: list[tuple[Walk, list[Filter], np.ndarray, np.ndarray]] = []
-        # repetitions, each with its own stops behind items, until items with planted edits are found as often as they should be;
-        # a class that the least number leaves so far off that it would take more than twice as many goes to runs of words
-        padded, at = self._padded(long)
-        missed = trials = self._edited(long)
-        #: items found by runs of words
-        self.exact: set[int] = set()
-        #: (length class, kind of edits) -> share of the edited items that walks find, of the classes found by walks
+        #: windows by size: (item, offset) of each
+        parts: dict[int, list[tuple[int, int]]] = {}
+        for i, n in enumerate(self.size.tolist()):
+            cut = np.linspace(0, n, -(-n // WINDOW) + 1).astype(int).tolist() if n else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                parts.setdefault(b - a, []).append((i, a))
+        #: (window size, kind of edits) -> share of edited windows that the walks find
         self.recall: dict[tuple[int, str], float] = {}
-        for walk in walks(MOST_REPETITIONS if long else 0):
-            _, keys = walk.keys(padded, at)
+        # (repetition, step) -> the keys so far after each coordinate, items, and how far behind an item's start the first one is
+        tables: dict[tuple[int, int], list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]] = {}
+        for n, members in sorted(parts.items()):
+            count, found = repetitions(n, allowed(n, share), recall)
+            self.recall |= {(n, kind): x for kind, x in found.items()}
+            item, offset = np.array(members, np.int64).T
+            text = np.empty((len(members), n + 2 * WINDOW + 2), np.uint64)
+            for row, (i, a) in zip(text, members, strict=True):
+                row[:n] = words[i][a : a + n]
+            # what a walk meets behind a window is no word
+            text[:, n:] = tv.mix(np.arange(text[:, n:].size, dtype=np.uint64).reshape(len(members), -1) + np.uint64(n << 40))
+            who = np.arange(len(members))
+            for r, walk in enumerate(walks()[:count]):
+                bits, at, keys, key = walk.bits(text), np.zeros(len(members), np.int64), [], np.zeros(len(members), np.uint64)
+                begin = walk.begin(n)
+                for j in range(begin + walk.steps[-1] + 1):
+                    if j == begin:
+                        behind = offset + at
+                    if j - begin in walk.steps:
+                        key = walk.key(key, text[who, at])
+                        keys.append(key)
+                    at = step(at, bits[who, at], j)
+                tables.setdefault((r, begin), []).append((keys, item, behind))
+        #: for each repetition, by step: filters of the keys so far, whole keys in order, their items, and how far behind
+        self.tables: list[list[tuple[int, list[Filter], np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(1 + max((r for r, _ in tables), default=-1))]
+        for (r, begin), made in sorted(tables.items()):
+            keys = [np.concatenate([m[0][k] for m in made]) for k in range(COORDINATES)]
             order = np.argsort(keys[-1], kind="stable")
-            self.tables.append((walk, [Filter(k) for k in keys], keys[-1][order], order))
-            missed = [x for x in missed if x[0] not in self._found(x[1], *self.tables[-1])]
-            tried, lost = (Counter((length_class(self.size[i]), kind) for i, _, kind in x if i not in self.exact) for x in (trials, missed))
-            self.recall = {k: 1 - lost[k] / n for k, n in tried.items()}
-            if len(self.tables) >= LEAST_REPETITIONS:
-                least = recall if len(self.tables) == MOST_REPETITIONS else 1 - math.sqrt(1 - recall) if len(self.tables) == LEAST_REPETITIONS else 0
-                far = {k for (k, _), found in self.recall.items() if found < least}
-                self.exact |= {i for i in long if length_class(self.size[i]) in far}
-                self.recall = {k: found for k, found in self.recall.items() if k[0] not in far}
-                if all(found >= recall for found in self.recall.values()):
-                    break
-        if not self.recall:
-            self.tables = []
+            self.tables[r].append((begin, [Filter(k) for k in keys], keys[-1][order], np.concatenate([m[1] for m in made])[order], np.concatenate([m[2] for m in made])[order]))
         self.expected = min(self.recall.values(), default=1.0)
-        # short items and exact ones: runs of words, of which one is left whole by the allowed edits (all words if none is allowed)
-        self.runs: dict[int, tuple[Filter, np.ndarray, np.ndarray, np.ndarray]] = {}
-        parts: dict[int, list[tuple[np.uint64, int, int]]] = {}
-        for i, n in enumerate(self.size.tolist()):
-            if 0 < n < SHORT or i in self.exact:
-                q = n // (int(self.edits[i]) + 1)
-                for o in range(0, n - q + 1, q):
-                    parts.setdefault(q, []).append((self._run(words[i][o : o + q])[0], i, o))
-        for q, rows in parts.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
-            self.runs[q] = (Filter(keys), keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-
-    def _padded(self, long: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        steps = COORDINATES * max(GAPS) + 1
-        out, at, place = [], [], 0
-        for i in long:
-            w = self.words[i]
-            out += [w, tv.mix(np.arange(steps, dtype=np.uint64) + np.uint64((i + 1) << 20))]
-            at.append(place + np.arange(len(w) - SHORT // 2 + 1))
-            place += len(w) + steps
-        return (np.concatenate(out), np.concatenate(at)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-    @staticmethod
-    def _run(words: np.ndarray) -> np.ndarray:
-        key = np.zeros(1, np.uint64)
-        for w in words:
-            key = tv.mix(key ^ w)
-        return key
-
-    def _edited(self, long: list[int]) -> list[tuple[int, np.ndarray, str]]:
-        """(item, words, kind): items with as many edits as they may have, on which recall is measured; TRIALS of each length
-        class and kind of edits."""
-        rng = np.random.default_rng(5)
-        classes: dict[int, list[int]] = {}
-        for j in rng.permutation(len(long)).tolist():
-            classes.setdefault(length_class(self.size[long[j]]), []).append(long[j])
-        out = []
-        for members in classes.values():
-            for t in range(TRIALS):
-                i = members[t % len(members)]
-                n, edits = int(self.size[i]), int(self.edits[i])
-                for kind in KINDS:
-                    w = list(self.words[i])
-                    for e in reversed(range(edits)):
-                        edit, at = 0 if kind == "replaced" else int(rng.integers(3)), (2 * e + 1) * n // (2 * edits) if kind != "random" else int(rng.integers(len(w)))
-                        new = rng.integers(0, 2**63, dtype=np.uint64)
-                        w[at : at + 1] = [new] if edit == 0 else [] if edit == 1 else [new, w[at]]
-                    out.append((i, np.array(w, np.uint64), kind))
-        return out
-
-    def _found(self, text: np.ndarray, walk: Walk, filters: list[Filter], keys: np.ndarray, order: np.ndarray) -> set[int]:
-        """The items that one repetition finds in a text."""
-        _, (key,) = walk.keys(text, np.arange(len(text)), filters)
-        low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-        return {i for a, b in zip(low, high, strict=True) for i in self.item[order[a:b]].tolist()}
-
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # what a passage keeps: so many of the items' pairs of neighbours (of their words, where that says nothing) in so many words
+        flat = np.concatenate([np.empty(0, np.uint64), *words])
+        self.single, self.pair = Filter(flat), Filter(np.concatenate([np.empty(0, np.uint64), *[tv.RUNS.pair(w[:-1], w[1:]) for w in words]]))
+        self.kept: dict[tuple[bool, int], tuple[int, int]] = {}
+        for n in parts:
+            k = allowed(n, share)
+            pairs = n - 1 - 2 * k
+            group = (pairs > 0, int(2 * np.log2(n)))
+            need, reach = self.kept.get(group, (n, 0))
+            self.kept[group] = (min(need, pairs if pairs > 0 else n - k), max(reach, n + k))
+
+    def places(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The places of all windows that could match."""
+        n = len(words)
+        inside = np.zeros(n + 1, np.int32)
+        sums: dict[bool, np.ndarray] = {}
+        for (by_pair, _), (need, reach) in self.kept.items():
+            if by_pair not in sums:
+                hit = np.append(self.pair.has(pairs), False) if by_pair else self.single.has(words)
+                sums[by_pair] = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
+            total, length = sums[by_pair], reach - 1 if by_pair else reach
+            end = np.minimum(np.arange(length, n + length), n)
+            start = np.flatnonzero(total[end] - total[:-1] >= need)
+            np.add.at(inside, start, 1)
+            np.add.at(inside, np.minimum(start + reach, n), -1)
+        return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+    def candidates(self, words: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(item, place): items that may be in the words, with the place where the item would begin."""
         items, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        starts = np.flatnonzero(self.first.has(words))
-        for walk, filters, keys, order in self.tables:
-            who, (key,) = walk.keys(words, starts, filters)
-            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            n = high - low
-            at = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            items.append(self.item[at])
-            places.append(np.repeat(starts[who], n) - self.offset[at])
-        for q, (some, keys, item, offset) in self.runs.items():
-            begin = starts[: np.searchsorted(starts, len(words) - q, "right")]
-            key = np.zeros(len(begin), np.uint64)
-            for j in range(q):
-                key = tv.mix(key ^ words[begin + j])
-            stay = some.has(key)
-            begin, key = begin[stay], key[stay]
-            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            items.append(item[at])
-            places.append(np.repeat(begin, n) - offset[at])
+        place = self.places(words, tv.RUNS.pair(words[:-1], words[1:]) if pairs is None else pairs) if len(words) else np.empty(0, np.int64)
+        if len(place):
+            text, last = words[place], len(place) - 1
+            for walk, tables in zip(walks(), self.tables, strict=False):
+                bits, at, j = walk.bits(text), np.arange(len(text)), 0
+                for begin, filters, keys, item, behind in tables:
+                    while j < begin:
+                        at = np.minimum(step(at, bits[at], j), last)
+                        # walks that have met are one from here on
+                        at = at[np.append(True, at[1:] != at[:-1])]
+                        j += 1
+                    who, now, key = at, at, np.zeros(len(at), np.uint64)
+                    for k, filter in zip(range(walk.steps[-1] + 1), self._due(walk, filters), strict=True):
+                        if filter is not None:
+                            key = walk.key(key, text[now])
+                            keep = filter.has(key)
+                            who, now, key = who[keep], now[keep], key[keep]
+                            if not len(who):
+                                break
+                        now = np.minimum(step(now, bits[now], begin + k), last)
+                    if len(who):
+                        low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+                        n = high - low
+                        hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                        items.append(item[hit])
+                        places.append(np.repeat(place[who], n) - behind[hit])
         return np.concatenate(items), np.concatenate(places)
 
-    def matches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    @staticmethod
+    def _due(walk: Walk, filters: list[Filter]) -> list[Filter | None]:
+        """For each step from the first coordinate on, the filter of the coordinate that is due."""
+        due: list[Filter | None] = [None] * (walk.steps[-1] + 1)
+        for at, filter in zip(walk.steps, filters, strict=True):
+            due[at] = filter
+        return due
+
+    def matches(self, words: np.ndarray, first: np.ndarray, pairs: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, end) of the best passage of each item in each document: the nearest, then the first."""
-        item, place = self.candidates(words)
+        item, place = self.candidates(words, pairs)
         if not len(item):
             return []
         reach = self.edits[item]
@@ -244,8 +288,11 @@ class Index:
         at = place[:, None] - k + np.arange(n + 2 * k)[None, :]
         inside = (at >= first[doc][:, None]) & (at < first[doc + 1][:, None])
         text = words[np.clip(at, 0, len(words) - 1)]
-        # no passage within k edits has fewer of the item's words
+        # no passage within k edits has fewer of the item's words, or of its pairs of neighbours
         enough = (np.isin(text, w) & inside).sum(axis=1) >= n - k
+        if n - 1 - 2 * k > 0 and enough.any():
+            near = np.isin(tv.RUNS.pair(text[enough, :-1], text[enough, 1:]), tv.RUNS.pair(w[:-1], w[1:]))
+            enough[enough] = (near & inside[enough, :-1] & inside[enough, 1:]).sum(axis=1) >= n - 1 - 2 * k
         doc, at, inside, text = doc[enough], at[enough], inside[enough], text[enough]
         if not len(doc):
             return
@@ -282,67 +329,75 @@ def last_row(item: np.ndarray, text: np.ndarray, inside: np.ndarray, far: int, a
 def find(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start_word, end_word, item_words): the best passage of every item in every document that has one.
 
-    A passage matches if its word edit distance to the item is at most ``share`` of the item's words.  Words are runs of letters
-    and digits in lower case, so case, punctuation and spacing don't count.  Null and empty texts and items match nothing;
-    repeated rows match each on its own, with null ids as others.  Items are held by the workers, in blocks of BLOCK_BYTES of
-    text; documents only pass.
+    A passage matches if its word edit distance to the item is at most ``share`` of the item's words.  Words are runs of letters,
+    marks and digits by Unicode, in lower case, so case, punctuation and spacing don't count; in scripts without spaces each
+    letter is one.  Null and empty texts and items match nothing; repeated rows match each on its own, with null ids as others.
+    Documents are read once, whatever the number of items, and not shuffled; workers hold HELD_BLOCKS blocks of the index.  A
+    ``share`` of edits at which walks don't reach ``recall`` raises a ValueError.
     """
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for shared in _blocks(items, share, recall, item_col, item_text):
-        part = frame.mapInArrow(_finder(shared), "doc_id long, item_id long, distance int, start_word long, end_word long, item_words int")
-        found = part if found is None else found.union(part)
-    return found
+    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), plain(F.col(f"`{text_col}`")).alias("text"))
+    blocks = _blocks(items, share, recall, item_col, item_text)
+    names = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("item_words", pa.int32())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = b.column(0).to_pylist(), []
+            for first, index, found in _found(b.column(1), blocks):
+                rows += [(ids[first + doc], index.ids[i], distance, start, end, int(index.size[i])) for doc, i, distance, start, end in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
-def clean(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float = 0.999, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows, unchanged, in which no item matches (see ``find``); no shuffle."""
-    names = docs.columns
-    for shared in _blocks(items, share, recall, item_col, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in batches:
-                keep = np.ones(len(b), bool)
-                for d in tv.chunks(b.column(len(names))):
-                    words, first = words_of(d)
-                    for match in index.matches(words, first) if len(words) else ():
-                        keep[d.first + match[0]] = False
-                yield b.select(range(len(names))).filter(pa.array(keep))
+    return frame.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, item_id long, distance int, start_word long, end_word long, item_words int")
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(unused(docs, "text"))).mapInArrow(run, docs.schema)
-    return docs
 
+def clean(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float = 0.999, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, unchanged, in which no item matches (see ``find``); one pass, no shuffle."""
+    names = docs.columns
+    blocks = _blocks(items, share, recall, item_col, item_text)
 
-def _blocks(items: DataFrame, share: float, recall: float, item_col: str, item_text: str) -> Iterator:
-    """Broadcast indexes of the items, block by block."""
-    asked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(len(b), bool)
+            for first, _, found in _found(b.column(len(names)), blocks):
+                for match in found:
+                    keep[first + match[0]] = False
+            yield b.select(range(len(names))).filter(pa.array(keep))
+
+    frame = docs.select(*[F.col(f"`{c}`") for c in names], plain(F.col(f"`{text_col}`")).alias(unused(docs, "text")))
+    return frame.mapInArrow(lambda batches: trimmed(run(batches)), docs.schema)
+
+
+def _found(texts: pa.Array, blocks: list) -> Iterator[tuple[int, Index, list[tuple[int, int, int, int, int]]]]:
+    """(number of the first text, index, matches) of some texts at a time and each block of the index."""
+    for d in tv.chunks(texts, SEARCH_BYTES):
+        words, first = words_of(d)
+        if len(words):
+            pairs = tv.RUNS.pair(words[:-1], words[1:])
+            for shared in blocks:
+                yield d.first, shared.value, shared.value.matches(words, first, pairs)
+                if len(blocks) > HELD_BLOCKS:
+                    vars(shared).pop("_value", None)  # loaded again from the worker's disk for the next texts
+
+
+def _blocks(items: DataFrame, share: float, recall: float, item_col: str, item_text: str) -> list:
+    """Broadcast indexes of the items, of BLOCK_BYTES of text each (or one item)."""
+    asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), plain(F.col(f"`{item_text}`")).alias("text")).where("text is not null")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
-    for block in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
+    count, made = -(-total // BLOCK_BYTES) or 1, []
+    for block in range(count):
+        got = asked.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == block).orderBy("item_id", "text").toArrow()
         ids, words = got.column("item_id").to_pylist(), []
         for d in tv.chunks(got.column("text")) if got.num_rows else ():
             w, first = words_of(d)
             words += np.split(w, first[1:-1])
-        yield items.sparkSession.sparkContext.broadcast(Index(ids, words, share, recall))
-
-
-def _finder(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for b in batches:
-            ids, rows = b.column(0).to_pylist(), []
-            for d in tv.chunks(b.column(1)):
-                words, first = words_of(d)
-                rows += [(ids[d.first + doc], index.ids[i], distance, start, end, int(index.size[i])) for doc, i, distance, start, end in (index.matches(words, first) if len(words) else [])]
-            names = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("item_words", pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
-
-    return run
+        made.append(items.sparkSession.sparkContext.broadcast(Index(ids, words, share, recall)))
+    return made
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against all benchmark items."""
+    """All documents against all benchmark items: a row for each item that a document holds (see ``find``).
+
+    Null and empty texts and items match nothing; null ids and repeated rows match as others.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

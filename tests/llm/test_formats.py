@@ -441,7 +441,7 @@ def test_decontamination(spark):
         d = nearest(norm(item), norm(t))
         if d <= decontam.allowed(len(norm(item)), 0.2) and norm(t):
             expected[i, k] = d
-    assert set(got) <= set(expected) and len(got) >= 0.95 * len(expected)
+    assert set(got) <= set(expected) and len(got) >= 0.97 * len(expected)
     for k, r in got.items():
         text = norm(next(t for i, t, *_ in given if i == k[0]))[r.start_word : r.end_word]
         assert r.distance == expected[k] == nearest(norm(items[k[1]]), text) and r.start_word <= r.end_word
@@ -461,36 +461,85 @@ def test_items_in_blocks(spark, monkeypatch):
     assert decontam.clean(D.frame(spark, given), spark.createDataFrame(items[1:], "item_id long, text string")).count() == 1
 
 
-def test_planted_edits_are_found():
-    rng = np.random.default_rng(11)
-    words = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in rng.integers(8, 60, 50)]
-    index = decontam.Index(list(range(50)), words)
-    assert index.expected >= 0.99
-    hits = 0
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3])
+def test_recall_by_length_and_edits(share):
+    """Items of all lengths with as many edits as they may have, each in a document of its own."""
+    rng = np.random.default_rng(12)
+    lengths = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 18, 22, 31, 32, 33, 50, 64, 65, 130, 500]
+    words = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in lengths for _ in range(2)]
+    index = decontam.Index(list(range(len(words))), words, share)
+    assert index.expected >= 0.999 and {n for n, _ in index.recall} >= {n for n in lengths if n <= decontam.WINDOW}
+    texts, of = [], []
     for i, w in enumerate(words):
-        w = list(w)
-        for _ in range(int(index.edits[i])):
-            w[int(rng.integers(len(w)))] = rng.integers(0, 2**63, dtype=np.uint64)
-        text = np.concatenate([rng.integers(0, 2**63, 30, dtype=np.uint64), np.array(w, np.uint64), rng.integers(0, 2**63, 30, dtype=np.uint64)])
-        hits += any(m[1] == i for m in index.matches(text, np.array([0, len(text)])))
-    assert hits >= 47
+        for t in range(30):
+            kind = decontam.KINDS[t % 3]
+            made = np.array(decontam.edited(rng, w, int(index.edits[i]), kind), np.uint64)
+            texts.append(np.concatenate([rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64), made, rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64)]))
+            of.append((i, kind))
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    found = {(d, i) for d, i, *_ in index.matches(np.concatenate(texts), first)}
+    hits = {}
+    for d, (i, kind) in enumerate(of):
+        hits.setdefault((len(words[i]), kind), []).append((d, i) in found)
+    assert min(np.mean(x) for x in hits.values()) >= 0.9 and np.mean([x for h in hits.values() for x in h]) >= 0.995
+    assert all(of[d][0] == i for d, i in found)
+
+
+def test_places_lose_no_passage():
+    """Every passage within the allowed edits lies in the places that walks start from."""
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 40, n).astype(np.uint64) for n in (1, 3, 6, 11, 17, 29, 32)]
+    index = decontam.Index(list(range(len(words))), words)
+    text = rng.integers(0, 60, 6000).astype(np.uint64)
+    inside = set(index.places(text, tv.RUNS.pair(text[:-1], text[1:])).tolist())
+    for i, w in enumerate(words):
+        for start in range(0, len(text)):
+            for n in range(max(1, len(w) - int(index.edits[i])), len(w) + int(index.edits[i]) + 1):
+                part = text[start : start + n]
+                if len(set(part.tolist()) & set(w.tolist())) and whole(w.tolist(), part.tolist()) <= index.edits[i]:
+                    assert inside.issuperset(range(start, min(start + n, len(text))))
 
 
-def test_recall_by_length_with_spread_edits():
-    rng = np.random.default_rng(12)
-    # a few short items among many long ones
-    words = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in [*[8, 10, 12, 15, 18] * 4, *rng.integers(40, 60, 150)]]
-    index = decontam.Index(list(range(len(words))), words)
-    assert index.expected >= 0.999 and len(index.exact) == 16
-    hits = 0
-    for i in range(20):
-        for _ in range(10):
-            w, n, edits = list(words[i]), len(words[i]), int(index.edits[i])
-            for e in range(edits):
-                w[(2 * e + 1) * n // (2 * edits)] = rng.integers(0, 2**63, dtype=np.uint64)
-            text = np.concatenate([rng.integers(0, 2**63, 30, dtype=np.uint64), np.array(w, np.uint64), rng.integers(0, 2**63, 30, dtype=np.uint64)])
-            hits += any(m[1] == i for m in index.matches(text, np.array([0, len(text)])))
-    assert hits >= 198
+def whole(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_unreached_recall_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_REPETITIONS", 2)
+    decontam.walks.cache_clear()
+    try:
+        with pytest.raises(ValueError, match="2 walks find"):
+            decontam.Index([1], [np.arange(23, dtype=np.uint64)], recall=0.9999)
+    finally:
+        decontam.walks.cache_clear()
+
+
+def test_words_by_unicode(spark):
+    item = "“Hello” world—again; l’École d’été, naïve ΣΊΣΥΦΟΣ straße 日本語のテキスト"
+    texts = ["hello WORLD again L École D ÉTÉ Naïve σίσυφος Straße 日本語 のテキスト", "Hello world again", "日 本 語 の テ キ ス ト"]
+    bench = spark.createDataFrame([(1, item), (2, "日本語の")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.item_words, r.start_word, r.end_word) for r in decontam.find(D.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), bench).collect()}
+    assert got == {(0, 1): (0, 18, 0, 18), (0, 2): (0, 4, 10, 14), (2, 2): (0, 4, 0, 4)}
+
+
+def test_items_longer_than_documents(spark):
+    long = D.passage(3000, 5)
+    rows = [(1, " ".join(long.split()[:200]), "en", "s", 0), (2, long, "en", "s", 0), (3, " ".join(long.split()[100:2900]), "en", "s", 0)]
+    got = {r.doc_id: r.distance for r in decontam.find(D.frame(spark, rows), spark.createDataFrame([(1, long)], "item_id long, text string")).collect()}
+    assert got == {2: 0, 3: 200}
+
+
+def test_decontaminate_query(spark, tmp_path):
+    bench = spark.createDataFrame([(7, D.passage(60, 77), "c"), (8, None, "c"), (None, "émigré ünï", "c")], "item_id long, text string, distance string")
+    got = queries.QUERIES["op7_decontaminate"](spark, D.table(spark, tmp_path, benchmark=bench))
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got.where("item_id is not null").collect()) == [(9, 7, 0), (10, 7, 0), (12, 7, 0)]
+    assert [r.doc_id for r in got.where("item_id is null").collect()] == [8]
 
 
 def test_pipeline(spark, tmp_path):
