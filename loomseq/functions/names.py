@@ -37,13 +37,21 @@ def _same(column: Column) -> Column:
     return column
 
 
-def index_of_bwt(transformed: Column) -> Column:
-    """The index (cc, occ, sa) of a transform; the suffix array comes from the sequence that it restores."""
-    original = bw.inverse(transformed)
-    sa = F.when(F.size(transformed) > 0, bw.suffix_array(original)).otherwise(F.slice(bw.suffix_array(original), 1, 0))
+def index_of_bwt(transformed: Column, matrix: Column | None = None) -> Column:
+    """The index (cc, occ, sa) of a transform; the suffix array comes from its matrix of rotations, or else from the sequence that it restores."""
+    if matrix is not None:
+        # a rotation is a suffix, the sentinel and what is before the suffix
+        sa = F.transform(matrix, lambda row: (F.size(row) + 1 - F.array_position(F.transform(row, lambda x: x.isNull()), True)).cast("int"))
+    else:
+        original = bw.inverse(transformed)
+        sa = F.when(F.size(transformed) > 0, bw.suffix_array(original)).otherwise(F.slice(bw.suffix_array(original), 1, 0))
     return F.struct(fm.cc(transformed).alias("cc"), fm.occ(transformed).alias("occ"), sa.alias("sa"))
 
 
+def _index_of_bwt(symbols: Callable[[Column], Column]) -> Callable[..., Column]:
+    return lambda transformed, matrix=None: index_of_bwt(symbols(transformed), matrix)
+
+
 TRANSFORM = {"bytestring": bw.bwt_bytes, "text": bw.bwt_text}
 SYMBOLS = {"b": _same, "t": sy.as_text}
 ENCODE = {"rle": rle.encode, "mtf": mtf.encode, "fm_index": index_of_bwt}
@@ -57,7 +65,7 @@ for code in ENCODE:
     for kind in ("bytestring", "text"):
         for s in ("b", "t"):
             FUNCTIONS[f"{kind}_to_bwt_to_{code}_{s}"] = _chain(TRANSFORM[kind], SYMBOLS[s], ENCODE[code])
-            FUNCTIONS[f"{kind}_bwt_to_{code}_{s}"] = _chain(SYMBOLS[s], ENCODE[code])
+            FUNCTIONS[f"{kind}_bwt_to_{code}_{s}"] = _chain(SYMBOLS[s], ENCODE[code]) if code != "fm_index" else _index_of_bwt(SYMBOLS[s])
             if code != "fm_index":
                 FUNCTIONS[f"{kind}_to_{code}_{s}"] = _chain(CONVERT[kind, s], ENCODE[code])
             FUNCTIONS[f"{kind}_from_bwt_from_{code}_{s}"] = _chain(DECODE[code], BACK["bytestring", s], JOIN[kind])
@@ -65,27 +73,32 @@ for code in ENCODE:
             FUNCTIONS[f"{kind}_from_{code}_{s}"] = _chain(DECODE[code], BACK[kind, s])
 
 
-def _each(patterns: list[bytes | str], data: Column, compat: bool) -> tuple[Column, Column, Column]:
+def _search(made: Callable, columns: tuple[str, ...], patterns: list[bytes | str], data: Column, compat: bool) -> Column:
     raw = [p.encode() if isinstance(p, str) else bytes(p) for p in patterns]
     index = fm._index(F.when(F.length(data) > 0, data))
-    found = fm._search(raw, compat)(index["bwt"], index["sa"])
-    given = F.array(*[F.lit(p) for p in patterns]) if patterns else F.slice(F.array(F.lit("")), 1, 0)
-    return F.when(F.length(data) > 0, found), index["sa"], given
+    return made(raw, compat)(*[index[c] for c in columns])
 
 
 def counts(patterns: list[bytes | str], data: Column, compat: bool = False) -> Column:
-    """Array of (pattern, n) of one text or binary: n is null where the pattern is nowhere; no array elements for an empty text or no patterns."""
-    found, _, given = _each(patterns, data.cast("binary"), compat)
-    made = F.zip_with(given, found, lambda p, r: F.struct(p.alias("pattern"), F.nullif(r["high"] - r["low"], F.lit(0)).alias("n")))
-    return F.coalesce(made, F.slice(F.array(F.struct((given[0] if patterns else F.lit("")).alias("pattern"), F.lit(None).cast("int").alias("n"))), 1, 0))
+    """Array of (pattern, n) of one binary: n is null where the pattern is nowhere; no elements for empty or null data or no patterns."""
+    found = _search(fm.counter, ("bwt", "end", "c", "occ"), patterns, data.cast("binary"), compat)
+    return F.when(F.length(data) > 0, found).otherwise(F.slice(found, 1, 0))
 
 
 def places(patterns: list[bytes | str], data: Column, compat: bool = False) -> Column:
     """Array of (pattern, positions): 1-based byte positions in the order of the suffixes."""
-    found, sa, given = _each(patterns, data.cast("binary"), compat)
-    row = lambda r, a: F.slice(a, r["low"] + 1, r["high"] - r["low"])
-    made = F.zip_with(given, each(row, found, sa), lambda p, at: F.struct(p.alias("pattern"), at.alias("positions")))
-    return F.coalesce(made, F.slice(F.array(F.struct((given[0] if patterns else F.lit("")).alias("pattern"), F.slice(sa, 1, 0).alias("positions"))), 1, 0))
+    found = _search(fm.locator, ("bwt", "end", "c", "occ", "sa"), patterns, data.cast("binary"), compat)
+    return F.when(F.length(data) > 0, found).otherwise(F.slice(found, 1, 0))
+
+
+def _in_text(search: Callable[..., Column], field: str) -> Callable[..., Column]:
+    """The same of a text, whose patterns come back as texts; a text beyond ASCII is an error, as byte symbols as strings are."""
+
+    def run(patterns: list[bytes | str], data: Column, compat: bool = False) -> Column:
+        ascii_only = F.when(F.length(data) == F.octet_length(data), data).when(data.isNotNull(), F.raise_error(F.lit("a text beyond ASCII")).cast("string"))
+        return F.transform(search(patterns, ascii_only, compat), lambda r: F.struct(F.decode(r["pattern"], "UTF-8").alias("pattern"), r[field].alias(field)))
+
+    return run
 
 
 def _interval(compat: bool):
@@ -94,7 +107,7 @@ def _interval(compat: bool):
         values, first = sq.flat(codes)
         asked, at = sq.flat(pattern)
         values, asked = sq.np.asarray(values), sq.np.asarray(asked)
-        made = [sq.Searcher(values[a:b]).interval(asked[c:d].tolist(), compat) for a, b, c, d in zip(first[:-1], first[1:], at[:-1], at[1:], strict=True)]
+        made = [sq.interval(sq.Searcher(values[a:b]), asked[c:d].tolist(), compat) for a, b, c, d in zip(first[:-1], first[1:], at[:-1], at[1:], strict=True)]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in made], pa.int32()), pa.array([x for _, x in made], pa.int32())], names=["low", "high"])
 
     return search
@@ -125,16 +138,41 @@ def sort_tb(a: Column, b: Column) -> Column:
     return F.when(a.eqNullSafe(b), 0).when(F.sort_array(F.array(a, b))[0].eqNullSafe(a), -1).otherwise(1)
 
 
+@F.arrow_udf(S.INTS)
+def _walk(ends: pa.Array, indices: pa.Array) -> pa.Array:
+    """Places (1-based) of the pairs that a walk passes: from the first end over each pair's index back to it."""
+    marks, first = sq.flat(ends)
+    to, _ = sq.flat(indices)
+    marks, to = sq.np.asarray(marks), sq.np.asarray(to).astype(sq.np.int64)
+    out, size = [], [0]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        mark, step, places = marks[a:b], to[a:b], []
+        if mark.any():
+            end = int(sq.np.argmax(mark))
+            at = int(step[end])
+            while at != end:
+                if mark[at] or len(places) >= b - a:
+                    raise ValueError("a walk that doesn't come back to its sentinel")
+                places.append(at + 1)
+                at = int(step[at])
+        out += places
+        size.append(size[-1] + len(places))
+    return sq.nested(pa.array(out, pa.int32()), sq.np.array(size), ends)
+
+
 def magic_inverse_bwt(pairs: Column) -> Column:
-    """The walk from the first null over (sym, idx) pairs (idx 0-based), already in order."""
-    # the transform itself: pairs put back by idx
-    return bw.inverse(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p["idx"].alias("i"), p["sym"].alias("s")))), lambda p: p["s"]))
+    """The symbols on the walk over (sym, idx) pairs (idx 0-based) in the order given: from the first null to where its idx leads, and so on back to it.
+
+    Without a null there is nothing; another null on the way, or a way that doesn't lead back, is an error.
+    """
+    places = _walk(F.transform(pairs, lambda p: p["sym"].isNull()), F.transform(pairs, lambda p: p["idx"].cast("int")))
+    return each(lambda i, p: F.get(p, i - 1)["sym"], places, pairs)
 
 
 for kind in ("bytestring", "text"):
     for s in ("s", "p"):  # serially or in parallel: how Spark runs it is a matter of partitions, values are the same
-        FUNCTIONS[f"{kind}_fm_index_count_{s}"] = counts
-        FUNCTIONS[f"{kind}_fm_index_locate_{s}"] = places
+        FUNCTIONS[f"{kind}_fm_index_count_{s}"] = counts if kind == "bytestring" else _in_text(counts, "n")
+        FUNCTIONS[f"{kind}_fm_index_locate_{s}"] = places if kind == "bytestring" else _in_text(places, "positions")
 
 FUNCTIONS |= {
     "to_bwt": bw.bwt, "bytestring_to_bwt": bw.bwt_bytes, "text_to_bwt": bw.bwt_text, "from_bwt": bw.inverse,

@@ -18,12 +18,28 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+#: Symbols that are sorted at a time; a longer sequence is sorted on its own.
+SORTED = 1 << 21
+
+
 def suffix_arrays(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start positions of all suffixes in order, the empty one first, and where each sequence's begin.
 
-    Prefix doubling: ranks by the first k symbols, then by pairs of ranks k apart, of suffixes that still share theirs only; all
-    sequences of the batch together.
+    Whole sequences of about SORTED symbols at a time, whatever the batch, so that a task's memory is bounded by its longest one.
     """
+    if len(codes) <= SORTED or len(first) <= 2:
+        return sorted_together(codes, first)
+    out, i = [], 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + SORTED, "right")) - 1)
+        out.append(sorted_together(codes[first[i] : first[j]], first[i : j + 1] - first[i])[0].astype(np.int32))
+        i = j
+    return np.concatenate(out), np.concatenate(([0], np.cumsum(np.diff(first) + 1)))
+
+
+def sorted_together(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of all sequences together, by prefix doubling: ranks by the first k symbols, then by pairs of ranks k apart, of
+    suffixes that still share theirs only."""
     n = np.diff(first) + 1
     begin = np.concatenate(([0], np.cumsum(n)))
     total = int(begin[-1])
@@ -169,69 +185,134 @@ def runs(codes: np.ndarray, first: np.ndarray, compat: bool = False) -> tuple[np
 
 
 def move_to_front(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Each symbol's 0-based place in a list that begins as the sorted alphabet and gets each symbol moved to its front; the list afterwards, as codes."""
-    out = np.empty(len(codes), np.int32)
+    """Each symbol's 0-based place in a list that begins as the sorted alphabet and gets each symbol moved to its front; the list afterwards, as codes.
+
+    Within a run of equal symbols all but the first are at the front, so only the first of each run is looked up.
+    """
+    out = np.zeros(len(codes), np.int32)
+    head = np.ones(len(codes), bool)
+    head[1:] = codes[1:] != codes[:-1]
+    head[first[:-1][first[:-1] < len(codes)]] = True
+    heads = np.flatnonzero(head)
+    cut = np.searchsorted(heads, first)
     lists = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        alphabet, ranks = np.unique(codes[a:b], return_inverse=True)
-        order = list(range(len(alphabet)))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        alphabet, ranks = np.unique(codes[heads[a:b]], return_inverse=True)
+        order = front(len(alphabet))
+        find, drop, put = order.index, order.pop, order.insert
         moved = []
-        # a run of one symbol is at the front after its first
         for r in ranks.tolist():
-            i = order.index(r)
+            i = find(r)
             if i:
-                del order[i]
-                order.insert(0, r)
+                drop(i)
+                put(0, r)
             moved.append(i)
-        out[a:b] = moved
-        lists.append(alphabet[order])
+        out[heads[a:b]] = moved
+        lists.append(alphabet[np.array(list(order), np.int64)])
     return out, lists
 
 
+def front(size: int) -> bytearray | list[int]:
+    """The places 0 to size - 1, as bytes where they fit."""
+    return bytearray(range(size)) if size <= 256 else list(range(size))
+
+
 def inverse_move_to_front(indices: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Ranks (0-based) of the symbols in the sorted alphabet, of so many symbols; an index outside the list is an error."""
-    out = np.empty(len(indices), np.int32)
-    for a, b, size in zip(first[:-1], first[1:], sizes.tolist(), strict=True):
-        order = list(range(size))
-        made = []
-        for i in indices[a:b].tolist():
-            if not 0 <= i < size:
-                raise ValueError(f"move-to-front index {i} outside a list of {size}")
-            r = order.pop(i)
-            order.insert(0, r)
-            made.append(r)
-        out[a:b] = made
-    return out
+    """Ranks (0-based) of the symbols in the sorted alphabet, of so many symbols; an index outside the list is an error.
+
+    An index of 0 repeats the symbol before it, so only others are looked up.
+    """
+    n, own = len(indices), owners(first)
+    bad = (indices < 0) | (indices >= sizes[own])
+    if bad.any():
+        at = int(np.argmax(bad))
+        raise ValueError(f"move-to-front index {indices[at]} outside a list of {sizes[own[at]]}")
+    moves = indices != 0
+    moves[first[:-1][first[:-1] < n]] = True
+    places = np.flatnonzero(moves)
+    cut = np.searchsorted(places, first)
+    made: list[int] = []
+    for a, b, size in zip(cut[:-1], cut[1:], sizes.tolist(), strict=True):
+        order = front(size)
+        take, put, add = order.pop, order.insert, made.append
+        for i in indices[places[a:b]].tolist():
+            r = take(i)
+            put(0, r)
+            add(r)
+    out = np.zeros(n, np.int32)
+    out[places] = made
+    return out[places[np.cumsum(moves) - 1]] if n else out
 
 
 class Searcher:
-    """Backward search over one transformed sequence: how many symbols sort before each, and each symbol's places in the transform."""
+    """Backward search over one transformed sequence of any codes: how many symbols sort before each, and each symbol's places in the transform."""
 
     def __init__(self, bwt: np.ndarray):
         self.n = len(bwt)
         order = np.argsort(bwt, kind="stable")
         self.symbols, at, count = np.unique(bwt[order], return_index=True, return_counts=True)
-        self.before = at
         self.places = {int(s): order[i : i + c] for s, i, c in zip(self.symbols, at, count, strict=True)}
         self.base = dict(zip(self.symbols.tolist(), at.tolist(), strict=True))
 
-    def interval(self, pattern: list[int], compat: bool = False) -> tuple[int, int]:
-        """Rows [low, high) of the suffixes that begin with the pattern (codes; -1: no symbol of the text); (0, 0) if none.
-
-        ``compat``: a symbol that the text lacks ends the search with what has matched behind it, unless it is the last.
-        """
-        low, high, matched = 0, self.n, 0
-        for c in reversed(pattern):
-            places = self.places.get(c) if c > 0 else None
-            if places is None:
-                if compat and matched:
-                    break
-                return 0, 0
-            low, high = (self.base[c] + int(np.searchsorted(places, x)) for x in (low, high))
-            if low >= high:
-                return 0, 0
-            matched += 1
-        return (low, high) if matched else (0, 0)
+    def before(self, symbol: int) -> int:
+        """How many symbols sort before it; -1 if the sequence lacks it."""
+        return self.base.get(symbol, -1) if symbol > 0 else -1
+
+    def rank(self, symbol: int, at: int) -> int:
+        """How often the symbol is among the first so many of the transform."""
+        return int(np.searchsorted(self.places[symbol], at))
+
+
+#: Places of the transform between two stored rows of Occ.
+SAMPLE = 512
+
+
+class Stored:
+    """The same over a stored index of bytes: its transform, the sentinel's place, C, and Occ at every SAMPLE-th place."""
+
+    def __init__(self, bwt: bytes, end: int, c: np.ndarray, occ: np.ndarray):
+        self.n, self.bwt, self.end, self.c = len(bwt), bwt, end, c
+        present = np.flatnonzero(np.diff(c))
+        self.occ, self.column = occ.reshape(-1, len(present)), dict(zip(present.tolist(), range(len(present)), strict=True))
+
+    def before(self, symbol: int) -> int:
+        return int(self.c[symbol]) if symbol in self.column else -1
+
+    def rank(self, symbol: int, at: int) -> int:
+        row = at // SAMPLE
+        found = int(self.occ[row, self.column[symbol]]) + self.bwt.count(symbol, row * SAMPLE, at)
+        # the sentinel's place holds a zero byte
+        return found - (symbol == 0 and row * SAMPLE <= self.end < at)
+
+
+def occ_tables(raw: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(C, Occ) of a transform's bytes with the sentinel at place end: how many symbols sort before each byte (and after all), and
+    for each byte that occurs how often it is before every SAMPLE-th place."""
+    real = np.arange(len(raw)) != end
+    count = np.bincount(raw[real], minlength=256)
+    c = np.concatenate(([1], 1 + np.cumsum(count))).astype(np.int32)
+    present = np.flatnonzero(count)
+    column = np.zeros(256, np.int64)
+    column[present] = np.arange(len(present))
+    blocks = len(raw) // SAMPLE + 1
+    inside = np.bincount((np.arange(len(raw)) // SAMPLE * len(present) + column[raw])[real], minlength=blocks * len(present)).reshape(blocks, -1)
+    return c, (np.cumsum(inside, axis=0) - inside).astype(np.int32)
+
+
+def interval(index: Searcher | Stored, pattern: list[int] | bytes, compat: bool = False) -> tuple[int, int]:
+    """Rows [low, high) of the suffixes that begin with the pattern; (0, 0) if none.
+
+    ``compat``: a symbol that the text lacks ends the search with what has matched behind it, unless it is the last.
+    """
+    low, high, matched = 0, index.n, False
+    for s in reversed(pattern):
+        base = index.before(s)
+        if base < 0:
+            return (low, high) if compat and matched else (0, 0)
+        low, high, matched = base + index.rank(s, low), base + index.rank(s, high), True
+        if low >= high:
+            return 0, 0
+    return (low, high) if matched else (0, 0)
 
 
 # Arrow

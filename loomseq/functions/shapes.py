@@ -9,6 +9,7 @@ BINARY = T.BinaryType()
 BYTES = T.ArrayType(BINARY)
 RUNS = T.ArrayType(T.StructType().add("n", INT).add("at", INT))
 MOVED = T.StructType().add("indices", INTS).add("places", INTS)
-INDEX = T.StructType().add("bwt", BINARY).add("sa", INTS)
+INDEX = T.StructType().add("bwt", BINARY).add("sa", INTS).add("end", INT).add("c", INTS).add("occ", BINARY)
+COUNTS = T.ArrayType(T.StructType().add("pattern", BINARY).add("n", INT))
+PLACES = T.ArrayType(T.StructType().add("pattern", BINARY).add("positions", INTS))
 INTERVAL = T.StructType().add("low", INT).add("high", INT)
-INTERVALS = T.ArrayType(INTERVAL)

@@ -14,6 +14,7 @@ from loomseq.functions import sequences as sq
 from loomseq.functions import shapes as S
 from loomseq.functions.columns import each, gather
 from loomseq.operators import symbols as sy
+from loomseq.sources.shared import written
 
 
 @F.arrow_udf(S.INTS)
@@ -150,16 +151,45 @@ def matrix(seq: Column, strategy: str = "arrow") -> Column:
 
 
 def suffix_array_long(df: DataFrame, key: str, position: str = "k", symbol: str = "sym") -> DataFrame:
-    """(key, suffixindex, suffixstartpos) from rows (key, position, symbol), by prefix doubling with windows only.
+    """(key, suffixindex, suffixstartpos) from rows (key, position, symbol), by prefix doubling with joins and windows only.
 
-    Each round is a sort within a key that spills; rounds end when all ranks differ.  Sequences without rows have none here.
+    Each round is written to the shared folder, so no round repeats the ones before it.  A key's rows are ranked in one task by a
+    sort that spills.  Rounds end when all ranks differ.  Sequences without rows have none here.
     """
     ends = df.groupBy(key).agg((F.max(position) + 1).alias("p"))
     rows = df.select(key, F.col(position).alias("p"), F.col(symbol).alias("s")).unionByName(ends, allowMissingColumns=True)
-    ranked = rows.select(key, "p", F.dense_rank().over(Window.partitionBy(key).orderBy(F.asc_nulls_first("s"))).alias("r"))
+    ranked = written(rows.select(key, "p", F.dense_rank().over(Window.partitionBy(key).orderBy(F.asc_nulls_first("s"))).alias("r")), "suffix-ranks")
     k = 1
     while ranked.groupBy(key).agg((F.max("r") < F.count("*")).alias("ties")).where("ties").limit(1).count():
         ahead = F.coalesce(F.lead("r", k).over(Window.partitionBy(key).orderBy("p")), F.lit(0))
-        ranked = ranked.withColumn("a", ahead).select(key, "p", F.dense_rank().over(Window.partitionBy(key).orderBy("r", "a")).alias("r"))
+        ranked = written(ranked.withColumn("a", ahead).select(key, "p", F.dense_rank().over(Window.partitionBy(key).orderBy("r", "a")).alias("r")), "suffix-ranks")
         k *= 2
     return ranked.select(key, F.col("r").alias("suffixindex"), F.col("p").alias("suffixstartpos"))
+
+
+def bwt_long(df: DataFrame, key: str, position: str = "k", symbol: str = "sym") -> DataFrame:
+    """(key, k, sym) of the transform, from rows (key, position, symbol): the symbol before each suffix, null for the whole one."""
+    sa = suffix_array_long(df, key, position, symbol)
+    before = df.select(F.col(key), (F.col(position) + 1).alias("suffixstartpos"), F.col(symbol).alias("sym"))
+    return sa.join(before, [key, "suffixstartpos"], "left").select(key, F.col("suffixindex").alias("k"), "sym")
+
+
+def inverse_long(df: DataFrame, key: str, position: str = "k", symbol: str = "sym") -> DataFrame:
+    """(key, k, sym) of the sequence, from rows (key, position, symbol) of its transform, by pointer doubling with joins.
+
+    Each place's pointer leads to the place of the symbol before its own; doubled pointers tell how far each is from the end in as
+    many rounds as the length has binary digits.  Rounds are written to the shared folder.  Rows that aren't a transform, so that
+    a walk never ends, raise a ValueError.
+    """
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_first("s"), "p")
+    rows = df.select(F.col(key), F.col(position).alias("p"), F.col(symbol).alias("s"))
+    # the sentinel's place is where the walk begins and ends: it leads to itself, with no step
+    ranked = rows.select(key, "p", "s", F.row_number().over(order).alias("to"))
+    state = written(ranked.select(key, "p", "s", F.when(F.col("s").isNull(), F.col("p")).otherwise(F.col("to")).alias("to"), F.when(F.col("s").isNull(), 0).otherwise(1).alias("steps")), "walk")
+    for _ in range(64):
+        ahead = state.select(F.col(key), F.col("p").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
+        moved = written(state.join(ahead, [key, "to"]).select(key, "p", "s", F.col("to2").alias("to"), (F.col("steps") + F.col("steps2")).alias("steps")), "walk")
+        if moved.agg(F.sum("steps")).first()[0] == state.agg(F.sum("steps")).first()[0]:
+            return moved.where("s is not null").select(key, F.col("steps").alias("k"), F.col("s").alias("sym"))
+        state = moved
+    raise ValueError("not a transform: a walk that comes to no sentinel")

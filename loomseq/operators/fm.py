@@ -72,14 +72,19 @@ def occ_long(df: DataFrame, *keys: str, position: str = "k", symbol: str = "sym"
     return grid.select(*keys, F.col("__s").alias("sym"), "k", F.sum(F.col("__x").eqNullSafe(F.col("__s")).cast("int")).over(order).cast("int").alias("occ"))
 
 
+#: The columns of a compact index beside its key.
+INDEX = ("bwt", "sa", "end", "c", "occ")
+
+
 def index_bytes(df: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, bwt, sa): the compact index that searches use, of a binary or string column; rows with empty or null data have none.
+    """(key, bwt, sa, end, c, occ): the compact index that searches use, of a binary or string column; rows with empty or null data have none.
 
-    Build it once, write it as Parquet, and search it as often as needed.
+    ``end`` is the sentinel's place in the transform, ``c`` how many symbols sort before each byte, ``occ`` how often each byte
+    that occurs is before every SAMPLE-th place.  Build it once, write it as Parquet, and search it as often as needed.
     """
     raw = F.col(data).cast("binary")
     rows = df.select(key, raw.alias("__raw")).where(F.length("__raw") > 0)
-    return rows.select(key, _index(F.col("__raw")).alias("__i")).select(key, "__i.bwt", "__i.sa")
+    return rows.select(key, _index(F.col("__raw")).alias("__i")).select(key, *[f"__i.{c}" for c in INDEX])
 
 
 @F.arrow_udf(S.INDEX)
@@ -90,30 +95,74 @@ def _index(column: pa.Array) -> pa.Array:
     out = np.zeros(len(sa), np.uint8)
     real = sa > 1
     out[real] = codes[(first[:-1][own] + sa - 2)[real]] - 1  # the sentinel's place is where sa is 1
-    raw = out.tobytes()
-    return pa.StructArray.from_arrays([pa.array([raw[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary()), sq.nested(pa.array(sa, pa.int32()), begin)], names=["bwt", "sa"])
+    ends = np.flatnonzero(sa == 1) - begin[:-1] if len(codes) else np.zeros(len(column), np.int64)
+    bwts, cs, occs = [], [], []
+    for a, b, end in zip(begin[:-1], begin[1:], ends.tolist(), strict=True):
+        c, occ = sq.occ_tables(out[a:b], end)
+        bwts.append(out[a:b].tobytes())
+        cs.append(c)
+        occs.append(occ.astype("<i4").tobytes())
+    flat_c = np.concatenate(cs) if cs else np.empty(0, np.int32)
+    parts = [pa.array(bwts, pa.binary()), sq.nested(pa.array(sa, pa.int32()), begin), pa.array(ends, pa.int32()), sq.nested(pa.array(flat_c), np.arange(len(cs) + 1) * 257), pa.array(occs, pa.binary())]
+    return pa.StructArray.from_arrays(parts, names=list(INDEX))
+
+
+def _searched(bwt: pa.Array, end: pa.Array, c: pa.Array, occ: pa.Array, patterns: list[bytes], compat: bool) -> list[list[tuple[int, int]] | None]:
+    """For each stored index the interval of each pattern; None where there is no index."""
+    tables, first = sq.flat(c)
+    tables = np.asarray(tables)
+    out = []
+    for i, (raw, place, rows) in enumerate(zip(bwt.to_pylist(), end.to_pylist(), occ.to_pylist(), strict=True)):
+        if raw is None:
+            out.append(None)
+            continue
+        stored = sq.Stored(raw, place, tables[first[i] : first[i + 1]], np.frombuffer(rows, "<i4"))
+        out.append([sq.interval(stored, p, compat) for p in patterns])
+    return out
+
+
+def counter(patterns: list[bytes], compat: bool = False):
+    """An Arrow function of an index's bwt, end, c and occ: array of (pattern, n), n null where the pattern is nowhere."""
+
+    @F.arrow_udf(S.COUNTS)
+    def counted(bwt: pa.Array, end: pa.Array, c: pa.Array, occ: pa.Array) -> pa.Array:
+        found = _searched(bwt, end, c, occ, patterns, compat)
+        n = [high - low or None for x in found if x is not None for low, high in x]
+        names = pa.array(patterns, pa.binary()).take(pa.array(np.tile(np.arange(len(patterns)), sum(x is not None for x in found))))
+        made = pa.StructArray.from_arrays([names, pa.array(n, pa.int32())], names=["pattern", "n"])
+        return sq.nested(made, np.concatenate(([0], np.cumsum([len(patterns) * (x is not None) for x in found]))).astype(np.int64), bwt)
 
+    return counted
 
-def _search(patterns: list[bytes], compat: bool):
-    coded = [[x + 1 for x in p] for p in patterns]
 
-    @F.arrow_udf(S.INTERVALS)
-    def search(bwt: pa.Array, sa: pa.Array) -> pa.Array:
-        low, high = [], []
+def locator(patterns: list[bytes], compat: bool = False):
+    """An Arrow function of an index's bwt, end, c, occ and sa: array of (pattern, positions), in the order of the suffixes."""
+
+    @F.arrow_udf(S.PLACES)
+    def located(bwt: pa.Array, end: pa.Array, c: pa.Array, occ: pa.Array, sa: pa.Array) -> pa.Array:
+        found = _searched(bwt, end, c, occ, patterns, compat)
         starts, first = sq.flat(sa)
         starts = np.asarray(starts)
-        for raw, a, b in zip(bwt, first[:-1], first[1:], strict=True):
-            codes = np.frombuffer(raw.as_py(), np.uint8).astype(np.int32) + 1
-            codes[np.flatnonzero(starts[a:b] == 1)] = 0
-            searcher = sq.Searcher(codes)
-            for p in coded:
-                i, j = searcher.interval(p, compat)
-                low.append(i)
-                high.append(j)
-        made = pa.StructArray.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["low", "high"])
-        return sq.nested(made, np.arange(len(bwt) + 1) * len(coded))
-
-    return search
+        parts = [starts[first[i] + low : first[i] + high] for i, x in enumerate(found) if x is not None for low, high in x]
+        names = pa.array(patterns, pa.binary()).take(pa.array(np.tile(np.arange(len(patterns)), sum(x is not None for x in found))))
+        positions = sq.nested(pa.array(np.concatenate([starts[:0], *parts]), pa.int32()), np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64))
+        made = pa.StructArray.from_arrays([names, positions], names=["pattern", "positions"])
+        return sq.nested(made, np.concatenate(([0], np.cumsum([len(patterns) * (x is not None) for x in found]))).astype(np.int64), bwt)
+
+    return located
+
+
+def _blocks(patterns: list[bytes | str]) -> list[tuple[int, list[bytes]]]:
+    """The patterns as bytes, in blocks of PATTERN_BYTES, each with the number of its first."""
+    out, size = [], 0
+    for i, p in enumerate(patterns):
+        raw = p.encode() if isinstance(p, str) else bytes(p)
+        if not out or size + len(raw) > PATTERN_BYTES:
+            out.append((i, []))
+            size = 0
+        out[-1][1].append(raw)
+        size += len(raw)
+    return out
 
 
 def locate(index: DataFrame, key: str, patterns: list[bytes | str], compat: bool = False) -> DataFrame:
@@ -123,28 +172,22 @@ def locate(index: DataFrame, key: str, patterns: list[bytes | str], compat: bool
     pattern is found where it is; ``compat`` cuts a pattern behind its last byte that the text lacks (unless that is its last).
     Patterns are the caller's own list: every task holds them, PATTERN_BYTES at a time.
     """
-    raw = [p.encode() if isinstance(p, str) else bytes(p) for p in patterns]
     out = None
-    at = 0
-    while at < len(raw):
-        end, size = at, 0
-        while end < len(raw) and (end == at or size + len(raw[end]) <= PATTERN_BYTES):
-            size += len(raw[end])
-            end += 1
-        found = index.select(key, "sa", F.posexplode(_search(raw[at:end], compat)(F.col("bwt"), F.col("sa"))).alias("__p", "__r"))
-        listed = F.array(*[F.lit(p) for p in raw[at:end]])
-        rows = found.select(key, (F.col("__p") + at).alias("pattern_idx"), F.get(listed, F.col("__p")).alias("pattern"), F.slice("sa", F.col("__r.low") + 1, F.col("__r.high") - F.col("__r.low")).alias("positions"))
+    for at, block in _blocks(patterns):
+        found = index.select(key, F.posexplode(locator(block, compat)("bwt", "end", "c", "occ", "sa")).alias("__p", "__r"))
+        rows = found.select(key, (F.col("__p") + at).alias("pattern_idx"), "__r.pattern", "__r.positions")
         out = rows if out is None else out.union(rows)
-        at = end
-    if out is None:
-        return index.select(key, F.lit(0).alias("pattern_idx"), F.lit(b"").alias("pattern"), F.col("sa").alias("positions")).limit(0)
-    return out
+    return index.select(key, F.lit(0).alias("pattern_idx"), F.lit(b"").alias("pattern"), F.col("sa").alias("positions")).limit(0) if out is None else out
 
 
 def count(index: DataFrame, key: str, patterns: list[bytes | str], compat: bool = False) -> DataFrame:
-    """(key, pattern_idx, pattern, n): as ``locate``, the number of places, null for none."""
-    found = locate(index, key, patterns, compat)
-    return found.select(key, "pattern_idx", "pattern", F.nullif(F.size("positions"), F.lit(0)).alias("n"))
+    """(key, pattern_idx, pattern, n): as ``locate``, the number of places, null for none; the suffix array isn't read."""
+    out = None
+    for at, block in _blocks(patterns):
+        found = index.select(key, F.posexplode(counter(block, compat)("bwt", "end", "c", "occ")).alias("__p", "__r"))
+        rows = found.select(key, (F.col("__p") + at).alias("pattern_idx"), "__r.pattern", "__r.n")
+        out = rows if out is None else out.union(rows)
+    return index.select(key, F.lit(0).alias("pattern_idx"), F.lit(b"").alias("pattern"), F.lit(0).alias("n")).limit(0) if out is None else out
 
 
 def effective(data: Column, pattern: bytes) -> Column:
@@ -154,7 +197,7 @@ def effective(data: Column, pattern: bytes) -> Column:
         has = F.lit(True)
         for b in set(pattern[i:]):
             has = has & (F.position(F.lit(bytes([b])).cast("binary"), data) > 0)
-        out = F.when(has, F.lit(pattern[i:])).otherwise(out) if i == len(pattern) - 1 else F.when(has, F.lit(pattern[i:])).otherwise(out)
+        out = F.when(has, F.lit(pattern[i:])).otherwise(out)
     return out
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseq.functions.columns import settled
@@ -115,6 +115,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sy.sequence_of(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form, straight from the table: (user_id, k, sym)."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("user_id", F.row_number().over(order).alias("k"), F.col("event_type").alias("sym"))
+
+
 RUNS = f"with {EVENTS}, c as (select *, case when sym is not distinct from lag(sym) over (partition by user_id order by k) then 0 else 1 end as new from e), r as (select *, sum(new) over (partition by user_id order by k) as run from c) select user_id, cast(run as bigint) as run, count(*) as n, any_value(sym) as sym from r group by user_id, run"
 
 
@@ -126,7 +132,7 @@ def rle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RUNS)
 def rle_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sy.to_long(_events(spark, sf_dir), "seq", "user_id")
+    rows = _event_rows(spark, sf_dir)
     return rle.encode_long(rows, "user_id").select("user_id", F.col("run").cast("long").alias("run"), F.col("n").cast("long").alias("n"), F.col("value").alias("sym"))
 
 
@@ -138,7 +144,7 @@ def rle_inverse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {EVENTS} select user_id, k, sym from e")
 def rle_inverse_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = rle.encode_long(sy.to_long(_events(spark, sf_dir), "seq", "user_id"), "user_id")
+    runs = rle.encode_long(_event_rows(spark, sf_dir), "user_id")
     return rle.decode_long(runs, "user_id").select("user_id", F.col("k").cast("long").alias("k"), "sym")
 
 
@@ -153,7 +159,7 @@ def mtf_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(MOVES)
 def mtf_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sy.to_long(_events(spark, sf_dir), "seq", "user_id")
+    rows = _event_rows(spark, sf_dir)
     return mtf.encode_long(rows, "user_id").select("user_id", F.col("k").cast("long").alias("k"), F.col("idx").cast("long").alias("idx"))
 
 
@@ -168,7 +174,7 @@ def mtf_list_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LISTS)
 def mtf_list_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sy.to_long(_events(spark, sf_dir), "seq", "user_id")
+    rows = _event_rows(spark, sf_dir)
     return mtf.final_list_long(rows, "user_id").select("user_id", F.col("i").cast("long").alias("i"), "sym")
 
 
@@ -215,6 +221,36 @@ def fm_occ_long_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.occ_long(rows, "n_nationkey").select("n_nationkey", sym("sym").alias("sym"), F.col("k").cast("long").alias("k"), F.col("occ").cast("long").alias("occ"))
 
 
+OCC_PART = f"{_bwt_sql('part', 'p_partkey', 'p_name')}, a as (select distinct p_partkey, sym from b) select a.p_partkey, a.sym, b.k, cast(sum(case when a.sym = b.sym then 1 else 0 end) over (partition by a.p_partkey, a.sym order by b.k) as bigint) as occ from a join b using (p_partkey)"
+
+
+@query(OCC_PART)
+def fm_occ_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(fm.occ(bwt.bwt_text(F.col("p_name")))).alias("r")).select("p_partkey", sym("r.sym").alias("sym"), F.explode("r.row").alias("o"))
+    return rows.select("p_partkey", "sym", F.col("o.k").cast("long").alias("k"), F.col("o.occ").cast("long").alias("occ"))
+
+
+@query(OCC_PART)
+def fm_occ_long_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sy.to_long(table(spark, sf_dir, "part").select("p_partkey", bwt.bwt_text(F.col("p_name")).alias("b")), "b", "p_partkey")
+    return fm.occ_long(rows, "p_partkey").select("p_partkey", sym("sym").alias("sym"), F.col("k").cast("long").alias("k"), F.col("occ").cast("long").alias("occ"))
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sy.to_long(table(spark, sf_dir, "part").select("p_partkey", sy.of_text(F.col("p_name")).alias("seq")), "seq", "p_partkey")
+
+
+@query(f"{_bwt_sql('part', 'p_partkey', 'p_name')} select p_partkey, k, sym from b")
+def bwt_long_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.bwt_long(_letters(spark, sf_dir), "p_partkey").select("p_partkey", F.col("k").cast("long").alias("k"), sym("sym").alias("sym"))
+
+
+@query("select p_partkey, cast(unnest(range(1, strlen(p_name) + 1)) as bigint) as k, unnest(regexp_extract_all(hex(encode(p_name)), '..')) as sym from part")
+def bwt_inverse_long_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sy.to_long(table(spark, sf_dir, "part").select("p_partkey", bwt.bwt_text(F.col("p_name")).alias("b")), "b", "p_partkey")
+    return bwt.inverse_long(rows, "p_partkey").select("p_partkey", F.col("k").cast("long").alias("k"), sym("sym").alias("sym"))
+
+
 #: None of them overlaps itself, so that SQL can count by replacing; one is in no text, one isn't ASCII.
 COUNTED = ("the", "th", "ción", "heinly on", "qqzx", "The and attion to thanedble the, anea.")
 VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(COUNTED))
@@ -239,11 +275,14 @@ def text_count_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(rows.select("doc_id", "pattern_idx", "r.pattern", "r.n"))
 
 
-@query("select doc_id, nullif(cast(case when contains(text, 'Z') then (length(text) - length(replace(text, 'Zthe', ''))) / 4 else (length(text) - length(replace(text, 'the', ''))) / 3 end as bigint), 0) as n from documents where contains(text, 't') and contains(text, 'h') and contains(text, 'e')")
+#: What the mode looks for in a text: the longest end of Zthe whose letters the text all has.
+EFFECTIVE = "case when not contains(text, 'e') then '' when not contains(text, 'h') then 'e' when not contains(text, 't') then 'he' when not contains(text, 'Z') then 'the' else 'Zthe' end"
+
+
+@query(f"select doc_id, case when p <> '' then nullif(cast((length(text) - length(replace(text, p, ''))) / length(p) as bigint), 0) end as n from (select doc_id, text, {EFFECTIVE} as p from documents where text <> '')")
 def fm_count_compat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pattern with a letter that many texts lack, in the mode that then looks for what is behind it."""
-    docs = spread(table(spark, sf_dir, "documents")).where(F.col("text").contains("t") & F.col("text").contains("h") & F.col("text").contains("e"))
-    return fm.count(fm.index_bytes(docs, "doc_id", "text"), "doc_id", ["Zthe"], compat=True).select("doc_id", F.col("n").cast("long").alias("n"))
+    """A pattern with letters that many texts lack, in the mode that then looks for what is behind them."""
+    return fm.count(fm.index_bytes(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "doc_id", ["Zthe"], compat=True).select("doc_id", F.col("n").cast("long").alias("n"))
 
 
 LOCATED = ("hean", "ción ", "onanhe", "qqzx", "é")
@@ -263,6 +302,12 @@ def bwt_matrix_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("r_regionkey", (F.col("p") + 1).cast("long").alias("k"), F.array_join(F.transform("row", sym), " ").alias("rotation"))
 
 
+@query("with t as (select p_partkey, regexp_extract_all(hex(encode(p_name)), '..') as s, strlen(p_name) as n from part), p as (select p_partkey, s, n, unnest(range(1, n + 2)) as pos from t) select p_partkey, row_number() over (partition by p_partkey order by array_to_string(s[pos:n], '')) as k, array_to_string(list_concat(s[pos:n], ['--'], s[1:pos - 1]), ' ') as rotation from p")
+def bwt_matrix_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(bwt.matrix(sy.of_text(F.col("p_name")))).alias("p", "row"))
+    return rows.select("p_partkey", (F.col("p") + 1).cast("long").alias("k"), F.array_join(F.transform("row", sym), " ").alias("rotation"))
+
+
 @query("with t as (select l_orderkey, list(l_quantity order by l_linenumber, l_partkey, l_quantity) as s from lineitem group by all), p as (select l_orderkey, s, unnest(range(1, len(s) + 2)) as pos from t) select l_orderkey, row_number() over (partition by l_orderkey order by s[pos:len(s)]) as k, case when pos > 1 then s[pos - 1] end as quantity from p")
 def bwt_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform of sequences of numbers: the quantities of each order's lines."""
@@ -285,3 +330,14 @@ def compression_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "documents")).select("lang", F.octet_length("text").cast("long").alias("bytes"), bwt.bwt_text(F.col("text")).alias("b"))
     measured = rows.select("lang", "bytes", F.size(rle.encode(F.col("b"))).cast("long").alias("runs"), F.aggregate(mtf.encode(F.col("b"))["indices"], F.lit(0).cast("long"), lambda a, x: a + x).alias("indices"))
     return measured.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.sum("runs").alias("runs"), F.sum("indices").alias("indices"))
+
+
+#: Runs and move-to-front indices of the transforms of all turns: each index counts the symbols whose last place is after the symbol's own.
+COMPRESSED = f"{_suffixes('conversations', 'id', 'text').replace('select id,', 'select conv_id * 100000 + turn as id,', 1)}, b as (select id, k, case when pos = 1 then '--' else substr(h, 2 * pos - 3, 2) end as sym from s where n > 0), c as (select id, count(*) as runs from (select id, sym, lag(sym) over (partition by id order by k) as before from b) where before is null or before <> sym group by id), a as (select id, sym, row_number() over (partition by id order by sym) - 1 as r from (select distinct id, sym from b)), g as (select b.id, b.k, b.sym as x, a.sym, coalesce(max(case when b.sym = a.sym then b.k end) over (partition by b.id, a.sym order by b.k rows between unbounded preceding and 1 preceding), -a.r) as last from b join a using (id)), m as (select *, max(case when x = sym then last end) over (partition by id, k) as mine from g), i as (select id, cast(sum(case when last > mine then 1 else 0 end) as bigint) as indices from m group by id) select c.id, c.runs, i.indices from c join i using (id)"
+
+
+@query(COMPRESSED)
+def compression_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each turn: runs of its transform and the sum of its move-to-front indices."""
+    rows = spread(table(spark, sf_dir, "conversations")).where("text <> ''").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), bwt.bwt_text(F.col("text")).alias("b"))
+    return rows.select("id", F.size(rle.encode(F.col("b"))).cast("long").alias("runs"), F.aggregate(mtf.encode(F.col("b"))["indices"], F.lit(0).cast("long"), lambda a, x: a + x).alias("indices"))

@@ -13,7 +13,7 @@ STEPS = ("bwt", "rle", "mtf", "fm")
 
 
 def encode(df: DataFrame, column: str, steps: list[str], out: str = "code", symbols: str = "bytes") -> DataFrame:
-    """df with the column's code: of a string or binary column by bytes (``symbols="text"``: byte symbols as strings, ASCII only), of an array by elements.
+    """df with the column's code: of a string or binary column by bytes (``symbols="text"``: byte symbols as strings, ASCII only; ``"chars"``: by code points, of a string), of an array by elements.
 
     steps: first bwt (or not), then at most one of rle, mtf and fm (which needs bwt).
     """
@@ -34,7 +34,9 @@ def _checked(steps: list[str]) -> tuple[bool, str | None]:
 
 def encoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> Column:
     transform, code = _checked(steps)
-    if kind == "string":
+    if kind == "string" and symbols == "chars":
+        seq = bwt.bwt(sy.of_chars(c)) if transform else sy.of_chars(c)
+    elif kind == "string":
         seq = bwt.bwt_text(c) if transform else sy.of_text(c)
     elif kind == "binary":
         seq = bwt.bwt_bytes(c) if transform else sy.of_bytes(c)
@@ -54,6 +56,8 @@ def decoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> C
     seq = {None: lambda x: x, "rle": rle.decode, "mtf": mtf.decode, "fm": fm.to_bwt}[code](c)
     if kind not in ("string", "binary"):
         return bwt.inverse(seq) if transform else seq
+    if symbols == "chars":
+        return F.array_join(bwt.inverse(seq) if transform else seq, "")
     if symbols == "text":
         seq = sy.as_bytes(seq)
     data = bwt.inverse_bytes(seq) if transform else sy.join_bytes(seq)

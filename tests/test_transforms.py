@@ -224,8 +224,13 @@ def test_names(spark):
     pattern = F.array(*[F.lit(x) for x in "abra"])
     searched = index.select(names.count_fm_index(pattern, F.col("i")).alias("n"), names.locate_fm_index(pattern, F.col("i")).alias("rows"), F.col("i.sa").alias("sa")).first()
     assert searched.n == 2 and [searched.sa[k - 1] for k in searched.rows] == [18, 11]
-    pairs = spark.createDataFrame([([("a", 0), (None, 1)],)], "p array<struct<sym:string,idx:int>>")
-    assert pairs.select(names.magic_inverse_bwt(F.col("p")).alias("x")).first().x == ["a"]
+    pairs = lambda *p: spark.createDataFrame([(list(p),)], "p array<struct<sym:string,idx:int>>").select(names.magic_inverse_bwt(F.col("p")).alias("x")).first().x
+    assert pairs((None, 1), ("a", 0)) == ["a"] and pairs() == [] and pairs(("a", 0)) == [] and pairs(("a", 0), (None, 1)) == []
+    # banana: its sorted pairs, then the same walk over pairs in another order
+    assert pairs((None, 4), ("a", 0), ("a", 5), ("a", 6), ("b", 3), ("n", 1), ("n", 2)) == list("banana") and pairs(("n", 2), (None, 3), ("a", 1), ("b", 0)) == list("bna")
+    for bad in (((None, 1), ("a", 1)), ((None, 1), (None, 0))):
+        with pytest.raises(Exception, match="sentinel"):
+            pairs(*bad)
     order = spark.createDataFrame([((None, 1), ("a", 0))], "a struct<s:string,i:int>, b struct<s:string,i:int>")
     assert order.select(names.sort_tb(F.col("a"), F.col("b")).alias("x"), names.sort_tb(F.col("b"), F.col("a")).alias("y"), names.sort_tb(F.col("a"), F.col("a")).alias("z")).first() == (-1, 1, 0)
     with pytest.raises(Exception, match="UTF"):
