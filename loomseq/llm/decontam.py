@@ -9,7 +9,7 @@ distance between walks grows with the square of the edits, so items of more than
 of which has no larger share of edits than the whole.
 
 Windows start at every place of a document where one could match at all: a passage within the allowed edits keeps a number of the
-item's neighbouring word pairs, which is counted first and loses nothing.  Walks that meet at a place and step go on as one.
+item's runs of two and three words, which are counted first; that loses nothing.  Walks that meet at a place and step go on as one.
 How many repetitions a window size needs to find the target share of edited passages is measured, for edits at random and evenly
 spread ones; a target that MOST_REPETITIONS don't reach is an error.  Candidates are verified by the exact edit distance between
 the item and the best passage around the place.
@@ -17,22 +17,24 @@ the item and the best passage around the place.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
 from loomseq.llm.cluster import trimmed, unused
 
-#: What separates words once a text is plain: all ASCII but letters and digits.
-SEPARATOR = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
-#: Scripts written without spaces, of which each letter is a word.
-UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: What separates words in ASCII texts: all but letters and digits.
+SEPARATOR = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+#: Code points of scripts written without spaces, each letter of which is a word: Thai and Lao, Myanmar, Khmer, kana, Han (fixed values).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF))
 #: Words of the longest window, whose walk has as many steps as there are random bits.
 WINDOW = 32
 #: Coordinates of a key, and the steps between them.
@@ -48,19 +50,68 @@ TRIALS = 1000
 KINDS = ("random", "spread", "replaced")
 
 
-def plain(text: Column) -> Column:
-    """The text with words between spaces: lower case and letters, marks and digits by Unicode; ASCII texts stay, their bytes tell."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(spaced, f"([{UNSPACED}])", " $1 "))
+@lru_cache(1)
+def folded() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower case (0 if it is no letter, mark or digit), and whether it is a word of its own."""
+    low, single = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in chain(range(0xD800), range(0xE000, 0x110000)):
+        x = chr(c)
+        if x.isalnum() or unicodedata.category(x)[0] == "M":
+            lower = x.lower()
+            low[c] = ord(lower) if len(lower) == 1 else c
+    for first, last in UNSPACED:
+        single[first : last + 1] = low[first : last + 1] > 0
+    return low, single
 
 
 def words_of(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of plain texts, and where each document's begin."""
+    """Hashes of the words of each document, and where each document's begin.
+
+    Words are runs of letters, marks and digits by Unicode, in lower case where that is one character; in scripts without spaces
+    each character is one.
+    """
+    size = np.diff(docs.off)
+    beyond = np.concatenate(([0], np.cumsum(docs.buf >= 128)))
+    other = beyond[docs.off[1:]] > beyond[docs.off[:-1]]
+    if not other.any():
+        return _ascii_words(docs)
+    inside = np.repeat(other, size)
+    parts = []
+    for mine, where, words in ((~other, ~inside, _ascii_words), (other, inside, _other_words)):
+        parts.append(words(tv.Docs(docs.buf[where], np.concatenate(([0], np.cumsum(size[mine]))), 0)))
+    (plain, at), (wide, where) = parts
+    count = np.zeros(len(docs), np.int64)
+    count[~other], count[other] = np.diff(at), np.diff(where)
+    out, own = np.empty(len(plain) + len(wide), np.uint64), np.repeat(other, count)
+    out[~own], out[own] = plain, wide
+    return out, np.concatenate(([0], np.cumsum(count)))
+
+
+def _ascii_words(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
     low = tv.Docs(tv.LOWER[docs.buf], docs.off, 0)
     starts, ends, first = low.words(SEPARATOR)
     return tv.WORDS.bytes(low.buf, starts, ends), first
 
 
+def _other_words(docs: tv.Docs) -> tuple[np.ndarray, np.ndarray]:
+    """Code point by code point."""
+    low, single = folded()
+    points = np.frombuffer(docs.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    # where each document begins, in code points
+    off = np.concatenate(([0], np.cumsum((docs.buf & 0xC0) != 0x80)))[docs.off]
+    alone, points = single[points], low[points]
+    inside = points > 0
+    new = np.ones(len(points) + 1, bool)
+    new[1:-1] = ~inside[:-1] | alone[:-1] | alone[1:]
+    new[off] = True
+    starts, ends = np.flatnonzero(inside & new[:-1]), np.flatnonzero(inside & (new[1:] | ~np.append(inside[1:], False))) + 1
+    # hashed as UTF-8, as ASCII texts are
+    points[~inside] = 0x20
+    place = np.concatenate(([0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))))
+    buf = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+    return tv.WORDS.bytes(buf, place[starts], place[ends]), np.searchsorted(starts, off)
+
+
 class Filter:
     """A bitmap of 64-bit keys: tells which keys may be among them."""
 
@@ -198,29 +249,36 @@ class Index:
             order = np.argsort(keys[-1], kind="stable")
             self.tables[r].append((begin, [Filter(k) for k in keys], keys[-1][order], np.concatenate([m[1] for m in made])[order], np.concatenate([m[2] for m in made])[order]))
         self.expected = min(self.recall.values(), default=1.0)
-        # what a passage keeps: so many of the items' pairs of neighbours (of their words, where that says nothing) in so many words
+        # what a passage keeps: so many of the items' runs of 3, 2 and 1 words in so many words, by classes of like sizes
         flat = np.concatenate([np.empty(0, np.uint64), *words])
-        self.single, self.pair = Filter(flat), Filter(np.concatenate([np.empty(0, np.uint64), *[tv.RUNS.pair(w[:-1], w[1:]) for w in words]]))
-        self.kept: dict[tuple[bool, int], tuple[int, int]] = {}
+        pairs = [tv.RUNS.pair(w[:-1], w[1:]) for w in words]
+        triples = [tv.RUNS.pair(p[:-1], w[2:]) for p, w in zip(pairs, words, strict=True)]
+        self.runs = [Filter(np.concatenate([flat[:0], *x])) for x in ([flat], pairs, triples)]
+        self.kept: dict[int, tuple[int, list[int]]] = {}
         for n in parts:
             k = allowed(n, share)
-            pairs = n - 1 - 2 * k
-            group = (pairs > 0, int(2 * np.log2(n)))
-            need, reach = self.kept.get(group, (n, 0))
-            self.kept[group] = (min(need, pairs if pairs > 0 else n - k), max(reach, n + k))
+            reach, need = self.kept.get(int(2 * np.log2(n)), (0, [n, n, n]))
+            # an edit takes a run of q words with any of its q places
+            self.kept[int(2 * np.log2(n))] = (max(reach, n + k), [min(x, n - q + 1 - q * k) for q, x in enumerate(need, 1)])
 
     def places(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """The places of all windows that could match."""
         n = len(words)
         inside = np.zeros(n + 1, np.int32)
-        sums: dict[bool, np.ndarray] = {}
-        for (by_pair, _), (need, reach) in self.kept.items():
-            if by_pair not in sums:
-                hit = np.append(self.pair.has(pairs), False) if by_pair else self.single.has(words)
-                sums[by_pair] = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
-            total, length = sums[by_pair], reach - 1 if by_pair else reach
-            end = np.minimum(np.arange(length, n + length), n)
-            start = np.flatnonzero(total[end] - total[:-1] >= need)
+        hits = [self.runs[0].has(words) if any(need[1] <= 0 for _, need in self.kept.values()) else np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)]
+        hits[1][: n - 1] = self.runs[1].has(pairs)
+        two = np.flatnonzero(hits[1][: n - 2] & hits[1][1 : n - 1]) if n > 2 else np.empty(0, np.int64)
+        hits[2][two] = self.runs[2].has(tv.RUNS.pair(pairs[two], words[two + 2]))
+        sums = [np.concatenate(([0], np.cumsum(hit, dtype=np.int32))) for hit in hits]
+        for reach, need in self.kept.values():
+            start = None
+            for q in (3, 2, 1):
+                if need[q - 1] <= 0 or q == 1 and start is not None:
+                    continue
+                end = np.minimum(np.arange(n) + (reach - q + 1), n) if start is None else np.minimum(start + (reach - q + 1), n)
+                total = sums[q - 1]
+                enough = total[end] - (total[:-1] if start is None else total[start]) >= need[q - 1]
+                start = np.flatnonzero(enough) if start is None else start[enough]
             np.add.at(inside, start, 1)
             np.add.at(inside, np.minimum(start + reach, n), -1)
         return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
@@ -335,7 +393,7 @@ def find(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float =
     Documents are read once, whatever the number of items, and not shuffled; workers hold HELD_BLOCKS blocks of the index.  A
     ``share`` of edits at which walks don't reach ``recall`` raises a ValueError.
     """
-    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), plain(F.col(f"`{text_col}`")).alias("text"))
+    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     blocks = _blocks(items, share, recall, item_col, item_text)
     names = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("item_words", pa.int32())]
 
@@ -363,7 +421,7 @@ def clean(docs: DataFrame, items: DataFrame, share: float = 0.2, recall: float =
                     keep[first + match[0]] = False
             yield b.select(range(len(names))).filter(pa.array(keep))
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in names], plain(F.col(f"`{text_col}`")).alias(unused(docs, "text")))
+    frame = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(unused(docs, "text")))
     return frame.mapInArrow(lambda batches: trimmed(run(batches)), docs.schema)
 
 
@@ -381,7 +439,7 @@ def _found(texts: pa.Array, blocks: list) -> Iterator[tuple[int, Index, list[tup
 
 def _blocks(items: DataFrame, share: float, recall: float, item_col: str, item_text: str) -> list:
     """Broadcast indexes of the items, of BLOCK_BYTES of text each (or one item)."""
-    asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), plain(F.col(f"`{item_text}`")).alias("text")).where("text is not null")
+    asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count, made = -(-total // BLOCK_BYTES) or 1, []
     for block in range(count):
