@@ -159,7 +159,7 @@ def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 24)
     spark = docs.sparkSession
     params = rnn.start(corp.shape, frequency, size)
     names, shapes = list(params), {k: v.shape for k, v in params.items()}
-    pieces, n, copies = 1 << 16, partitions(spark), copies_of(corp.total)
+    pieces, n, copies = 1 << 12, partitions(spark), copies_of(corp.total)
     shared_corpus = spark.sparkContext.broadcast(corp)
     place = F.pmod(F.xxhash64(F.lit("round"), "id", F.length("text")), F.lit(100))
     edges = np.round(np.cumsum((0, *ROUNDS)) * 100).astype(int).tolist()
