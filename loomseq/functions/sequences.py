@@ -273,7 +273,7 @@ class Stored:
     def __init__(self, bwt: bytes, end: int, c: np.ndarray, occ: np.ndarray):
         self.n, self.bwt, self.end, self.c = len(bwt), bwt, end, c
         present = np.flatnonzero(np.diff(c))
-        self.occ, self.column = occ.reshape(-1, len(present)), dict(zip(present.tolist(), range(len(present)), strict=True))
+        self.occ, self.column = occ.reshape(len(bwt) // SAMPLE + 1, len(present)), dict(zip(present.tolist(), range(len(present)), strict=True))
 
     def before(self, symbol: int) -> int:
         return int(self.c[symbol]) if symbol in self.column else -1

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loomseq.functions.registry import register
 from loomseq.operators import fm
+from loomseq.functions.names import FUNCTIONS
+from loomseq.plans import named  # noqa: F401 - adds its queries
 from loomseq.plans.catalogue import FLAGSHIP, ORACLES, QUERIES
 from loomseq.sources import tables
 from loomseq.streaming import transforms
@@ -31,6 +33,14 @@ def test_query_equals_its_sql(spark, db, name):
     assert got == expected and got
 
 
+def test_every_named_function_is_queried(spark):
+    forms = set()
+    for name in QUERIES:
+        if name.startswith("named_"):
+            forms |= {r.form for r in QUERIES[name](spark, SF).select("form").distinct().collect()}
+    assert forms == set(FUNCTIONS)
+
+
 def test_compression_equals_a_model(spark):
     from test_transforms import model_bwt, model_mtf, model_runs
 
@@ -66,6 +76,43 @@ def test_sql_functions(spark):
     assert "bwt_text" in register(spark)
     (row,) = spark.sql("select bwt_text('banana') as b, suffix_array_bytes(binary('ba')) as sa").collect()
     assert "".join("$" if x is None else x.decode() for x in row.b) == "annb$aa" and row.sa == [3, 2, 1]
+    spark.createDataFrame([("banana", "ana"), ("banana", "x"), ("", "a"), (None, "a")], "t string, p string").createOrReplaceTempView("asked")
+    found = spark.sql("select t, p, fm_count(i, binary(p)) as n, fm_locate(i, binary(p)) as at, text_count(t, p) as plain from (select *, fm_index_bytes(binary(t)) as i from asked)").collect()
+    assert [(r.n, r.at) for r in found] == [(2, [4, 2]), (None, []), (None, []), (None, [])] and [r.plain for r in found[:3]] == [2, None, None]
+    (row,) = spark.sql("select rle_restore(array(named_struct('n', 3, 'value', binary('a')), named_struct('n', 2, 'value', cast(null as binary)))) as r, alphabet(array(binary('b'), binary('a'), binary('b'))) as a").collect()
+    assert [x and bytes(x) for x in row.r] == [b"a"] * 3 + [None] and [bytes(x) for x in row.a] == [b"a", b"b"]
+
+
+def test_plans_of_searches(spark):
+    docs = tables.table(spark, SF, "documents")
+    index = fm.index_bytes(docs, "doc_id", "text")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    generate = [x for x in plan(fm.locate(index, "doc_id", ["a", "b"])).splitlines() if "Generate" in x]
+    assert generate and "sa#" not in generate[0]
+
+
+def test_shared_folder(spark):
+    from loomseq.sources import shared
+
+    assert shared.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Cluster)
+    made = shared.written(spark.range(3), "three")
+    assert made.count() == 3 and shared.clean_up(spark) and not shared.clean_up(spark)
 
 
 def test_streams(spark, tmp_path):

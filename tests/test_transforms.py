@@ -122,6 +122,53 @@ def test_runs(table):
     assert [(x.n, x.value and bytes(x.value)) for x in row.r] == [(1, b"a"), (2, b"n"), (1, b"b"), (1, None), (2, b"a")]
 
 
+#: A known text and its run-length code (fixed values).
+KNOWN = {"aaaabbbbcccc": [(1, "c"), (1, None), (4, "a"), (3, "b"), (3, "c"), (1, "b")]}
+#: A known text whose transform has 87 runs, with the sentinel at place 372 from 0 (fixed values).
+LONG = (
+    "editor-mount-z0Uz0Uz0Uz0Uz0Uz0Uz0Uz5Uz0Uz0Uz0Uz2Uz3Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz1Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz1Uz0Uz0Uz0Uz2Uz1Uz0Uz0Uz0Uz0Uz"
+    "0Uz0Uz0Uz0Uz0Uz0Uz0Uz1cUz0Uz0Uz0Uz1Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uznz0e9Uz7dUz20Uz0ffUz11Uz40Uz0a3Uz9aUz0bfU3z0f5Uz12Uz0a8Uzhz4Uz0Uz0Uz0Uz2Uz4Uz0U"
+    "z0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz2Uz0Uz0Uz0Uz2Uz3Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz1Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz1Uz0Uz0Uz0Uz2Uz3Uz0Uz0Uz0Uz0Uz0Uz0"
+    "Uz0Uz0Uz0Uz0Uz0Uz1Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz1cUz0Uz0Uz0Uz1Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uz0Uznz0e9Uz7dUz20Uz0ffUz11Uz40Uz0a3Uz9aUz0bfU3z0f5Uz12Uz0a8Uzhz"
+    "4Uz4U"
+)
+
+
+def test_known_run_length_codes(spark):
+    df = spark.createDataFrame([(t,) for t in (*KNOWN, LONG)], "t string")
+    for s in ("b", "t"):
+        coded = settled(df.select("t", names.FUNCTIONS[f"text_to_bwt_to_rle_{s}"](F.col("t")).alias("r"), bwt.bwt_text(F.col("t")).alias("b")))
+        rows = {r.t: r for r in coded.withColumn("back", names.FUNCTIONS[f"text_from_bwt_from_rle_{s}"](F.col("r"))).collect()}
+        as_text = lambda v: v if v is None or isinstance(v, str) else v.decode()
+        for t, expected in KNOWN.items():
+            assert [(x.n, as_text(x.value)) for x in rows[t].r] == expected and rows[t].back == t
+        long = rows[LONG]
+        assert len(LONG) == 565 and long.back == LONG and len(long.r) == 87 and long.b.index(None) == 372
+        assert [(x.n, as_text(x.value)) for x in long.r] == [(n, as_text(v)) for n, v in model_runs(model_bwt(LONG.encode()))]
+
+
+def test_texts_beyond_ascii_and_characters(spark, table):
+    df = spark.createDataFrame([(1, "día día"), (2, None), (3, "")], "id long, t string")
+    for name in ("text_fm_index_count_s", "text_fm_index_locate_p"):
+        with pytest.raises(Exception, match="beyond ASCII"):
+            df.select(names.FUNCTIONS[name](["d"], F.col("t")).alias("x")).collect()
+        assert [r.x for r in df.where("id > 1").select(names.FUNCTIONS[name](["d"], F.col("t")).alias("x")).collect()] == [[], []]
+    counted = df.select(names.bytestring_fm_index_count_p(["día".encode()], F.col("t")).alias("x")).first().x
+    assert [(bytes(r.pattern).decode(), r.n) for r in counted] == [("día", 2)]
+    for steps in (["bwt"], ["bwt", "rle"], ["bwt", "mtf"], ["bwt", "fm"], ["mtf"]):
+        coded = pipelines.encode(df.where("t <> ''"), "t", steps, symbols="chars")
+        assert pipelines.decode(coded, "code", steps, symbols="chars").first().text == "día día"
+    chars = settled(df.where("id = 1").select(bwt.bwt(sy.of_chars(F.col("t"))).alias("b"))).first().b
+    assert len(chars) == 8 and chars.count("í") == 2
+
+
+def test_index_from_a_matrix(spark):
+    df = spark.createDataFrame([("abracadabra",), ("a",)], "t string").select("t", bwt.bwt_text(F.col("t")).alias("b"), bwt.matrix(sy.of_text(F.col("t"))).alias("m"))
+    for s in ("b", "t"):
+        for r in settled(df).select(names.FUNCTIONS[f"text_bwt_to_fm_index_{s}"](F.col("b"), F.col("m")).alias("given"), names.FUNCTIONS[f"text_bwt_to_fm_index_{s}"](F.col("b")).alias("own")).collect():
+            assert r.given == r.own
+
+
 @pytest.mark.parametrize(("given", "expected"), [
     ([None, "a"], [(1, "a")]), ([None, None], [(1, None)] * 3), (["a", "a", "a", None], [(3, "a"), (1, None), (3, None)]), ([None], [(1, None)]),
     (["a", None], [(1, "a"), (1, None), (1, None)]), (["a", "b", None], [(1, "a"), (1, "b"), (1, None), (1, None)]), (["a", None, "b"], [(1, "a"), (1, None), (1, "b")]), ([], []),
@@ -194,6 +241,49 @@ def test_counts_and_places(spark):
     assert df.where("id = 1").select(fm.effective(data, b"zabra").alias("p")).first().p == bytearray(b"abra")
 
 
+def test_stored_tables_equal_a_count():
+    from loomseq.functions import sequences as sq
+
+    rng = random.Random(2)
+    for size in (1, 511, 512, 513, 2000):
+        text = bytes(rng.choice(b"\x00ab\xff") for _ in range(size))
+        b = model_bwt(text)
+        raw = b"".join(x or b"\0" for x in b)
+        end = b.index(None)
+        c, occ = sq.occ_tables(sq.np.frombuffer(raw, sq.np.uint8), end)
+        stored = sq.Stored(raw, end, c, occ)
+        for s in set(text):
+            assert stored.before(s) == 1 + sum(x < s for x in text)
+            for at in {0, 1, end, end + 1, 511, 512, 513, 1024, len(b)}:
+                if at <= len(b):
+                    assert stored.rank(s, at) == sum(x is not None and x[0] == s for x in b[:at])
+        assert stored.before(77) == -1
+
+
+def test_sequences_in_parts(monkeypatch):
+    from loomseq.functions import sequences as sq
+
+    rng = sq.np.random.default_rng(1)
+    size = rng.integers(0, 40, 50)
+    first = sq.np.concatenate(([0], sq.np.cumsum(size)))
+    codes = rng.integers(1, 4, int(first[-1]))
+    whole = sq.sorted_together(codes, first)
+    monkeypatch.setattr(sq, "SORTED", 60)
+    assert all((x == y).all() for x, y in zip(sq.suffix_arrays(codes, first), whole, strict=True))
+
+
+def test_long_forms(table):
+    rows = sy.to_long(table.select("id", sy.of_text(F.col("t")).alias("s")), "s", "id")
+    made = bwt.bwt_long(rows, "id").collect()
+    back = bwt.inverse_long(bwt.bwt_long(rows, "id"), "id").collect()
+    for r in table.where("t <> ''").collect():
+        b = model_bwt(r.t.encode())
+        assert [x.sym and bytes(x.sym) for x in sorted((x for x in made if x.id == r.id), key=lambda x: x.k)] == b
+        assert b"".join(bytes(x.sym) for x in sorted((x for x in back if x.id == r.id), key=lambda x: x.k)) == r.t.encode()
+    loop = table.sparkSession.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "a"), (1, 4, "a")], "id long, k int, sym string")
+    assert bwt.inverse_long(loop.where("k < 3"), "id").count() == 1
+
+
 def test_search_of_random_texts(spark):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(1, 40)))) for i in range(40)]
