@@ -154,7 +154,7 @@ def copies_of(total: int) -> int:
 def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 24) -> dict[str, np.ndarray]:
     """The model's parameters from all of docs (id, text); the same however docs are partitioned.
 
-    Rows that are equal in id and text go to the same copy.
+    Rows that repeat an id go to the same copy.
     """
     spark = docs.sparkSession
     params = rnn.start(corp.shape, frequency, size)
@@ -223,7 +223,7 @@ def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 24)
             for piece, (seen, x) in sums.items():
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "v": pa.array([(x / seen).tobytes()], pa.binary())})
 
-        part = docs.where((place >= low) & (place < high)).select(F.pmod(F.xxhash64(F.lit("order"), "id", "text"), F.lit(1 << 62)).alias("order"), "text")
+        part = docs.where((place >= low) & (place < high)).select(F.pmod(F.xxhash64(F.lit("order"), F.coalesce("id", F.xxhash64("text"))), F.lit(1 << 62)).alias("order"), "text")
         dealt = part.mapInArrow(deal, "bucket int, order long, symbols binary").repartitionById(copies, F.col("bucket")).sortWithinPartitions("bucket", "order", "symbols")
         trained = dealt.mapInArrow(lambda batches, run=run: trimmed(run(batches)), "bucket int, piece int, seen long, v binary")
         got = trained.repartitionById(n, F.col("bucket")).mapInArrow(add, "piece int, v binary").orderBy("piece").toArrow()

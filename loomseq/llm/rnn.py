@@ -70,42 +70,41 @@ def output(p: dict[str, np.ndarray], shape: Shape, h: np.ndarray, target: np.nda
     """Log-probabilities (natural) of the targets' symbols given states; with ``grad`` also adds gradients of the mean loss and gives the states'."""
     n = len(target)
     cls = shape.class_of(target)
-    logit = h @ p["c"]
-    logit += p["cb"]
-    logit -= logit.max(axis=1, keepdims=True)
-    rows = np.arange(n)
-    hit = logit[rows, cls]
+    # a column a state, so that maxima and sums run along rows
+    logit = p["c"].T @ h.T
+    logit += p["cb"][:, None]
+    logit -= logit.max(axis=0)
+    columns = np.arange(n)
+    hit = logit[cls, columns]
     np.exp(logit, out=logit)
-    total = logit.sum(axis=1)
+    total = logit.sum(axis=0)
     out = (hit - np.log(total)).astype(np.float64)
     dh = None
     if grad is not None:
-        logit /= total[:, None]
-        logit[rows, cls] -= 1
-        logit /= n
-        grad["c"] += h.T @ logit
-        grad["cb"] += logit.sum(axis=0)
-        dh = logit @ p["c"].T
+        logit /= total * F32(n)
+        logit[cls, columns] -= F32(1 / n)
+        grad["c"] += (logit @ h).T
+        grad["cb"] += logit.sum(axis=1)
+        dh = (p["c"] @ logit).T
     order = np.argsort(cls.astype(np.uint16) if shape.classes < 1 << 16 else cls, kind="stable")
     at = np.searchsorted(cls[order], np.arange(len(shape.first)))
     for g in np.flatnonzero((np.diff(at) > 0) & (np.diff(shape.first) > 1)):
         rows, a, b = order[at[g] : at[g + 1]], shape.first[g], shape.first[g + 1]
         own, w = h[rows], p["w"][a:b]
-        logit = own @ w.T
-        logit += p["wb"][a:b]
-        logit -= logit.max(axis=1, keepdims=True)
-        place = target[rows] - a
-        hit = logit[np.arange(len(rows)), place]
+        logit = w @ own.T
+        logit += p["wb"][a:b, None]
+        logit -= logit.max(axis=0)
+        place, columns = target[rows] - a, np.arange(len(rows))
+        hit = logit[place, columns]
         np.exp(logit, out=logit)
-        total = logit.sum(axis=1)
+        total = logit.sum(axis=0)
         out[rows] += hit - np.log(total)
         if grad is not None:
-            logit /= total[:, None]
-            logit[np.arange(len(rows)), place] -= 1
-            logit /= n
-            grad["w"][a:b] += logit.T @ own
-            grad["wb"][a:b] += logit.sum(axis=0)
-            dh[rows] += logit @ w
+            logit /= total * F32(n)
+            logit[place, columns] -= F32(1 / n)
+            grad["w"][a:b] += logit @ own
+            grad["wb"][a:b] += logit.sum(axis=1)
+            dh[rows] += logit.T @ w
     return out, dh
 
 
