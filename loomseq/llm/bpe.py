@@ -7,8 +7,9 @@ to.  All arcs of a token lead to one state, so a gadget adds one state at most:
 arcs leave a state follows from the gadgets that made it (``arc``); the transition table keeps each answer once asked for, as
 lazily built automata do: all of it would be 2.5 billion entries.
 
-A pre-split word has one accepted path from the start, which the transitions of the table give.  Decoding emits the labels of
-the arcs.
+Every beginning of a word has one accepted path, so every place of a word has one state.  A word is read from left to right: from
+each place's state the table's transitions by the tokens that stand there give the states of the places behind them.  Nothing is
+ever taken back.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -127,22 +128,20 @@ class Automaton:
             if self.live[c]:
                 self.states.append((a, k))
                 self.state[a] = len(self.states) - 1
-        self.size, self.nodes = size, None
-        # the labels as a trie: (node << 8 | byte) -> node; the token of each node; each token's longest shorter prefix that is a token
+        self.size, self.nodes, self.tokens = size, None, []
+        # the labels as a trie: (node << 8 | byte) -> node; the token of each node
         trie: dict[int, int] = {}
         token = [-1]
-        self.length, self.shorter = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-        for t, label in sorted(labels.items(), key=lambda x: len(x[1])):
-            node, last = 0, -1
+        self.length = np.zeros(size, np.int64)
+        for t, label in labels.items():
+            node = 0
             for x in label:
                 to = trie.get(node << 8 | x)
                 if to is None:
                     to = trie[node << 8 | x] = len(token)
                     token.append(-1)
                 node = to
-                if token[node] >= 0:
-                    last = token[node]
-            token[node], self.length[t], self.shorter[t] = t, len(label), last
+            token[node], self.length[t] = t, len(label)
         self.token = np.array(token)
         self.trie = Table(np.fromiter(trie, np.int64, len(trie)), np.fromiter(trie.values(), np.int64, len(trie)))
         # the transitions asked for so far, (state * size + token) -> state or -1; the latest are in recent
@@ -187,96 +186,88 @@ class Automaton:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of pre-split words, one after the other, and where each word's end.
 
-        All words of up to LONG_WORD bytes advance together, a transition at a time.  Each takes the longest token at its place
-        that the table has a transition for, and where none leads on goes a step back.  The accepted path to a place is unique,
-        so a place from which no path leads on is tried once only.
+        All words of up to LONG_WORD bytes are read together, place by place.
         """
         size = np.fromiter(map(len, words), np.int64, len(words))
-        ids: list[np.ndarray | list[int]] = [[]] * len(words)
-        for i in np.flatnonzero(size > LONG_WORD).tolist():
-            ids[i] = self._long(words[i])
-        short = np.flatnonzero((size > 0) & (size <= LONG_WORD))
-        n, most = len(short), int(size[short].max(initial=0))
-        buf = np.frombuffer(b"".join(words[i] for i in short.tolist()) + b"\0", np.uint8).astype(np.int64)
+        count = np.zeros(len(words), np.int64)
+        order = np.argsort(-size, kind="stable")
+        long = order[: int(np.searchsorted(-size[order], -LONG_WORD, "left"))]
+        ids: dict[int, list[int]] = {i: self._long(words[i]) for i in long.tolist()}
+        short = order[len(long) :]
         size = size[short]
+        n, most = len(short), int(size.max(initial=0))
+        buf = np.frombuffer(b"".join(words[i] for i in short.tolist()) + b"\0", np.uint8).astype(np.int64)
         base = np.cumsum(size) - size
-        at, state, token, depth = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -2), np.zeros(n, np.int64)
-        taken, before, dead = np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), np.int32), np.zeros((n, most + 1), bool)
-        who = np.arange(n)
+        # of each place its state, and the token that led there
+        state, last = np.full((n, most + 1), -1, np.int32), np.zeros((n, most + 1), np.int32)
+        state[:, 0] = 0
+        for j in range(most):
+            # longer words come first
+            on = np.arange(int(np.searchsorted(-size, -j, "left")))
+            at, node, k = state[on, j].astype(np.int64), np.zeros(len(on), np.int64), j
+            if len(on) and at.min() < 0:
+                raise ValueError(f"no path for {words[int(short[int(at.argmin())])]!r}")
+            while len(on):
+                to = self.trie.get(node << 8 | buf[base[on] + k])
+                k += 1
+                stay = to >= 0
+                on, at, node = on[stay], at[stay], to[stay]
+                t = self.token[node]
+                hit = np.flatnonzero(t >= 0)
+                reached = self.arcs(at[hit], t[hit])
+                ok = reached >= 0
+                hit = hit[ok]
+                state[on[hit], k], last[on[hit], k] = reached[ok], t[hit]
+                stay = size[on] > k
+                on, at, node = on[stay], at[stay], node[stay]
+        # the path to each word's end, from there back
+        end, path, depth = size.copy(), [], np.zeros(n, np.int64)
+        who = np.flatnonzero(end > 0)
+        if (state[np.arange(n), size] < 0).any():
+            raise ValueError(f"no path for {words[int(short[int(state[np.arange(n), size].argmin())])]!r}")
         while len(who):
-            # the longest token at a place that was just reached
-            left = who[token[who] == -2]
-            if len(left):
-                node, place, end = np.zeros(len(left), np.int64), base[left] + at[left], base[left] + size[left]
-                best = np.full(len(left), -1)
-                on = np.arange(len(left))
-                while len(on):
-                    to = self.trie.get(node[on] << 8 | buf[place[on]])
-                    on, to = on[to >= 0], to[to >= 0]
-                    node[on] = to
-                    place[on] += 1
-                    found = self.token[to]
-                    best[on] = np.where(found >= 0, found, best[on])
-                    on = on[place[on] < end[on]]
-                token[left] = best
-            # one transition each
-            some = token[who] >= 0
-            back, who = who[~some], who[some]
-            t = token[who]
-            to, reached = self.arcs(state[who], t), at[who] + self.length[t]
-            ok = (to >= 0) & ~dead[who, reached]
-            token[who[~ok]] = self.shorter[t[~ok]]
-            go = who[ok]
-            taken[go, depth[go]], before[go, depth[go]] = t[ok], state[go]
-            depth[go] += 1
-            state[go], at[go], token[go] = to[ok], reached[ok], -2
-            if len(back):
-                if not depth[back].all():
-                    raise ValueError(f"no path for {words[int(short[back[depth[back] == 0][0]])]!r}")
-                dead[back, at[back]] = True
-                depth[back] -= 1
-                t = taken[back, depth[back]]
-                state[back], at[back], token[back] = before[back, depth[back]], at[back] - self.length[t], self.shorter[t]
-            who = np.concatenate([who[at[who] < size[who]], back])
-        count = np.zeros(len(words), np.int64)
+            t = last[who, end[who]]
+            path.append((who, t))
+            depth[who] += 1
+            end[who] -= self.length[t]
+            who = who[end[who] > 0]
         count[short] = depth
-        flat = taken[np.arange(most + 1) < depth[:, None]]
-        if n < len(words) and any(map(len, ids)):
-            cut = np.split(flat, np.cumsum(depth)[:-1]) if n else []
-            for i, x in zip(short.tolist(), cut, strict=True):
-                ids[i] = x
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate([np.asarray(x, np.int32) for x in ids])
-        return flat.astype(np.int32), np.cumsum(count)
+        for i, x in ids.items():
+            count[i] = len(x)
+        ends = np.cumsum(count)
+        out = np.empty(int(count.sum()), np.int32)
+        place = ends[short] - 1
+        for who, t in path:
+            out[place[who]] = t
+            place[who] -= 1
+        for i, x in ids.items():
+            out[ends[i] - len(x) : ends[i]] = x
+        return out, ends
 
     def _long(self, word: bytes) -> list[int]:
-        """The accepted path of one word, looked for in the same way."""
+        """The accepted path of one word, found in the same way."""
         if self.nodes is None:
             self.nodes = dict(zip(*(x.tolist() for x in self.trie.items()), strict=True))
-        n, at, state, out, states, dead = len(word), 0, 0, [], [], set()
-        token = -2
-        while at < n:
-            if token == -2:
-                node, token = 0, -1
-                for x in memoryview(word)[at:]:
-                    node = self.nodes.get(node << 8 | x)
-                    if node is None:
-                        break
-                    if self.token[node] >= 0:
-                        token = int(self.token[node])
-            while token >= 0 and ((to := self.arc(state, token)) < 0 or at + int(self.length[token]) in dead):
-                token = int(self.shorter[token])
-            if token >= 0:
-                out.append(token)
-                states.append(state)
-                at, state, token = at + int(self.length[token]), to, -2
-            elif out:
-                dead.add(at)
-                token = out.pop()
-                at, state, token = at - int(self.length[token]), states.pop(), int(self.shorter[token])
-            else:
+            self.tokens = self.token.tolist()
+        nodes, tokens, arc, n = self.nodes, self.tokens, self.arc, len(word)
+        state, last = [-1] * (n + 1), [-1] * (n + 1)
+        state[0] = 0
+        for j in range(n):
+            node, k = 0, j
+            if state[j] < 0:
                 raise ValueError(f"no path for {word[:80]!r}")
-        return out
+            while k < n and (node := nodes.get(node << 8 | word[k], -1)) >= 0:
+                k += 1
+                t = tokens[node]
+                if t >= 0 and state[k] < 0 and (to := arc(state[j], t)) >= 0:
+                    state[k], last[k] = to, t
+        if state[n] < 0:
+            raise ValueError(f"no path for {word[:80]!r}")
+        out = []
+        while n:
+            out.append(last[n])
+            n -= int(self.length[last[n]])
+        return out[::-1]
 
 
 class Tokenizer:
