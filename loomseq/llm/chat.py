@@ -1,8 +1,10 @@
 """Chat formatting: a declarative template, and a finite-state machine over roles that validates the order of turns.
 
-``format_turns`` works a row at a time on what a window over the conversation gives (the role before), so a conversation of any
-length needs no more memory than others.  Control strings inside texts are escaped reversibly; ``parse`` reads the segments
-back.  Only a digest of a whole conversation has to read its turns in sequence.
+The machine has states of its own; a role leads from the states that allow it to one state, from all others to ``failed``, which
+nothing leaves.  So a turn's state follows from the role before it and from whether any turn so far has failed, which two window
+functions give: ``format_turns`` works a row at a time, and a conversation of any length needs no more memory than others.
+Control strings inside texts are escaped reversibly; ``parse`` reads the segments back.  Only a digest of a whole conversation
+has to read its turns in sequence.
 """
 
 from __future__ import annotations
@@ -19,23 +21,70 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
+FAILED = "failed"
+
+
+@dataclass(frozen=True)
+class Machine:
+    """States and the roles that lead from one to the next; roles that a state doesn't have lead to FAILED."""
+
+    start: str = "start"
+    #: arcs[state][role] is the next state; each role has one that it leads to.
+    arcs: dict[str, dict[str, str]] = field(default_factory=lambda: {
+        "start": {"system": "prompted", "user": "asked"},
+        "prompted": {"user": "asked"},
+        "asked": {"assistant": "answered"},
+        "answered": {"user": "asked", "tool": "returned"},
+        "returned": {"assistant": "answered", "tool": "returned"},
+    })
+    ends: tuple[str, ...] = ("answered",)
+
+    def __post_init__(self):
+        to: dict[str, set[str]] = {}
+        for arcs in self.arcs.values():
+            for role, state in arcs.items():
+                to.setdefault(role, set()).add(state)
+        if any(len(x) > 1 for x in to.values()) or FAILED in self.arcs:
+            raise ValueError("each role must lead to one state, and nothing may leave a failed one")
+
+    @property
+    def reached(self) -> dict[str, str]:
+        """The state that each role leads to."""
+        return {role: state for arcs in self.arcs.values() for role, state in arcs.items()}
+
+    def run(self, roles: list[str]) -> list[str]:
+        """The states after each role, one by one."""
+        out, state = [], self.start
+        for role in roles:
+            state = self.arcs.get(state, {}).get(role, FAILED)
+            out.append(state)
+        return out
+
+    def states(self, role: Column, order: Window) -> tuple[Column, Column]:
+        """The states before and after each row, by windows."""
+        after = F.lit(FAILED)
+        for r, s in self.reached.items():
+            after = F.when(role == r, s).otherwise(after)
+        before = F.coalesce(F.lag(after).over(order), F.lit(self.start))
+        allowed = F.lit(False)
+        for s, arcs in self.arcs.items():
+            allowed = allowed | ((before == s) & role.isin(*arcs))
+        return before, F.when(allowed, after).otherwise(FAILED)
+
+
 @dataclass(frozen=True)
 class Template:
-    """What stands before and after each turn's text, and whose texts the loss covers.
+    """What stands before and after each turn's text, whose texts the loss covers, and the machine that turns must follow.
 
-    ``{role}`` in ``before`` is the role.  A text's own ``mark`` characters are escaped so that neither ``before`` nor ``after``
-    can occur inside one: every ``escape`` is doubled and every control string's first character gets ``escape`` behind it.
+    ``{role}`` in ``before`` is the role.  Both strings begin with one character (``lead``), which ``escaped`` puts a backslash
+    behind wherever a text has it, so neither can occur inside a text.
     """
 
     before: str = "<|im_start|>{role}\n"
     after: str = "<|im_end|>\n"
     loss_roles: tuple[str, ...] = ("assistant",)
     loss_on_after: bool = False
-    #: follows[state] are the roles that may come next; the state after a turn is its role.
-    follows: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
-        "": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "tool"), "tool": ("assistant", "tool"),
-    })
-    ends: tuple[str, ...] = ("assistant",)
+    machine: Machine = Machine()
 
     @property
     def lead(self) -> str:
@@ -65,20 +114,17 @@ def unescaped_role(text: str, template: Template = CHATML) -> str:
 
 
 def format_turns(turns: DataFrame, template: Template = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, seq, role, segments, valid): one row a turn, with its text segments and their loss flags.
+    """(conv_id, turn, seq, role, state, segments, valid): one row a turn, with its text segments and their loss flags.
 
-    ``segments`` is an array of (text, loss): the turn's control string, its escaped text, its end.  ``valid`` says whether the
-    machine may take this role after the one before (the order is by turn, then role, then text; null turns first); a
-    conversation is valid if all its turns are and the last one's role may end it.  Null roles and texts count as empty; rows
-    with a null conv_id are one conversation.  Repeated rows are turns of their own, and invalid ones are formatted like others.
+    ``segments`` is an array of (text, loss): the turn's control string, its escaped text, its end.  ``state`` is the machine's
+    after the turn and ``valid`` whether it hasn't failed (the order is by turn, then role, then text; null turns first); a
+    conversation is valid if the state after its last turn may end it.  Null roles and texts count as empty; rows with a null
+    conv_id are one conversation.  Repeated rows are turns of their own, and invalid ones are formatted like others.
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    state = F.coalesce(F.lag("role").over(order), F.lit(""))
-    allowed = F.lit(False)
-    for before, roles in template.follows.items():
-        allowed = allowed | ((F.col("state") == before) & F.col("role").isin(*roles))
+    _, after = template.machine.states(F.col("role"), order)
     name = F.replace(escaped(F.col("role"), template), F.lit("\n"), F.lit("\\n"))
     head, tail = template.before.split("{role}")
     loss = F.col("role").isin(*template.loss_roles)
@@ -88,8 +134,11 @@ def format_turns(turns: DataFrame, template: Template = CHATML, conv_col: str =
         part(escaped(F.col("text"), template), loss),
         part(F.lit(template.after), loss & F.lit(template.loss_on_after)),
     )
-    placed = rows.withColumns({"state": state, "seq": F.row_number().over(order)})
-    return placed.select("conv_id", "turn", "seq", "role", made.alias("segments"), allowed.alias("valid"))
+    placed = rows.withColumns({"step": after, "seq": F.row_number().over(order)})
+    # once failed, always failed: whether any turn up to this one has
+    failed = F.max(F.col("step") == FAILED).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    state = F.when(failed, F.lit(FAILED)).otherwise(F.col("step"))
+    return placed.select("conv_id", "turn", "seq", "role", state.alias("state"), made.alias("segments"), (~failed).alias("valid"))
 
 
 def render(segments: list[tuple[str, bool]]) -> str:
@@ -135,15 +184,15 @@ def summarise(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         rows: list[dict] = []
 
         def close() -> None:
-            conv, n, turns, loss_chars, loss, chars, valid, last = now
-            rows.append({"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": chars, "valid": valid and last in template.ends})
+            conv, n, turns, loss_chars, loss, chars, state = now
+            rows.append({"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": chars, "valid": state in template.machine.ends})
 
         for b in batches:
-            for conv, place, segments, valid in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for conv, place, segments, state in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if place == 1:
                     if now is not None:
                         close()
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, ""]
+                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, template.machine.start]
                 whole = render([(s["text"], s["loss"]) for s in segments])
                 ((role, text),) = parse(whole, template)
                 now[1] += 1
@@ -154,8 +203,7 @@ def summarise(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
                         now[3] += len(covered)
                         now[4].update(covered.encode())
                 now[5] += len(whole)
-                now[6] = now[6] and bool(valid)
-                now[7] = role
+                now[6] = state
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
                 rows.clear()
@@ -165,14 +213,17 @@ def summarise(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
 
     # the window's distribution and order are those that format_turns has made: no other shuffle
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq"))
-    return formatted.select(F.col("conv_id").cast("long"), place.alias("place"), "segments", "valid").mapInArrow(run, SUMMARY)
+    return formatted.select(F.col("conv_id").cast("long"), place.alias("place"), "segments", "state").mapInArrow(run, SUMMARY)
 
 
 ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: all conversations and conversation -1, whose texts hold control strings."""
+    """Contract query: all conversations and conversation -1, whose texts hold control strings.
+
+    Null texts and roles count as empty; rows with a null conv_id are one conversation; repeated rows are turns of their own.
+    """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
