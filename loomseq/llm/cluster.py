@@ -1,9 +1,8 @@
-"""Shared folders, written tables and exchanges of packed rows."""
+"""Exchanges of packed rows, and what else the operators need of a cluster."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,26 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/loomseq"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomseq.sources.shared import scratch, shared_dir, written  # noqa: F401 - the operators take them from here
 
 
 def partitions(spark: SparkSession) -> int:

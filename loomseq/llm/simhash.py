@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseq.llm import textvec as tv
@@ -29,8 +29,8 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 NARROW = 8
 #: A tile has about so many fingerprints at most; those of more than SPLIT are split by finer population counts.
 TILE, SPLIT = 1 << 18, 1 << 14
-#: Texts, and characters of them, that a tile of a group holds where similarities are verified.
-VERIFY_ROWS, VERIFY_CHARS = 1024, 4_000_000
+#: Texts, and shingles of them, that a tile of a group holds where similarities are verified; texts that all of a larger group meet first.
+VERIFY_ROWS, VERIFY_SHINGLES, REPRESENTATIVES = 1024, 700_000, 8
 #: Sets of so few shingles, where one more changes many bits, link within this radius of 128 bits.
 FEW, WIDE = 5, 38
 #: Comparisons that one step holds in memory.
@@ -263,51 +263,73 @@ def links(classes: DataFrame, radius: int, words: int = 1, sets: Sets | None = N
     return exchange(dealt, n, compare, {"k": "<i8", "own": "u1", "id": "<i8"} | ({} if sets is None else {"n": "<i4"}) | {f"w{w}": "<u8" for w in range(words)}, "a long, b long")
 
 
-def verified(texts: DataFrame, shingle: int, threshold: float, shingles: Callable[[tv.Docs, int], tuple[np.ndarray, np.ndarray]] = hashes) -> DataFrame:
+def verified(texts: DataFrame, members: DataFrame, shingle: int, threshold: float, shingles: Callable[[tv.Docs, int], tuple[np.ndarray, np.ndarray]] = hashes, merge: bool = True) -> DataFrame:
     """(a, b): edges that join exactly what chains of texts with a Jaccard similarity of ``threshold`` or more join, within groups.
 
-    texts: id, group, text.  The sets are of what ``shingles`` makes of a text, lower-case shingles as in fingerprints.  A group is cut into
-    tiles by its texts' number and length; tiles meet pairwise, where all common shingles of all pairs are counted by products of
-    incidence matrices, so a group of any size is done in tasks of bounded memory, and each gives at most one edge a text.
+    texts: id, text; members: id, group, n (its number of shingles), one row an id.  The sets are of what ``shingles`` makes of a
+    text.  A group of one tile is compared all with all.  Of a larger one all texts are first compared with REPRESENTATIVES of
+    it; what they join into its largest cluster needs no more comparisons among itself, and only the texts outside of it are
+    compared with all.  So what is sent and compared grows with the group's size times the number of its outsiders.  Tiles bound
+    what a task holds, and each comparison gives at most one edge a text.  Of rows that repeat an id the least text counts.
+    Texts meet what is asked of them in a merge join, or (``merge`` false) in the join that Spark chooses by the members' size.
     """
+    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    tiles = F.greatest(F.ceil(F.greatest(F.col("rows") / VERIFY_ROWS, F.col("shingles") / VERIFY_SHINGLES)), F.lit(1)).cast("int")
+    placed = written(members.join(size.select("group", tiles.alias("tiles")), "group").select("id", "group", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("own")), "verify-members")
+    tiles_col = F.col("tiles")
+    to = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(side).alias("side"))
+    range_of = lambda n: F.sequence(F.lit(0), n - 1)
+    zero = F.lit(0)
+    small = placed.where(tiles_col == 1).select("id", "group", F.array(to(zero, zero, 0)).alias("to"))
+    large = placed.where(tiles_col > 1)
+    by_hash = Window.partitionBy("group").orderBy(F.xxhash64("id", F.lit("representative")), "id")
+    chosen = large.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= REPRESENTATIVES)
+    asked = large.select("id", "group", F.array(to(F.col("own"), zero, 1)).alias("to")).union(chosen.select("id", "group", F.transform(range_of(tiles_col), lambda t: to(t, zero, 0)).alias("to")))
+    first = written(compared(texts, small.union(asked), shingle, threshold, shingles, merge), "verify-first")
+    if large.isEmpty():
+        return first
+    met = components(first.join(large.select(F.col("id").alias("a")), "a", "left_semi"))
+    clustered = written(large.join(met, large.id == met.node, "left").select("id", "group", "tiles", "own", F.coalesce("component", "id").alias("cluster")), "verify-clusters")
+    count = clustered.groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("rows"))
+    main = count.groupBy("group").agg(F.max_by("cluster", F.struct("rows", -F.col("cluster"))).alias("main"))
+    outside = clustered.join(main, "group").where("cluster <> main")
+    blocks = written(outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / VERIFY_ROWS).cast("int").alias("blocks")), "verify-blocks")
+    rest = written(outside.join(blocks, "group").select("id", "group", "tiles", F.pmod(F.xxhash64("id", F.lit("outside")), F.col("blocks")).alias("block")), "verify-outside")
+    all_of = clustered.join(blocks, "group")
+    asked = rest.select("id", "group", F.transform(range_of(tiles_col), lambda t: to(F.col("block"), t, 0)).alias("to")).union(all_of.select("id", "group", F.transform(range_of(F.col("blocks")), lambda k: to(k, F.col("own"), 1)).alias("to")))
+    return first.union(compared(texts, asked, shingle, threshold, shingles, merge))
+
+
+def compared(texts: DataFrame, asked: DataFrame, shingle: int, threshold: float, shingles: Callable[[tv.Docs, int], tuple[np.ndarray, np.ndarray]], merge: bool) -> DataFrame:
+    """(a, b): edges between the texts that meet in a tile (group, low, high): those of side 0 with those of side 1, or, where
+    there is no side 1, among themselves.  asked: id, group, to (array of low, high, side)."""
     n = partitions(texts.sparkSession)
-    size = texts.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"))
-    tiles = F.ceil(F.greatest(F.col("rows") / VERIFY_ROWS, F.col("chars") / VERIFY_CHARS)).cast("int")
-    rows = texts.join(written(size.select("group", tiles.alias("tiles")), "simhash-tiles"), "group").select("id", "group", "tiles", "text")
+    sent = texts.join(asked.hint("merge") if merge else asked, "id").select("id", "group", F.explode("to").alias("to"), "text").select("group", "to.low", "to.high", "to.side", "id", "text")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, group, tiles = (np.asarray(b.column(i)) for i in range(3))
-            own = (tv.mix(ids.astype(np.uint64)) % np.maximum(tiles, 1).astype(np.uint64)).astype(np.int64)
-            for d in tv.chunks(b.column(3)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            sets = []
+            for d in tv.chunks(pa.array(held, pa.string())):
                 h, count = shingles(d, shingle)
-                key, side, who, sets = [], [], [], []
-                for i, x in enumerate(np.split(h, np.cumsum(count)[:-1])):
-                    r = d.first + i
-                    raw, mine = np.unique(x).tobytes(), int(own[r])
-                    for other in range(int(tiles[r])):
-                        low, high = min(mine, other), max(mine, other)
-                        key.append((int(group[r]), low, high))
-                        side.append(int(mine != low))
-                        who.append(int(ids[r]))
-                        sets.append(raw)
-                part = (tv.mix(np.array([k[0] for k in key]).astype(np.uint64) + np.array([k[1] * 65536 + k[2] for k in key], np.uint64)) % np.uint64(n)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"bucket": part, "group": [k[0] for k in key], "low": pa.array([k[1] for k in key], pa.int32()), "high": pa.array([k[2] for k in key], pa.int32()), "side": pa.array(side, pa.int32()), "id": who, "set": pa.array(sets, pa.binary())})
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+                sets += [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+            return alike([(side, who, x) for (side, who), x in zip(rows, sets, strict=True)], threshold)
+
         for b in batches:
-            for group, low, high, side, who, raw in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
+            for group, low, high, side, who, text in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if (group, low, high) != now:
                     if held:
-                        yield alike(held, threshold)
-                    now, held = (group, low, high), []
-                held.append((side, who, np.frombuffer(raw, np.uint64)))
+                        yield close()
+                    now, rows, held = (group, low, high), [], []
+                if not rows or rows[-1] != (side, who):  # rows that repeat an id follow each other, the least text first
+                    rows.append((side, who))
+                    held.append(text)
         if held:
-            yield alike(held, threshold)
+            yield close()
 
-    dealt = rows.mapInArrow(deal, "bucket int, group long, low int, high int, side int, id long, set binary")
-    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("group", "low", "high", "side", "id").mapInArrow(lambda batches: trimmed(compare(batches)), "a long, b long")
+    dealt = sent.repartitionById(n, F.pmod(F.xxhash64("group", "low", "high"), F.lit(n)).cast("int")).sortWithinPartitions("group", "low", "high", "side", "id", "text")
+    return dealt.mapInArrow(lambda batches: trimmed(run(batches)), "a long, b long")
 
 
 def alike(rows: list[tuple[int, int, np.ndarray]], threshold: float) -> pa.RecordBatch:
@@ -359,11 +381,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 2, radius: i
     classes = written(prints.where("id is not null").groupBy(*kind).agg(F.min("id").alias("id"), F.min("n").alias("n")), "simhash-classes")
     found = components(links(classes, radius, words, sets))
     if threshold is not None:
-        groups = written(found.select(F.col("node").alias("id"), F.col("component").alias("group")).distinct(), "simhash-groups")
+        groups = found.select(F.col("node").alias("id"), F.col("component").alias("group")).distinct()
+        members = written(groups.join(classes.groupBy("id").agg(F.max("n").alias("n")), "id"), "simhash-members")
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        # merge joins at every size: whether a list of ids is small enough to send to all shouldn't change the plan
-        members = written(texts.join(groups.hint("merge"), "id").groupBy("id", "group").agg(F.min("text").alias("text")), "simhash-members")
-        found = components(verified(members, shingle, threshold))
+        found = components(verified(texts, members, shingle, threshold))
     merged = written(classes.join(found, classes.id == found.node, "left").select(*kind, F.coalesce("component", "id").alias("component")), "simhash-components")
     return prints.join(merged, kind, "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 

@@ -181,6 +181,22 @@ def test_chat(spark):
         chat.Template(before="[{role}]", after="<end>").lead
 
 
+def test_machine_by_windows_equals_step_by_step(spark):
+    rng = random.Random(4)
+    roles = ["system", "user", "assistant", "tool", "other", ""]
+    convs = {c: [rng.choice(roles[: rng.choice([4, 6])]) for _ in range(rng.randrange(1, 9))] for c in range(200)}
+    convs |= {1000: ["system", "user", "assistant", "tool", "tool", "assistant", "user", "assistant"], 1001: ["user", "user", "assistant"]}
+    rows = [(c, i, r, "") for c, x in convs.items() for i, r in enumerate(x)]
+    got = {}
+    for r in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "seq").collect():
+        got.setdefault(r.conv_id, []).append(r.state)
+        assert r.valid == (r.state != chat.FAILED)
+    assert got == {c: chat.Machine().run(x) for c, x in convs.items()}
+    assert got[1000][-1] == "answered" and got[1001] == ["asked", "failed", "failed"]
+    with pytest.raises(ValueError):
+        chat.Machine(arcs={"start": {"user": "a"}, "a": {"user": "b"}})
+
+
 def test_chat_query_has_its_own_conversation(spark):
     got = {r.conv_id: r for r in queries.QUERIES["op9_chat"](spark, SF).collect()}
     assert got[-1].n_turns == 2 and got[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok")

@@ -242,7 +242,7 @@ def test_minhash_edits(spark):
         assert by_text.setdefault(text, bytes(r.signature)) == bytes(r.signature)
     assert minhash.edits(spark.createDataFrame([], "id long, text string")).count() == 0
     (alone,) = minhash.edits(spark.createDataFrame([(1, "abcdef")], "id long, text string")).collect()
-    assert alone.edited == "abcdab" and alone.near_next == 1.0
+    assert alone.edited == "abcdab" and alone.near_next == 1.0 and alone.class_id is None
 
 
 def test_minhash_likeness():
@@ -367,7 +367,7 @@ def test_lm_is_the_same_however_rows_are_dealt(spark, monkeypatch):
         assert lm.copies_of(corp.total) > 4
         a, b, n = lm.score(held, counts, corp, lm.train(dealt, corp, frequency)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
         found.append(a / n)
-        assert a > 0.98 * b
+        assert a > b  # even of copies of so few tokens
     assert max(found) - min(found) < 1e-3
 
 
@@ -400,6 +400,74 @@ def test_lm_gradients(monkeypatch):
         assert step[at] == pytest.approx((loss(high) - loss(low)) / 2e-5, rel=1e-3, abs=1e-8)
 
 
+def plain_signature(text, size=256):
+    """Word by word and permutation by permutation, in plain integers."""
+    w = [x.encode() for x in D.words(text)]
+    if not w:
+        return [minhash.EMPTY] * size
+    hashes = [tv.WORDS.bytes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])) for x in w]
+    n = min(5, len(w))
+    h = [int(tv.RUNS.of(np.concatenate(hashes[i : i + n]), np.array([0]), n)[0]) for i in range(len(w) - n + 1)]
+    a, b = minhash.permutations(size)
+    return [min((int(x) * k + int(y)) % 2**64 for k in h) >> 32 & 0xFFFF for x, y in zip(a, b, strict=True)]
+
+
+def test_minhash_query_equals_brute_force(spark, tmp_path):
+    """Fingerprints, likenesses and components by their definitions."""
+    rng = np.random.default_rng(8)
+    rows = [r for r in D.rows() if r[0] not in (11, 12)]
+    for g in range(3):
+        base = D.passage(60, 2000 * g + 7).split()
+        for k in range(5):
+            w = list(base)
+            for at in rng.integers(0, 60, rng.integers(0, 3)):
+                w[at] = f"new{rng.integers(10**6)}"
+            rows.append((1000 + 100 * g + k, " ".join(w), "en", "s", 0))
+    docs = D.clashing(D.frame(spark, rows))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = minhash.op2_minhash(spark, str(tmp_path)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    texts = [r[1] or "" for r in order]
+    signature = {t: plain_signature(t) for t in texts}
+    hexed = lambda s: "".join(f"{x:04x}" for x in s)
+    alike = lambda x, y: sum(i == j for i, j in zip(x, y, strict=True)) / len(x)
+    s = {t: {tuple(w[i : i + 5]) for w in [D.words(t)] for i in range(max(1, len(w) - 4))} if D.words(t) else set() for t in texts}
+    named = {i: [x[1] or "" for x in rows if x[0] == i] for i in {r[0] for r in rows} - {None}}
+    least = {t: min(i for i, x in named.items() if t in x) for x in named.values() for t in x}
+    linked = [(least[a], least[b]) for a, b in itertools.combinations(least, 2) if (len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))]
+    component = groups(set(least.values()), linked)
+    expected = []
+    for i, (r, t) in enumerate(zip(order, texts, strict=True)):
+        following = texts[(i + 1) % len(texts)]
+        edited = minhash.edited(t, following)
+        new = plain_signature(edited)
+        own = None if r[0] is None else least[t]
+        expected.append((str(r[0]), len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(signature[t]), hexed(new), alike(signature[t], new), alike(signature[t], signature[following]), str(own), str(own and component[own])))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, str(r.class_id), str(r.component_id)) for r in got) == sorted(expected)
+    assert minhash.op2_minhash(spark, D.table(spark, tmp_path / "none", [])).count() == 0
+
+
+def test_representatives_lose_no_link(spark, monkeypatch):
+    """A group of many tiles, whose clusters meet only through texts that no representative joins."""
+    monkeypatch.setattr(simhash, "VERIFY_ROWS", 4)
+    monkeypatch.setattr(simhash, "REPRESENTATIVES", 2)
+    rng = np.random.default_rng(5)
+    rows, base = [], D.passage(60).split()
+    for chain in range(4):
+        w = list(base)
+        for k in range(14):  # each text is near the one before it, and far from the first
+            at = int(rng.integers(0, 60))
+            w[at] = f"c{chain}x{k}"
+            rows.append((100 * chain + k, " ".join(w)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    members = spark.createDataFrame([(i, 1, len(D.words(t)) - 4) for i, t in rows], "id long, group long, n long")
+    s = {i: sets(t) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(s, 2) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    for merge in (True, False):
+        edges = [(r.a, r.b) for r in simhash.verified(texts.union(texts), members, 5, 0.8, merge=merge).collect()]
+        assert groups(s, edges) == groups(s, pairs) and len(set(groups(s, pairs).values())) > 3
+
+
 def test_sha_of_edited(spark, tmp_path):
     got = {r.doc_id: r for r in minhash.op2_minhash(spark, D.table(spark, tmp_path, [(1, "abcdef", "en", "s", 6), (2, "xyz", "en", "s", 3)])).collect()}
     assert got[2].edited_sha256 == hashlib.sha256(b"xya").hexdigest() and got[1].edited_sha256 == hashlib.sha256(b"abcdxy").hexdigest()
