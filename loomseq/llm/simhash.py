@@ -304,6 +304,7 @@ def compared(texts: DataFrame, asked: DataFrame, shingle: int, threshold: float,
     """(a, b): edges between the texts that meet in a tile (group, low, high): those of side 0 with those of side 1, or, where
     there is no side 1, among themselves.  asked: id, group, to (array of low, high, side)."""
     n = partitions(texts.sparkSession)
+    asked = written(asked, "verify-asked")  # so that a join that Spark chooses goes by its size
     sent = texts.join(asked.hint("merge") if merge else asked, "id").select("id", "group", F.explode("to").alias("to"), "text").select("group", "to.low", "to.high", "to.side", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
