@@ -43,7 +43,7 @@ MOST_REPETITIONS = 512
 #: Text of benchmark items of one block of the index; blocks that a worker holds at once.
 BLOCK_BYTES, HELD_BLOCKS = 1 << 19, 4
 #: Text that is searched at a time.
-SEARCH_BYTES = 1 << 24
+SEARCH_BYTES = 1 << 23
 #: Edited windows of each size and kind of edits on which recall is measured.
 TRIALS = 1000
 #: Edits at random, evenly spread ones, and evenly spread ones that all replace a word.
