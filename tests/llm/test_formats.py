@@ -242,6 +242,18 @@ def test_token_columns(spark, reference):
             bpe.decode(spark.createDataFrame([bad], "ids array<int>"), bpe.default_path()).collect()
 
 
+def test_token_query(spark, reference, tmp_path):
+    given = [*D.rows(), *[(100 + i, t, "en", "s", 0) for i, t in enumerate(strings(20))]]
+    D.clashing(D.frame(spark, given)).write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = []
+    for i, t, *_ in given:
+        ids = reference.encode(t or "", add_special_tokens=False).ids
+        expected.append((str(i), len(ids), sha(",".join(map(str, ids))), sha(reference.decode(ids, skip_special_tokens=False))))
+    got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op10_bpe(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected) and bpe.op10_bpe(spark, D.table(spark, tmp_path / "none", [])).count() == 0
+
+
 def apply(merges, word):
     """Merges one after the other, each from left to right."""
     w = list(word)

@@ -211,6 +211,22 @@ def test_near_duplicates_of_repeated_lines_and_short_texts(spark):
     assert {r.id: r.component for r in simhash.near_duplicates(D.frame(spark, rows)).collect()} == expected
 
 
+@pytest.mark.parametrize(("a", "b", "common"), [(4, 5, 4), (5, 5, 5), (8, 10, 8), (9, 9, 8), (12, 15, 12), (13, 14, 12), (20, 25, 20), (45, 45, 40), (100, 125, 100), (400, 500, 400)])
+def test_radius_holds_pairs_of_the_threshold(a, b, common):
+    """How often fingerprints of sets of a similarity of 0.8, or as little above as their sizes allow, are candidates."""
+    assert common >= 0.8 * (a + b - common)
+    rng = np.random.default_rng([a, b])
+    trials, found = 4000, 0
+    for _ in range(trials // 500):
+        h = rng.integers(0, 2**63, (500, a + b - common, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (500, a + b - common, 2), dtype=np.uint64)
+        bits = np.unpackbits(h.view(np.uint8), axis=2)
+        one, other = (2 * bits[:, x].sum(axis=1) > n for x, n in ((slice(0, a), a), (slice(a - common, a - common + b), b)))
+        differ = (one != other).sum(axis=1)
+        sets_ = simhash.Sets(0.8)
+        found += int(sets_.possible(np.full(500, a), np.full(500, b), differ, 34).sum())
+    assert found / trials >= 0.995
+
+
 def test_possible_sets():
     sets_ = simhash.Sets(0.8)
     for a in range(1, 60):
@@ -291,6 +307,20 @@ def test_lm_counts_and_base(spark, tmp_path):
     assert all(r.score < 0 for r in got)
 
 
+def test_lm_of_no_documents(spark, tmp_path):
+    assert lm.op4_lm(spark, D.table(spark, tmp_path, [])).count() == 0
+
+
+def test_simhash_query(spark, tmp_path):
+    given = [*[r for r in D.rows() if r[0] != 12], (50, "The quick brown fox", "en", "s", 0), (51, "the QUICK  brown\nfox", "en", "s", 0)]
+    D.clashing(D.frame(spark, given)).write.parquet(str(tmp_path / "documents.parquet"))
+    prints = {i: fingerprint(t, 4) for i, t, *_ in given if i is not None}
+    component = groups(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.op6_simhash(spark, str(tmp_path)).collect())
+    assert got == sorted((str(i), f"{fingerprint(t, 4):016x}", "None" if i is None else str(component[i])) for i, t, *_ in given)
+    assert component[51] == 50 and simhash.op6_simhash(spark, D.table(spark, tmp_path / "none", [])).count() == 0
+
+
 def test_lm_learns_and_carries_state(spark):
     from loomseq.llm import rnn
 
