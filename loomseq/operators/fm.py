@@ -107,6 +107,24 @@ def _index(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(parts, names=list(INDEX))
 
 
+@F.arrow_udf(S.BINARY)
+def _restored(bwt: pa.Array, end: pa.Array) -> pa.Array:
+    out = []
+    for raw, place in zip(bwt.to_pylist(), end.to_pylist(), strict=True):
+        if raw is None:
+            out.append(None)
+            continue
+        codes = np.frombuffer(raw, np.uint8).astype(np.int32) + 1
+        codes[place] = 0
+        out.append((codes[sq.inverse_places(codes)] - 1).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def restore(index: Column) -> Column:
+    """The binary whose compact index (a struct of INDEX) this is; null for null."""
+    return _restored(index["bwt"], index["end"])
+
+
 def _searched(bwt: pa.Array, end: pa.Array, c: pa.Array, occ: pa.Array, patterns: list[bytes], compat: bool) -> list[list[tuple[int, int]] | None]:
     """For each stored index the interval of each pattern; None where there is no index."""
     tables, first = sq.flat(c)

@@ -15,7 +15,8 @@ STEPS = ("bwt", "rle", "mtf", "fm")
 def encode(df: DataFrame, column: str, steps: list[str], out: str = "code", symbols: str = "bytes") -> DataFrame:
     """df with the column's code: of a string or binary column by bytes (``symbols="text"``: byte symbols as strings, ASCII only; ``"chars"``: by code points, of a string), of an array by elements.
 
-    steps: first bwt (or not), then at most one of rle, mtf and fm (which needs bwt).
+    steps: first bwt (or not), then at most one of rle, mtf and fm (which needs bwt).  The index of a string or binary by bytes is
+    the compact one that ``fm.count`` and ``fm.locate`` search (``fm.INDEX``); others have whole tables, as large as text times alphabet.
     """
     return df.withColumn(out, encoded(F.col(column), dict(df.dtypes)[column], steps, symbols))
 
@@ -32,8 +33,14 @@ def _checked(steps: list[str]) -> tuple[bool, str | None]:
     return first, rest[0] if rest else None
 
 
+def _compact(kind: str, symbols: str) -> bool:
+    return kind in ("string", "binary") and symbols == "bytes"
+
+
 def encoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> Column:
     transform, code = _checked(steps)
+    if code == "fm" and _compact(kind, symbols):
+        return F.when(c.isNotNull(), fm._index(c.cast("binary")))
     if kind == "string" and symbols == "chars":
         seq = bwt.bwt(sy.of_chars(c)) if transform else sy.of_chars(c)
     elif kind == "string":
@@ -53,6 +60,9 @@ def encoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> C
 
 def decoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> Column:
     transform, code = _checked(steps)
+    if code == "fm" and _compact(kind, symbols):
+        data = fm.restore(c)
+        return F.decode(data, "UTF-8") if kind == "string" else data
     seq = {None: lambda x: x, "rle": rle.decode, "mtf": mtf.decode, "fm": fm.to_bwt}[code](c)
     if kind not in ("string", "binary"):
         return bwt.inverse(seq) if transform else seq

@@ -333,6 +333,11 @@ def test_pipelines(spark, table):
     for steps in (["bwt"], ["bwt", "rle"], ["bwt", "mtf"], ["bwt", "fm"], ["rle"], ["mtf"]):
         coded = pipelines.encode(table, "t", steps)
         assert all(r.t == r.text for r in pipelines.decode(coded, "code", steps).collect()), steps
+    compact = pipelines.encode(table, "t", ["bwt", "fm"]).select("id", "t", "code.*")
+    found = {(r.id, r.pattern_idx): r.n for r in fm.count(compact, "id", ["ana", "é"]).collect()}
+    assert all(found[r.id, i] == (len([k for k in range(len(r.t)) if r.t.startswith(p, k)]) or None) for r in table.collect() for i, p in enumerate(["ana", "é"]))
+    with_null = spark.createDataFrame([(None,), ("",)], "t string")
+    assert [r.text for r in pipelines.decode(pipelines.encode(with_null, "t", ["bwt", "fm"]), "code", ["bwt", "fm"]).collect()] == [None, ""]
     ascii_only = spark.createDataFrame([("banana",)], "t string")
     coded = pipelines.encode(ascii_only, "t", ["bwt", "mtf"], symbols="text")
     assert pipelines.decode(coded, "code", ["bwt", "mtf"], symbols="text").first().text == "banana"
