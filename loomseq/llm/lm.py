@@ -137,9 +137,9 @@ def corpus(counts: DataFrame) -> tuple[Corpus, np.ndarray]:
     words, count = key[ranked], c[ranked].astype(np.float64)
     if not len(words):
         words, count = np.array([END]), np.zeros(1)
-    # classes of about equal frequency, of which the root of their number of words is a fair size
+    # classes of about equal frequency, some fewer than the root of their number of words, as each costs a product of its own
     share = np.cumsum(count + 0.5) / (count + 0.5).sum()
-    classes = max(1, int(np.sqrt(len(words))))
+    classes = max(1, int(0.6 * np.sqrt(len(words))))
     first = np.unique(np.concatenate(([0], np.searchsorted(share, np.arange(1, classes) / classes), [len(words)])))
     shape = rnn.Shape(len(words), OTHERS, int(np.flatnonzero(words == END)[0]), first)
     by_key = np.argsort(words)
@@ -151,7 +151,7 @@ def copies_of(total: int) -> int:
     return int(min(MOST_COPIES, max(1, round(total / TOKENS_A_COPY))))
 
 
-def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 24) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, corp: Corpus, frequency: np.ndarray, size: int = 16) -> dict[str, np.ndarray]:
     """The model's parameters from all of docs (id, text); the same however docs are partitioned.
 
     Rows that repeat an id go to the same copy.

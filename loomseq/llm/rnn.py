@@ -13,7 +13,7 @@ import numpy as np
 
 F32 = np.float32
 #: Steps of backpropagation; streams that train side by side; documents that are scored side by side.
-WINDOW, STREAMS, TOGETHER = 24, 256, 512
+WINDOW, STREAMS, TOGETHER = 24, 256, 2048
 
 
 @dataclass
@@ -138,35 +138,38 @@ class Trainer:
         gates = p["e"] @ p["x"] + p["b"]
         x = gates[before.T]  # steps, streams, gates
         go_on = (before != shape.end).T[:, :, None].astype(F32)
-        states, kept = np.empty((steps, streams, size), F32), []
+        states, lasts = np.empty((steps, streams, size), F32), np.empty((steps, streams, size), F32)
+        z, r, m, a = (np.empty((steps, streams, size), F32) for _ in range(4))
         for t in range(steps):
-            last = h * go_on[t]
-            h, *rest = cell(x[t], last, p["u"])
+            lasts[t] = h * go_on[t]
+            h, z[t], r[t], m[t], a[t] = cell(x[t], lasts[t], p["u"])
             states[t] = h
-            kept.append((last, *rest))
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         _, dh = output(p, shape, states.reshape(-1, size), target.T.ravel(), grad)
         dh = dh.reshape(steps, streams, size)
-        dx, back = np.empty((steps, streams, 3 * size), F32), np.zeros((streams, size), F32)
-        lasts, da = np.empty((steps, streams, size), F32), np.empty((steps, streams, 3 * size), F32)
+        # what a state's gradient is multiplied by for each gate
+        by_m, by_z = (1 - z) * (1 - m * m), (lasts - m) * z * (1 - z)
+        by_r, z = a * r * (1 - r), z * go_on
+        dx, da, back = np.empty((steps, streams, 3 * size), F32), np.empty((steps, streams, 3 * size), F32), np.zeros((streams, size), F32)
+        turned = np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
-            last, z, r, m, a = kept[t]
             d = dh[t] + back
-            dm = d * (1 - z) * (1 - m * m)
-            dz = d * (last - m) * z * (1 - z)
-            dr = dm * a * r * (1 - r)
-            dx[t, :, :size], dx[t, :, size : 2 * size], dx[t, :, 2 * size :] = dz, dr, dm
-            da[t, :, : 2 * size], da[t, :, 2 * size :] = dx[t, :, : 2 * size], dm * r
-            lasts[t] = last
-            back = (d * z + da[t] @ p["u"].T) * go_on[t]
+            step = da[t]
+            dm = d * by_m[t]
+            np.multiply(d, by_z[t], out=step[:, :size])
+            np.multiply(dm, by_r[t], out=step[:, size : 2 * size])
+            np.multiply(dm, r[t], out=step[:, 2 * size :])
+            dx[t, :, 2 * size :] = dm
+            back = step @ turned
+            back *= go_on[t]
+            back += d * z[t]
+        dx[:, :, : 2 * size] = da[:, :, : 2 * size]
         grad["u"] = lasts.reshape(-1, size).T @ da.reshape(-1, 3 * size)
         flat, symbol = dx.reshape(-1, 3 * size), before.T.ravel()
-        order = np.argsort(symbol.astype(np.uint16) if shape.symbols < 1 << 16 else symbol, kind="stable")
-        ids, at = np.unique(symbol[order], return_index=True)
-        by_symbol = np.add.reduceat(flat[order], at, axis=0)
         grad["b"] = flat.sum(axis=0)
-        grad["x"] = p["e"][ids].T @ by_symbol
-        grad["e"][ids] = by_symbol @ p["x"].T
+        grad["x"] = p["e"][symbol].T @ flat
+        of_input = (flat @ p["x"].T).T
+        grad["e"] = np.stack([np.bincount(symbol, row, shape.symbols) for row in of_input], axis=1).astype(p["e"].dtype)
         for k, g in grad.items():
             np.clip(g, -0.1, 0.1, out=g)
             self.square[k] += g * g
