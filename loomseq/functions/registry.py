@@ -35,6 +35,18 @@ def _locate(index: pa.Array, pattern: pa.Array) -> pa.Array:
     return pa.array([starts[first[i] + low : first[i] + high].to_pylist() for i, (low, high) in enumerate(found)], pa.list_(pa.int32()))
 
 
+class Search:
+    """The table function ``fm_search(bwt, end, c, occ, sa, patterns)``: a row for each pattern of an index."""
+
+    def eval(self, bwt: bytes, end: int, c: list[int], occ: bytes, sa: list[int], patterns: list[bytes]):
+        if bwt is None:
+            return
+        stored = sq.Stored(bytes(bwt), end, np.array(c), np.frombuffer(bytes(occ), "<i4"))
+        for i, p in enumerate(patterns or []):
+            low, high = (0, 0) if p is None else sq.interval(stored, bytes(p))
+            yield i, p, high - low or None, sa[low:high]
+
+
 #: name -> Arrow function; the index functions take what ``fm_index_bytes`` gives and a binary pattern.
 UDFS = {
     "suffix_array": bwt._suffix_array, "suffix_array_bytes": bwt._suffix_array_bytes, "bwt_bytes": bwt._bwt_bytes, "bwt_text": bwt._bwt_text,
@@ -53,6 +65,7 @@ def register(spark: SparkSession) -> list[str]:
     """Registers the functions for SQL in this session; returns their names."""
     for name, udf in UDFS.items():
         spark.udf.register(name, udf)
+    spark.udtf.register("fm_search", F.udtf(Search, returnType="pattern_idx int, pattern binary, n int, positions array<int>"))
     for name, (given, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({given}) RETURNS {kind} RETURN {body}")
-    return sorted([*UDFS, *SQL])
+    return sorted([*UDFS, *SQL, "fm_search"])

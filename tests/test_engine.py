@@ -79,6 +79,9 @@ def test_sql_functions(spark):
     spark.createDataFrame([("banana", "ana"), ("banana", "x"), ("", "a"), (None, "a")], "t string, p string").createOrReplaceTempView("asked")
     found = spark.sql("select t, p, fm_count(i, binary(p)) as n, fm_locate(i, binary(p)) as at, text_count(t, p) as plain from (select *, fm_index_bytes(binary(t)) as i from asked)").collect()
     assert [(r.n, r.at) for r in found] == [(2, [4, 2]), (None, []), (None, []), (None, [])] and [r.plain for r in found[:3]] == [2, None, None]
+    spark.sql("select t, inline(array(fm_index_bytes(binary(t)))) from asked where t = 'banana' limit 1").createOrReplaceTempView("indexed")
+    rows = spark.sql("select f.* from indexed, lateral fm_search(bwt, `end`, c, occ, sa, array(binary('an'), binary('x'), cast(null as binary))) f").collect()
+    assert [(r.pattern_idx, r.n, r.positions) for r in sorted(rows)] == [(0, 2, [4, 2]), (1, None, []), (2, None, [])]
     (row,) = spark.sql("select rle_restore(array(named_struct('n', 3, 'value', binary('a')), named_struct('n', 2, 'value', cast(null as binary)))) as r, alphabet(array(binary('b'), binary('a'), binary('b'))) as a").collect()
     assert [x and bytes(x) for x in row.r] == [b"a"] * 3 + [None] and [bytes(x) for x in row.a] == [b"a", b"b"]
 
