@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,16 @@ SPLIT_LATER = regex.compile(
 
 def split(text: str) -> list[str]:
     """The words that merges stay within."""
-    return (SPLIT_LATER if not text.isascii() and HAS_LATER.search(text) else SPLIT).findall(text)
+    return (SPLIT_LATER if not _latin(text) and HAS_LATER.search(text) else SPLIT).findall(text)
+
+
+def _latin(text: str) -> bool:
+    """Whether all code points are below 256, which says so fastest."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 #: In the table of transitions: asked for, and there is none.
@@ -294,27 +302,38 @@ class Tokenizer:
             self.label[i] = b
         for s, i in self.special.items():
             self.label[i] = s.encode()
-        self.known: dict[str, list[int]] = {}
+        #: remembered words (specials as 1-tuples) by number; where each one's tokens begin in flat, and how many there are
+        self.known: dict[str | tuple[str], int] = {}
+        self.begin, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The token ids of some texts, whose new words go through the automaton together."""
-        parts = [[p if k % 2 else split(p) for k, p in enumerate(self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t])] for t in texts]
+        words, count = [], []
+        for t in texts:
+            before = len(words)
+            for k, p in enumerate(self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t]):
+                words += [(p,)] if k % 2 else split(p)
+            count.append(len(words) - before)
         known = self.known
-        used = {w for text in parts for words in text[::2] for w in words}
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(used.difference(known))
+            self.begin, self.size, self.flat = self.begin[:0], self.size[:0], self.flat[:0]
+        new = [w for w in set(words).difference(known) if isinstance(w, str)]
+        special = [w for w in set(words).difference(known) if isinstance(w, tuple)]
         ids, end = self.automaton.encode([w.encode() for w in new])
-        flat, begin = ids.tolist(), 0
-        for w, stop in zip(new, end.tolist(), strict=True):
-            known[w] = tuple(flat[begin:stop])
-            begin = stop
-        special = {s: (i,) for s, i in self.special.items()}
-        tokens = lambda text: chain.from_iterable((special[p],) if k % 2 else map(known.__getitem__, p) for k, p in enumerate(text))
-        return [np.fromiter(chain.from_iterable(tokens(text)), np.int32) for text in parts]
+        ids = np.concatenate([ids, np.array([self.special[w[0]] for w in special], np.int32)])
+        end = np.concatenate(([0], end, len(ids) - len(special) + 1 + np.arange(len(special)))).astype(np.int64)
+        known.update(zip([*new, *special], range(len(known), len(known) + len(end) - 1), strict=True))
+        self.begin, self.size, self.flat = np.concatenate([self.begin, end[:-1] + len(self.flat)]), np.concatenate([self.size, np.diff(end)]), np.concatenate([self.flat, ids])
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        size = self.size[at]
+        stop = np.cumsum(size)
+        out = self.flat[np.repeat(self.begin[at] - (stop - size), size) + np.arange(int(size.sum()))]
+        cut = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum(count)))]
+        return [out[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The arcs' labels in turn; bytes that aren't UTF-8 become U+FFFD."""
