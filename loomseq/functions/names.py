@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomseq.functions import sequences as sq
 from loomseq.functions import shapes as S
@@ -61,16 +62,28 @@ JOIN = {"bytestring": bw.inverse_chunks, "text": _chain(bw.inverse_chunks, lambd
 CONVERT = {("bytestring", "b"): _same, ("bytestring", "t"): sy.as_text, ("text", "b"): sy.as_bytes, ("text", "t"): _same}
 BACK = {("bytestring", "b"): _same, ("bytestring", "t"): sy.as_bytes, ("text", "b"): sy.as_text, ("text", "t"): _same}
 
+
+def _typed(code: str, s: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Encoder and decoder of a code whose symbols are binaries (b) or strings (t)."""
+    element = T.BinaryType() if s == "b" else T.StringType()
+    if code == "rle":
+        return lambda c: rle.encode(c, element=element), lambda c: rle.decode(c, element)
+    if code == "mtf":
+        return lambda c: mtf.encode(c, element), lambda c: mtf.decode(c, element)
+    return ENCODE[code], DECODE[code]
+
+
 for code in ENCODE:
     for kind in ("bytestring", "text"):
         for s in ("b", "t"):
-            FUNCTIONS[f"{kind}_to_bwt_to_{code}_{s}"] = _chain(TRANSFORM[kind], SYMBOLS[s], ENCODE[code])
-            FUNCTIONS[f"{kind}_bwt_to_{code}_{s}"] = _chain(SYMBOLS[s], ENCODE[code]) if code != "fm_index" else _index_of_bwt(SYMBOLS[s])
+            encode, decode = _typed(code, s)
+            FUNCTIONS[f"{kind}_to_bwt_to_{code}_{s}"] = _chain(TRANSFORM[kind], SYMBOLS[s], encode)
+            FUNCTIONS[f"{kind}_bwt_to_{code}_{s}"] = _chain(SYMBOLS[s], encode) if code != "fm_index" else _index_of_bwt(SYMBOLS[s])
             if code != "fm_index":
-                FUNCTIONS[f"{kind}_to_{code}_{s}"] = _chain(CONVERT[kind, s], ENCODE[code])
-            FUNCTIONS[f"{kind}_from_bwt_from_{code}_{s}"] = _chain(DECODE[code], BACK["bytestring", s], JOIN[kind])
-            FUNCTIONS[f"{kind}_bwt_from_{code}_{s}"] = _chain(DECODE[code], BACK[kind, s])
-            FUNCTIONS[f"{kind}_from_{code}_{s}"] = _chain(DECODE[code], BACK[kind, s])
+                FUNCTIONS[f"{kind}_to_{code}_{s}"] = _chain(CONVERT[kind, s], encode)
+            FUNCTIONS[f"{kind}_from_bwt_from_{code}_{s}"] = _chain(decode, BACK["bytestring", s], JOIN[kind])
+            FUNCTIONS[f"{kind}_bwt_from_{code}_{s}"] = _chain(decode, BACK[kind, s])
+            FUNCTIONS[f"{kind}_from_{code}_{s}"] = _chain(decode, BACK[kind, s])
 
 
 def _search(made: Callable, columns: tuple[str, ...], patterns: list[bytes | str], data: Column, compat: bool) -> Column:

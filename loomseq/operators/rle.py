@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomseq.functions import sequences as sq
 from loomseq.functions.columns import each
@@ -25,16 +29,45 @@ def _runs(compat: bool):
 RUNS = {compat: _runs(compat) for compat in (False, True)}
 
 
-def encode(seq: Column, compat: bool = False) -> Column:
+@lru_cache(64)
+def _typed(element: T.DataType, compat: bool):
+    """Encoding and decoding in one Arrow function each, for elements of a known type."""
+    run = T.StructType().add("n", T.IntegerType()).add("value", element)
+
+    @F.arrow_udf(T.ArrayType(run))
+    def coded(column: pa.Array) -> pa.Array:
+        values, first = sq.flat(column)
+        length, place, begin = sq.runs(sq.codes_of(values), first, compat)
+        own = np.repeat(first[:-1], np.diff(begin))
+        made = pa.StructArray.from_arrays([pa.array(length, pa.int32()), values.take(pa.array(own + place - 1))], names=["n", "value"])
+        return sq.nested(made, begin, column)
+
+    @F.arrow_udf(T.ArrayType(element))
+    def restored(column: pa.Array) -> pa.Array:
+        runs, first = sq.flat(column)
+        values = runs.field("value")
+        many = np.where(np.asarray(values.is_null()), 1, np.maximum(np.asarray(runs.field("n").fill_null(0)), 0))
+        begin = np.concatenate(([0], np.cumsum(many)))[first]
+        return sq.nested(values.take(pa.array(np.repeat(np.arange(len(many)), many))), begin, column)
+
+    return coded, restored
+
+
+def encode(seq: Column, compat: bool = False, element: T.DataType | None = None) -> Column:
     """Array of (n, value): runs of equal neighbours; every null is a run of its own.  An empty array stays empty.
 
-    ``compat`` repeats or loses nulls at the ends of a sequence (functions.sequences.runs), which can't be undone.
+    ``compat`` repeats or loses nulls at the ends of a sequence (functions.sequences.runs), which can't be undone.  Where the
+    elements' type is told, values come straight from the Arrow function, else built-in expressions fetch them.
     """
+    if element is not None:
+        return _typed(element, compat)[0](seq)
     return each(lambda r, s: F.struct(r["n"].alias("n"), F.get(s, r["at"] - 1).alias("value")), RUNS[compat](seq), seq)
 
 
-def decode(runs: Column) -> Column:
+def decode(runs: Column, element: T.DataType | None = None) -> Column:
     """The sequence of such runs; a null value counts once whatever its n, and runs of 0 or fewer not at all."""
+    if element is not None:
+        return _typed(element, False)[1](runs)
     many = lambda r: F.array_repeat(r["value"], F.when(r["value"].isNull(), 1).otherwise(F.greatest(r["n"], F.lit(0))))
     return F.flatten(F.transform(runs, many))
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomseq.functions.columns import settled
 from loomseq.operators import bwt, fm, mtf, rle
@@ -95,8 +96,9 @@ def _round_trip(name: str, encode: Callable[[Column], Column], decode: Callable[
 
 
 _round_trip("bwt_round_trip_docs", lambda c: c, lambda c: c)
-_round_trip("rle_round_trip_docs", rle.encode, rle.decode)
-_round_trip("mtf_round_trip_docs", mtf.encode, mtf.decode)
+BYTE = T.BinaryType()
+_round_trip("rle_round_trip_docs", lambda c: rle.encode(c, element=BYTE), lambda c: rle.decode(c, BYTE))
+_round_trip("mtf_round_trip_docs", lambda c: mtf.encode(c, BYTE), lambda c: mtf.decode(c, BYTE))
 _round_trip("rle_flat_round_trip_docs", lambda c: rle.to_flat(rle.encode(c), binary=True), lambda c: rle.decode(rle.from_flat(c)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomseq.functions.columns import settled
 from loomseq.operators import bwt, fm, mtf, rle
@@ -33,6 +34,11 @@ def _checked(steps: list[str]) -> tuple[bool, str | None]:
     return first, rest[0] if rest else None
 
 
+def _element(kind: str, symbols: str) -> T.DataType | None:
+    """The type of the symbols, where it follows from the column's."""
+    return None if kind not in ("string", "binary") else T.BinaryType() if symbols == "bytes" else T.StringType()
+
+
 def _compact(kind: str, symbols: str) -> bool:
     return kind in ("string", "binary") and symbols == "bytes"
 
@@ -55,7 +61,8 @@ def encoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> C
         from loomseq.functions.names import index_of_bwt
 
         return index_of_bwt(seq)
-    return {None: lambda x: x, "rle": rle.encode, "mtf": mtf.encode}[code](seq)
+    element = _element(kind, symbols)
+    return {None: lambda x: x, "rle": lambda x: rle.encode(x, element=element), "mtf": lambda x: mtf.encode(x, element)}[code](seq)
 
 
 def decoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> Column:
@@ -63,7 +70,8 @@ def decoded(c: Column, kind: str, steps: list[str], symbols: str = "bytes") -> C
     if code == "fm" and _compact(kind, symbols):
         data = fm.restore(c)
         return F.decode(data, "UTF-8") if kind == "string" else data
-    seq = {None: lambda x: x, "rle": rle.decode, "mtf": mtf.decode, "fm": fm.to_bwt}[code](c)
+    element = _element(kind, symbols)
+    seq = {None: lambda x: x, "rle": lambda x: rle.decode(x, element), "mtf": lambda x: mtf.decode(x, element), "fm": fm.to_bwt}[code](c)
     if kind not in ("string", "binary"):
         return bwt.inverse(seq) if transform else seq
     if symbols == "chars":

@@ -198,6 +198,23 @@ def test_move_to_front(table):
     assert row.m.indices == [3, 1, 2, 0, 0, 3, 0, 3, 0, 1] and seq_of(symbols(row.m.symbols)) == "bca$"
 
 
+def test_told_element_types_give_the_same(spark, table):
+    from pyspark.sql import types as T
+
+    binary = T.BinaryType()
+    rows = settled(table.union(spark.createDataFrame([(-1, None)], table.schema)).select(bwt.bwt_text(F.col("t")).alias("b")))
+    coded = rows.select("b", rle.encode(F.col("b")).alias("r"), rle.encode(F.col("b"), element=binary).alias("r2"), rle.encode(F.col("b"), compat=True).alias("q"), rle.encode(F.col("b"), compat=True, element=binary).alias("q2"), mtf.encode(F.col("b")).alias("m"), mtf.encode(F.col("b"), binary).alias("m2"))
+    for r in settled(coded).select("*", rle.decode(F.col("r"), binary).alias("s"), mtf.decode(F.col("m"), binary).alias("u")).collect():
+        assert r.r == r.r2 and r.q == r.q2 and r.m == r.m2 and r.s == r.b and r.u == r.b
+    odd = spark.createDataFrame([([(0, "a"), (-1, "b"), (5, None), (2, "c")],), ([],), (None,)], "r array<struct<n:int,value:string>>")
+    assert [tuple(x) for x in odd.select(rle.decode(F.col("r")), rle.decode(F.col("r"), T.StringType())).collect()] == [([None, "c", "c"],) * 2, ([],) * 2, (None,) * 2]
+    pair = lambda i, s: spark.createDataFrame([((i, s),)], "p struct<indices:array<int>,symbols:array<string>>").select(mtf.decode(F.col("p"), T.StringType()).alias("s")).first().s
+    assert pair([1, 1, 0], ["b", "a"]) == pair([1, 1, 0], ["a", "b", "a"]) == ["b", "a", "a"] and pair([], ["a"]) == [] and pair([0], []) == [] and pair(None, ["a"]) is None and pair([0], None) is None
+    for bad in ([2], [-1], [None]):
+        with pytest.raises(Exception):
+            pair(bad, ["a", "b"])
+
+
 def test_move_to_front_back_from_any_order_and_errors(spark):
     pair = lambda i, s: spark.createDataFrame([((i, s),)], "p struct<indices:array<int>,symbols:array<string>>").select(mtf.decode(F.col("p")).alias("s")).first().s
     assert pair([1, 1, 0], ["b", "a"]) == pair([1, 1, 0], ["a", "b"]) == ["b", "a", "a"]
