@@ -142,7 +142,7 @@ class Model:
         return 1 / (1 + np.exp(-(odds - self.cut + np.log(THRESHOLD / (1 - THRESHOLD)))))
 
 
-def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 250, rate: float = 0.1, l2: float = 1e-3) -> Model:
+def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.2, l2: float = 1e-3) -> Model:
     """Maximum conditional likelihood (each document with the same weight) by Adam, then the cut of greatest accuracy."""
     n = np.diff(first)
     if not len(label) or label.min() == label.max():
