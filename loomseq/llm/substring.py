@@ -18,7 +18,6 @@ in a third of all documents costs its bucket one entry a batch.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
