@@ -21,7 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -442,10 +442,15 @@ def _blocks(items: DataFrame, share: float, recall: float, item_col: str, item_t
     asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count, made = -(-total // BLOCK_BYTES) or 1, []
-    for block in range(count):
-        got = asked.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)) == block).orderBy("item_id", "text").toArrow()
-        ids, words = got.column("item_id").to_pylist(), []
-        for d in tv.chunks(got.column("text")) if got.num_rows else ():
+    # read once, in order, a partition at a time, of which the driver holds one block
+    rows = asked.select(F.pmod(F.xxhash64("text", "item_id"), F.lit(count)).alias("block"), "item_id", "text").orderBy("block", "item_id", "text").toLocalIterator()
+    for _, block in groupby(rows, key=lambda r: r[0]):
+        ids, texts = [], []
+        for r in block:
+            ids.append(r[1])
+            texts.append(r[2])
+        words = []
+        for d in tv.chunks(pa.array(texts, pa.string())):
             w, first = words_of(d)
             words += np.split(w, first[1:-1])
         made.append(items.sparkSession.sparkContext.broadcast(Index(ids, words, share, recall)))
