@@ -12,9 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores, dealt to all cores: for work on rows that costs far more than moving them."""
+    """A table of fewer files than cores, dealt to all cores: for work on rows that costs far more than moving them.
+
+    Files, not splits, tell: a file of one row group is read by one task, however many splits it has.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def save_index(df: DataFrame, key: str, data: str, path: str) -> None:
